@@ -74,7 +74,7 @@ class Model:
         return _sigmoid(score[:, None] - self.thresholds[None, :])
 
 
-def fit(ids: np.ndarray, bounds: np.ndarray, grades: np.ndarray, n_grades: int = 3, bits: int = BITS, rounds: int = 120, ridge: float = 2e-3, least_rows: int = 3, rate: float = 0.1) -> Model:
+def fit(ids: np.ndarray, bounds: np.ndarray, grades: np.ndarray, n_grades: int = 3, bits: int = BITS, rounds: int = 120, ridge: float = 0.08, least_rows: int = 3, rate: float = 0.1) -> Model:
     """Full-batch fit by Adam. Features in fewer than ``least_rows`` rows stay without weight.
 
     Without rows all probabilities of a tail are one: nothing is known against any document.
