@@ -16,7 +16,7 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes handled at once. Bounds the kernels' memory to some 40 times as much.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -35,7 +35,7 @@ from quillon.llm import kernel as K
 from quillon.llm.shared import text_bytes
 
 LENGTH = 50
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 _LAST = np.iinfo(np.int64).max
 #: Anchors travel as their upper 47 bits and a flag; a chance match only costs a look at its spans.
 _CUT = ~np.uint64(0x1FFFF)
@@ -340,7 +340,7 @@ def _any(keys: np.ndarray, flag: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduceat(flag[order], first).astype(bool)
 
 
-def _earlier(h: np.ndarray, ids: np.ndarray, body: np.ndarray, starts: np.ndarray, n: np.ndarray, length: int, most: int = 1 << 18) -> np.ndarray:
+def _earlier(h: np.ndarray, ids: np.ndarray, body: np.ndarray, starts: np.ndarray, n: np.ndarray, length: int, most: int = 1 << 17) -> np.ndarray:
     """For each distinct span a bit for each of its suffixes that has an earlier match (LPF >= length)."""
     k = anchor_width(length)
     mask = np.zeros((len(h), -(-(length - k + 1) // 64)), K.U64)
@@ -359,22 +359,17 @@ def _earlier(h: np.ndarray, ids: np.ndarray, body: np.ndarray, starts: np.ndarra
             b += 1
         part, c = order[a:b], count[a:b]
         owner, bit = np.repeat(np.arange(len(part)), c), K.ragged(np.zeros(len(part), np.int64), c)
-        place, group_of = starts[part][owner] + bit, np.repeat(hs[a:b], c)
-        lo = int(starts[part].min())
-        piece = body[lo : int((starts[part] + n[part]).max())] if len(body) <= 64 << 20 else None
-        if piece is not None:
-            spans = K.Spans(piece)
-            window = K.mix64(group_of + spans.hash(place - lo, place - lo + length))
-            by = np.argsort(window, kind="stable")
-            w = window[by]
-            twice, same = np.zeros(len(w), bool), w[1:] == w[:-1]
-            twice[1:] |= same
-            twice[:-1] |= same
-            use = by[twice]  # a suffix that is unique by its hash has no match at all
-        else:
-            use = np.arange(len(place))
+        own, at = K.gather(body, starts[part], starts[part] + n[part])
+        place = at[:-1][owner] + bit
+        window = K.mix64(np.repeat(hs[a:b], c) + K.Spans(own).hash(place, place + length))
+        by = np.argsort(window, kind="stable")
+        w = window[by]
+        twice, same = np.zeros(len(w), bool), w[1:] == w[:-1]
+        twice[1:] |= same
+        twice[:-1] |= same
+        use = by[twice]  # a suffix that is unique by its hash has no match at all
         if len(use):
-            rows = body[place[use][:, None] + np.arange(length)]
+            rows = own[place[use][:, None] + np.arange(length)]
             o = suffix_order(rows)
             rows, use = rows[o], use[o]
             hit = use[has_previous_factor(common_prefix(rows), ids[part][owner[use]], length)]
