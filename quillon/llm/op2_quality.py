@@ -65,39 +65,44 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "character_divergence", "word_divergence", "kept")
     passed = [c for c in docs.columns if c not in new]
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(*passed, body.alias("__body"), F.regexp_extract_all(body, F.lit(WORD), F.lit(0)).alias("__words"))
-    lines = F.filter(F.split("__body", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    vocabulary = sorted({w for words in COMMON.values() for w in words})
-    count = lambda pattern: F.regexp_count("__body", F.lit(pattern)).cast("double")
-    rows = rows.select(
-        *passed,
-        F.size("__words").cast("long").alias("n_words"),
-        (F.length("__body") - F.regexp_count("__body", F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
-        F.regexp_count("__body", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        _repeated(F.col("__words")).cast("long").alias("n_repeat_words"),
-        F.length("__body").cast("double").alias("__n"),
-        count(r"\p{Lu}").alias("__upper"), count(r"\p{L}").alias("__letter"), count("[0-9]").alias("__digit"), count(r"[\x20\x09-\x0D]").alias("__white"), count(r"[.,;:!?'\"()\-]").alias("__stop"),
-        F.filter("__words", lambda w: w.isin(vocabulary)).alias("__common"),
-    )
-    n = F.greatest(F.col("__n"), F.lit(1.0))
-    rest = F.col("__n") - F.col("__letter") - F.col("__digit") - F.col("__white") - F.col("__stop")
-    characters = F.array(*(c / n for c in (F.col("__letter") - F.col("__upper"), F.col("__upper"), F.col("__digit"), F.col("__white"), F.col("__stop"), rest)))
-    words = F.greatest(F.col("n_words").cast("double"), F.lit(1.0))
-
-    def fit(shares: dict[str, float]) -> Column:
-        own = F.transform(F.lit(list(shares)), lambda v: F.size(F.filter("__common", lambda w: w == v)) / words)
-        return let(own, lambda h: divergence(F.concat(h, F.array(F.greatest(F.lit(1.0) - total(h, "double"), F.lit(0.0)))), [*shares.values(), 1 - sum(shares.values())]))
-
-    rows = rows.select(
-        *passed, *new[:5],
-        ((F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))).alias("base_failed"),
-        F.when(F.col("__n") >= LEAST_CHARS, divergence(characters, list(CHARACTERS.values()))).alias("character_divergence"),
-        F.when(F.col("n_words") >= LEAST_HISTOGRAM_WORDS, F.array_min(F.array(*(fit(x) for x in COMMON.values())))).alias("word_divergence"),
-    )
-    fine = F.coalesce(F.col("character_divergence") <= MOST_CHARACTER_DIVERGENCE, F.lit(True)) & F.coalesce(F.col("word_divergence") <= WORD_DIVERGENCE + WORD_DIVERGENCE_SLACK / words, F.lit(True))
-    return rows.withColumn("kept", ~F.col("base_failed") & fine)
+    vocabulary = sorted({w for shares in COMMON.values() for w in shares})
+
+    def counts(body: Column, words: Column) -> Column:
+        count = lambda pattern: F.regexp_count(body, F.lit(pattern))
+        lines = F.filter(F.split(body, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            F.length(body).alias("n"),
+            count(SYMBOLS).cast("long").alias("n_symbols"),
+            let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            _repeated(words).cast("long").alias("n_repeat_words"),
+            count(r"\p{Lu}").alias("upper"), count(r"\p{L}").alias("letter"), count("[0-9]").alias("digit"), count(r"[\x20\x09-\x0D]").alias("white"), count(r"[.,;:!?'\"()\-]").alias("stop"),
+            F.filter(words, lambda w: w.isin(vocabulary)).alias("common"),
+        )
+
+    def verdict(c: Column) -> Column:
+        n, words = F.greatest(c["n"], F.lit(1)).cast("double"), F.greatest(c["n_words"], F.lit(1)).cast("double")
+        rest = c["n"] - c["letter"] - c["digit"] - c["white"] - c["stop"]
+        characters = F.array(*(x / n for x in (c["letter"] - c["upper"], c["upper"], c["digit"], c["white"], c["stop"], rest)))
+
+        def fit(shares: dict[str, float]) -> Column:
+            own = F.transform(F.lit(list(shares)), lambda v: F.size(F.filter(c["common"], lambda w: w == v)) / words)
+            return let(own, lambda h: divergence(F.concat(h, F.array(F.greatest(F.lit(1.0) - total(h, "double"), F.lit(0.0)))), [*shares.values(), 1 - sum(shares.values())]))
+
+        failed = (c["n_words"] < LEAST_WORDS) | (100 * c["n_repeat_words"] > MOST_REPEATED * c["n_words"])
+        by_characters = F.when(c["n"] >= LEAST_CHARS, divergence(characters, list(CHARACTERS.values())))
+        by_words = F.when(c["n_words"] >= LEAST_HISTOGRAM_WORDS, F.array_min(F.array(*(fit(x) for x in COMMON.values()))))
+
+        def decided(d: Column) -> Column:
+            fine = F.coalesce(d["a"] <= MOST_CHARACTER_DIVERGENCE, F.lit(True)) & F.coalesce(d["b"] <= WORD_DIVERGENCE + WORD_DIVERGENCE_SLACK / words, F.lit(True))
+            kept = c["n_words"].alias("n_words"), (c["n"] - c["white"]).cast("long").alias("word_chars"), *(c[x].alias(x) for x in ("n_symbols", "n_dup_lines", "n_repeat_words"))
+            return F.struct(*kept, failed.alias("base_failed"), d["a"].alias("character_divergence"), d["b"].alias("word_divergence"), (~failed & fine).alias("kept"))
+
+        return let(F.struct(by_characters.alias("a"), by_words.alias("b")), decided)
+
+    # one expression: a filter on a verdict moves below the projection, and would copy columns' expressions into lambdas
+    judged = let(F.coalesce(F.col(text), F.lit("")), lambda body: let(F.regexp_extract_all(body, F.lit(WORD), F.lit(0)), lambda words: let(counts(body, words), verdict)))
+    return docs.select(*passed, judged.alias("__judged")).select(*passed, *(F.col("__judged")[c].alias(c) for c in new))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

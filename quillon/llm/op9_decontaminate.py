@@ -54,7 +54,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     """
     items = benchmark.select(F.col("item_id").alias("item"), words(F.col("text")).alias("iw")).where(F.size("iw") > 0).distinct()
     lengths = [r[0] for r in items.select(F.least(F.size("iw"), F.lit(window)).alias("n")).distinct().collect()]  # at most ``window`` values
-    print_of = lambda column, n: F.transform(fingerprints(F.col(column), n), lambda e: F.struct(F.lit(n).alias("n"), e["h"].alias("h"), e["p"].alias("p")))
+    print_of = lambda column, n: F.transform(let(F.col(column), lambda w: fingerprints(w, n)), lambda e: F.struct(F.lit(n).alias("n"), e["h"].alias("h"), e["p"].alias("p")))
     base = docs.select(F.col(key).alias("d"), words(F.col(text)).alias("dw"))
     found = None
     for n in lengths:
@@ -70,20 +70,27 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
         return docs.select(*passed, count, F.array().cast("array<int>").alias("hit_places"), F.array().cast(benchmark.schema["item_id"].dataType.simpleString().join(("array<", ">"))).alias("hit_items"))
     aligned = found.distinct().groupBy(F.col("d").alias("__d")).agg(F.collect_list(F.struct("item", "iw", "shift")).alias("__aligned"))
     joined = docs.select(*passed).join(aligned, F.col(key).eqNullSafe(F.col("__d")), "left")
-    joined = joined.select(*passed, count, "__aligned", F.when(F.col("__aligned").isNotNull(), words(F.col(text))).alias("__dw"))
 
-    def starts(a: Column) -> Column:
+    def starts(a: Column, dw: Column) -> Column:
         """Places in the item where a whole window equals the document's words along the alignment."""
         size = F.least(F.size(a["iw"]), F.lit(window))
-        same = F.transform(a["iw"], lambda x, q: F.coalesce(x == F.get(F.col("__dw"), q + a["shift"]), F.lit(False)))
+        same = F.transform(a["iw"], lambda x, q: F.coalesce(x == F.get(dw, q + a["shift"]), F.lit(False)))
         return let(same, lambda s: F.filter(upto(F.size(s) - size + 1), lambda q: F.forall(F.slice(s, q + 1, size), lambda x: x)))
 
-    hits = F.filter(F.transform("__aligned", lambda a: F.struct(a["item"].alias("item"), a["shift"].alias("shift"), F.least(F.size(a["iw"]), F.lit(window)).alias("size"), starts(a).alias("starts"))), lambda h: F.size(h["starts"]) > 0)
-    joined = joined.select(*passed, "n_words", hits.alias("__hits"))
-    places = F.array_sort(F.array_distinct(F.flatten(F.flatten(F.transform("__hits", lambda h: F.transform(h["starts"], lambda s: F.sequence(s + h["shift"], s + h["shift"] + h["size"] - 1)))))))
-    listed = F.array_distinct(F.filter(F.transform("__hits", lambda h: h["item"]), lambda i: i.isNotNull()))
+    def extended(dw: Column) -> Column:
+        every = F.transform("__aligned", lambda a: F.struct(a["item"].alias("item"), a["shift"].alias("shift"), F.least(F.size(a["iw"]), F.lit(window)).alias("size"), starts(a, dw).alias("starts")))
+        return let(F.filter(every, lambda h: F.size(h["starts"]) > 0), result)
+
+    def result(hits: Column) -> Column:
+        places = F.flatten(F.flatten(F.transform(hits, lambda h: F.transform(h["starts"], lambda s: F.sequence(s + h["shift"], s + h["shift"] + h["size"] - 1)))))
+        listed = F.filter(F.transform(hits, lambda h: h["item"]), lambda i: i.isNotNull())
+        return F.struct(F.array_sort(F.array_distinct(places)).alias("places"), F.array_distinct(listed).alias("items"))
+
+    # words are bound in one expression: a filter on hits would copy a column of words into every lambda
+    found_here = F.when(F.col("__aligned").isNotNull(), let(words(F.col(text)), extended))
+    joined = joined.select(*passed, count, found_here.alias("__found"))
     none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>"))
-    return joined.select(*passed, "n_words", none(places, "int").alias("hit_places"), none(listed, benchmark.schema["item_id"].dataType.simpleString()).alias("hit_items"))
+    return joined.select(*passed, "n_words", none(F.col("__found")["places"], "int").alias("hit_places"), none(F.col("__found")["items"], benchmark.schema["item_id"].dataType.simpleString()).alias("hit_items"))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
