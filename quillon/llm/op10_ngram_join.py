@@ -2,12 +2,17 @@
 
 Texts become sets of hashed five-word shingles (words: digits, letters and all beyond ASCII, A-Z
 lowered). Equal sets are one class, compared once. Band and row counts follow from the recall wanted
-at the threshold; classes that share a band's hash meet in its bucket, and every pair that meets is
-verified on the full sets, in the first band that the two share and nowhere else, so each link counts
-once. Sets only travel for classes that meet another, and pairs are never rows: a bucket's task
-returns how many documents each class is linked to, and a spanning forest of its links. Buckets are
-cut by the size of their sets, and the pairs of cuts are dealt out, so no task holds a whole large
-bucket.
+at the threshold, where a candidate pair shares at least two bands. Classes meet in the buckets of
+their bands' hashes, first with nothing but their band hashes:
+
+1. Classes that share many bands are given one *home*; a home gathers a group of near copies.
+2. All pairs inside a home are verified on the full sets, which travel there once. Candidate pairs
+   of different homes are verified in the first bucket that the two share, where only classes with
+   such a pair send their sets. So each link counts once.
+
+Pairs are never rows: a task returns how many documents each class is linked to, and a spanning
+forest of its links. Large buckets and homes are cut, and the pairs of cuts are dealt out, so no task
+holds a whole one.
 """
 
 from __future__ import annotations
@@ -27,19 +32,28 @@ from quillon.llm.shared import written
 
 WORDS = 5
 THRESHOLD = 0.8
-RECALL = 0.9999
-#: Shingles (8 bytes each) in one cut of a bucket, and in one task's group of buckets, about.
+RECALL = 0.999
+#: Bands that a candidate pair shares at least, and share of all bands that makes two classes one home's.
+LEAST_SHARED, HOME_SHARE = 2, 0.25
+#: Shingles (8 bytes each) in one cut of a home or bucket, and in one task's group of them, about.
 CUT_SHINGLES, GROUP_SHINGLES = 1 << 20, 1 << 20
+#: Classes in one cut of a bucket while only band hashes meet, and in one task's group.
+CUT_CLASSES, GROUP_CLASSES = 2_000, 20_000
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 128) -> tuple[int, int]:
-    """(bands, rows): the most rows, so the fewest chance meetings, that ``most`` hashes allow."""
+    """(bands, rows): the most rows, so the fewest chance meetings, that ``most`` hashes allow.
+
+    A pair at the threshold shares at least ``LEAST_SHARED`` bands with a probability of ``recall``.
+    """
     best = (most, 1)
     for rows in range(1, most + 1):
         p = threshold**rows
-        bands = 1 if p >= 1 else math.ceil(math.log(1 - recall) / math.log1p(-p))
-        if bands * rows <= most:
-            best = (bands, rows)
+        for bands in range(LEAST_SHARED, most // rows + 1):
+            missed = sum(math.comb(bands, k) * p**k * (1 - p) ** (bands - k) for k in range(LEAST_SHARED))
+            if missed <= 1 - recall:
+                best = (bands, rows)
+                break
     return best
 
 
@@ -141,7 +155,7 @@ def _roots(linked: np.ndarray) -> np.ndarray:
     n = len(linked)
     root = np.arange(n)
     while True:
-        low = np.where(linked, root[None, :], n).min(axis=1, initial=n)
+        low = np.where(linked, root[None, :], n).min(axis=1)
         new = np.minimum(root, low)
         new = new[new]
         if (new == root).all():
@@ -149,6 +163,53 @@ def _roots(linked: np.ndarray) -> np.ndarray:
         root = new
 
 
+def _cut(rows: DataFrame) -> DataFrame:
+    """Members (rep, band, hash, cuts) dealt to the pairs of cuts of their bucket; ``cut`` is a member's own."""
+    own = F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int")
+    dealt = rows.distinct().withColumn("cut", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    return dealt.select("rep", "band", "hash", "cut", F.least("cut", "other").alias("low"), F.greatest("cut", "other").alias("high"))
+
+
+def _dealt(rows: DataFrame, total: int, together: int) -> DataFrame:
+    return rows.withColumn("group", F.pmod(F.xxhash64("band", "hash", "low", "high"), F.lit(max(1, -(-total // together)))))
+
+
+def _groups(table: pa.Table, rep: np.ndarray):
+    """Rows of each pair of cuts of each bucket in the table, by rep, and its (band, hash, low, high)."""
+    where = np.stack([np.asarray(table[c]).astype(np.int64) for c in ("band", "hash", "low", "high")])
+    order = np.lexsort((rep, *where[::-1]))
+    ordered = where[:, order]
+    first = np.flatnonzero(np.concatenate(([True], (ordered[:, 1:] != ordered[:, :-1]).any(axis=0)))) if len(order) else np.empty(0, np.int64)
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=False):
+        i = order[a:b]
+        i = i[np.concatenate(([True], rep[i][1:] != rep[i][:-1]))]  # repeated rows of one id
+        if len(i) > 1:
+            yield i, tuple(ordered[:, a].tolist())
+
+
+def _vectors(table: pa.Table, bands: int) -> np.ndarray:
+    lists = table["bands"].combine_chunks()
+    return np.asarray((pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists).flatten()).reshape(-1, bands)
+
+
+def _shared(own: np.ndarray) -> np.ndarray:
+    """How many bands each pair shares."""
+    out = np.zeros((len(own), len(own)), np.uint8)
+    for v in own.T:
+        out += v[:, None] == v[None, :]
+    return out
+
+
+def _candidates(own: np.ndarray, home: np.ndarray, band: int) -> np.ndarray:
+    """Pairs of different homes that share enough bands, of which this one is the first."""
+    pairs = home[:, None] != home[None, :]
+    if pairs.any():
+        pairs &= _shared(own) >= LEAST_SHARED
+        for v in own.T[:band]:
+            pairs &= v[:, None] != v[None, :]
+    return pairs
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, width: int = WORDS, recall: float = RECALL) -> DataFrame:
     """(key, class_id, n_links) for each row.
 
@@ -164,42 +225,64 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     classes = every.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     own = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep", "copies")
     heads = every.join(own, (F.col("id") == F.col("rep")) & (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))).select("rep", "copies", "size", "bands")
-    met = heads.select("rep", "size", F.posexplode("bands").alias("band", "hash"))
-    buckets = met.groupBy("band", "hash").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.sum("size").alias("total")).where("least < most")
-    buckets = buckets.select(F.col("band").alias("b"), F.col("hash").alias("h"), F.ceil(F.col("total") / F.lit(CUT_SHINGLES)).cast("int").alias("cuts"))
-    members = met.join(buckets, (F.col("band") == F.col("b")) & (F.col("hash") == F.col("h"))).select("rep", "size", "band", "hash", "cuts", F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int").alias("cut")).distinct()
-    members = written(members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))), "buckets")
-    members = members.withColumn("low", F.least("cut", "other")).withColumn("high", F.greatest("cut", "other"))
-    total = int(members.agg(F.sum("size").alias("n")).first()["n"] or 0)
-    groups = max(1, -(-total // GROUP_SHINGLES))
-    needed = members.select(F.col("rep").alias("need")).distinct()
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(needed, F.col("id") == F.col("need"), "left_semi")
-    # a repeated id may come with other texts: the class's own set is the one with its identity
-    sets = shingle_sets(texts, "id", "text", width)
-    bodies = heads.join(needed, F.col("rep") == F.col("need"), "left_semi").join(sets, F.col("rep") == F.col("id")).where(F.octet_length("shingles") == 8 * F.col("size")).select(F.col("rep").alias("r"), "copies", "bands", "shingles")
-    dealt = members.join(bodies, F.col("rep") == F.col("r")).select("rep", "copies", "bands", "shingles", "band", "hash", "cut", "low", "high", F.pmod(F.xxhash64("band", "hash", "low", "high"), F.lit(groups)).alias("group"))
+    met = heads.select("rep", F.posexplode("bands").alias("band", "hash"))
+    buckets = met.groupBy("band", "hash").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most")
+    buckets = buckets.select(F.col("band").alias("b"), F.col("hash").alias("h"), F.ceil(F.col("n") / F.lit(CUT_CLASSES)).cast("int").alias("cuts"))
+    members = written(_cut(met.join(buckets, (F.col("band") == F.col("b")) & (F.col("hash") == F.col("h"))).select("rep", "band", "hash", "cuts")), "buckets")
+    needed = members.select("rep").distinct()
+    vectors = written(heads.join(needed, "rep", "left_semi").select(F.col("rep").alias("r"), "copies", "size", "bands").distinct(), "vectors")
+    dealt = _dealt(members.join(vectors, F.col("rep") == F.col("r")), members.count(), GROUP_CLASSES)
+    least_home = max(LEAST_SHARED, math.ceil(HOME_SHARE * bands))
+
+    def gather(table: pa.Table) -> pa.Table:
+        """Who is of one home, as far as a bucket shows it."""
+        rep, own, out = np.asarray(table["rep"].cast(pa.int64())), _vectors(table, bands), []
+        for i, _ in _groups(table, rep):
+            root = _roots(_shared(own[i]) >= least_home)
+            moved = np.flatnonzero(root != np.arange(len(i)))
+            out.append(np.stack((rep[i[moved]], rep[i[root[moved]]]), axis=1))
+        both = np.concatenate(out) if out else np.empty((0, 2), np.int64)
+        return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
+
+    homes = written(components(dealt.groupBy("group").applyInArrow(gather, "a long, b long")), "homes")
+    settled = written(vectors.join(homes, F.col("r") == F.col("node"), "left").select("r", "copies", "size", "bands", F.coalesce("component", "r").alias("home")), "settled")
+
+    def strangers(table: pa.Table) -> pa.Table:
+        """Members of buckets that have a candidate of another home there, and nowhere before."""
+        rep, own = np.asarray(table["rep"].cast(pa.int64())), _vectors(table, bands)
+        home, cut, out = np.asarray(table["home"].cast(pa.int64())), np.asarray(table["cut"]), []
+        for i, (band, _, low, high) in _groups(table, rep):
+            pairs = _candidates(own[i], home[i], band)
+            if low != high:
+                pairs &= cut[i][:, None] != cut[i][None, :]
+            out.append(i[pairs.any(axis=1)])
+        return table.select(["rep", "band", "hash", "cut", "low", "high"]).take(pa.array(np.concatenate(out) if out else np.empty(0, np.int64)))
+
+    met_again = _dealt(members.join(settled, F.col("rep") == F.col("r")), members.count(), GROUP_CLASSES)
+    kind = docs.schema[key].dataType.simpleString()
+    across = met_again.groupBy("group").applyInArrow(strangers, f"rep {kind}, band int, hash long, cut int, low int, high int")
+    sizes = settled.groupBy(F.col("home").alias("h")).agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    sizes = sizes.select("h", F.ceil(F.col("n") / F.lit(CUT_SHINGLES)).cast("int").alias("cuts"))
+    inside = _cut(settled.join(sizes, F.col("home") == F.col("h")).select(F.col("r").alias("rep"), F.lit(-1).alias("band"), F.col("home").cast("long").alias("hash"), "cuts"))
+    places = written(inside.unionByName(across), "places")
+    wanted = places.select(F.col("rep").alias("need")).distinct()
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(wanted, F.col("id") == F.col("need"), "left_semi")
+    # a repeated id may come with other texts: the class's own set is the one of its size
+    sets = shingle_sets(texts, "id", "text", width).withColumnRenamed("id", "__id")
+    bodies = settled.join(sets, F.col("r") == F.col("__id")).where(F.octet_length("shingles") == 8 * F.col("size"))
+    total = int(places.join(settled, F.col("rep") == F.col("r")).agg(F.sum("size").alias("n")).first()["n"] or 0)
+    verified = _dealt(places.join(bodies, F.col("rep") == F.col("r")), total, GROUP_SHINGLES)
 
     def link(table: pa.Table) -> pa.Table:
-        rep, copies = np.asarray(table["rep"].cast(pa.int64())), np.asarray(table["copies"])
-        own_bands = np.asarray(table["bands"].combine_chunks().flatten()).reshape(-1, bands)
-        where = np.stack([np.asarray(table[c]).astype(np.int64) for c in ("band", "hash", "low", "high")])
-        cut = np.asarray(table["cut"])
-        raw = table["shingles"]
-        order = np.lexsort((rep, *where[::-1]))
-        ordered = where[:, order]
-        first = np.flatnonzero(np.concatenate(([True], (ordered[:, 1:] != ordered[:, :-1]).any(axis=0))))
+        rep, copies, own = np.asarray(table["rep"].cast(pa.int64())), np.asarray(table["copies"]), _vectors(table, bands)
+        home, cut, raw = np.asarray(table["home"].cast(pa.int64())), np.asarray(table["cut"]), table["shingles"]
         out_rep, out_root, out_links = [], [], []
-        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
-            i = order[a:b]
-            i = i[np.concatenate(([True], rep[i][1:] != rep[i][:-1]))]  # repeated rows of one id
-            if len(i) < 2:
-                continue
+        for i, (band, _, low, high) in _groups(table, rep):
             linked = verify([np.frombuffer(raw[int(x)].as_py(), K.U64) for x in i], threshold)
-            if ordered[2, a] != ordered[3, a]:
+            if low != high:
                 linked &= cut[i][:, None] != cut[i][None, :]
-            for before in range(int(ordered[0, a])):
-                v = own_bands[i, before]
-                linked &= v[:, None] != v[None, :]
+            if band >= 0:
+                linked &= _candidates(own[i], home[i], band)
             links = linked @ copies[i]
             hit = np.flatnonzero(links)
             out_rep.append(rep[i[hit]])
@@ -208,7 +291,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
         cat = lambda x: pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64())
         return pa.table({"rep": cat(out_rep), "root": cat(out_root), "links": cat(out_links)})
 
-    found = written(dealt.groupBy("group").applyInArrow(link, "rep long, root long, links long"), "links")
+    found = written(verified.groupBy("group").applyInArrow(link, "rep long, root long, links long"), "links")
     links = found.groupBy(F.col("rep").alias("l")).agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     named = classes.join(links, F.col("rep") == F.col("l"), "left").join(parts, F.col("rep") == F.col("node"), "left")
