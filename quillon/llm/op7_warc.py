@@ -29,6 +29,8 @@ SHARD_BYTES, FILE_BYTES = 32 << 20, 16 << 20
 RANGES = 4096
 #: Copies of payloads of at least so many bytes are revisits.
 LEAST_REVISIT = 0
+#: Of compression; higher ones take twice the time for some per cent of size.
+LEVEL = 4
 #: Pages carry no time; headers need one, and the same input has to give the same files.
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -57,7 +59,7 @@ def record(page: int | None, url: str | None, payload: bytes, refers_to: int | N
 
 
 def _member(raw: bytes) -> bytes:
-    gz = zlib.compressobj(6, zlib.DEFLATED, 31)  # a gzip header without name or time
+    gz = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)  # a gzip header without name or time
     return gz.compress(raw) + gz.flush()
 
 
@@ -110,19 +112,21 @@ def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "
     narrow = base.where(F.octet_length("html") >= least_revisit).select("page", "digest")
     kept = narrow.groupBy("digest").agg(F.max("page").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1 AND keeper IS NOT NULL")
     revisits = narrow.join(kept, "digest").where(~F.col("page").eqNullSafe(F.col("keeper"))).select(F.col("page").alias("p"), F.col("digest").alias("d"), "keeper").distinct()
-    joined = base.join(revisits, F.col("page").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
     cuts = _shards(base, "page", "html", shard_bytes)
     shard = F.lit(0)
     if cuts:
         # the number of bounds is the number of shards; each is looked up by halving
         bounds = F.lit(cuts)
         shard = F.when(F.col("page").isNull(), 0).otherwise(F.size(F.filter(bounds, lambda b: b <= F.col("page"))))
-    ordered = joined.select(shard.cast("long").alias("shard"), "page", "url", "html", "keeper")
-    ordered = ordered.repartition(max(1, len(cuts) + 1), "shard").sortWithinPartitions("shard", "page", "html", "url")
+    # what a page refers to travels to its shard as a row of its own, just before the page: payloads move once
+    pages_rows = base.select(shard.cast("long").alias("shard"), "page", "digest", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("keeper"))
+    notes = revisits.withColumnsRenamed({"p": "page", "d": "digest"}).select(shard.cast("long").alias("shard"), "page", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "keeper")
+    ordered = pages_rows.unionByName(notes).repartition(max(1, len(cuts) + 1), "shard").sortWithinPartitions("shard", "page", "digest", "kind", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
         now, part, size, raw_size = None, 0, 0, 0
+        refers = (None, None, None)
 
         def flush() -> pa.RecordBatch:
             data = b"".join(held)
@@ -130,7 +134,11 @@ def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "
             return pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names=["shard", "part", "temporary", "bytes", "records", "units"])
 
         for batch in batches:
-            for s, page, address, text, keeper in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for s, page, digest, kind, address, text, keeper in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if not kind:
+                    refers = (page, digest, keeper)
+                    continue
+                keeper = refers[2] if refers[:2] == (page, digest) else None
                 if held and (s != now or size >= file_bytes):
                     yield flush()
                     part = part + 1 if s == now else 0
