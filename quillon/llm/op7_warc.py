@@ -65,13 +65,16 @@ def _member(raw: bytes) -> bytes:
 
 def records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (lower-case names) and block of each record of a compressed file."""
-    view = memoryview(raw)
-    while len(view):
-        gz = zlib.decompressobj(31)
-        text = gz.decompress(view) + gz.flush()
-        if not gz.eof:
-            raise ValueError("a record is cut off")
-        view = view[len(view) - len(gz.unused_data) :]
+    view, at = memoryview(raw), 0
+    while at < len(view):
+        gz, parts = zlib.decompressobj(31), []
+        while not gz.eof:  # small pieces: what a member leaves unused is copied
+            piece = view[at : at + 4096]
+            if not len(piece):
+                raise ValueError("a record is cut off")
+            parts.append(gz.decompress(piece))
+            at += len(piece) - len(gz.unused_data)
+        text = b"".join(parts)
         head, _, rest = text.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
