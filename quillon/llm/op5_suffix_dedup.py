@@ -18,6 +18,10 @@ where an earlier match is possible, in blocks that hold all suffixes which could
    positions give the suffixes with an earlier match. Chunks get back what concerns their spans.
 4. Chunks mark the covered bytes.
 
+The edges of a passage that a third of all rows share have anchors with as many different spans as
+rows. Anchors found in many chunks are therefore *hot*: each string of their spans is sent for itself,
+to a block that its own hash names too, so that no block holds a hot anchor's spans.
+
 Traffic is some 0.4 bytes for each byte of text for 1, and about 6 bytes for each repeated byte for 2.
 """
 
@@ -36,6 +40,8 @@ from quillon.llm.shared import text_bytes
 
 LENGTH = 50
 CHUNK_BYTES = 4 << 20
+#: An anchor found in so many chunks is hot. Below, its block gets spans from fewer chunks than this.
+HOT_CHUNKS = 256
 _LAST = np.iinfo(np.int64).max
 #: Anchors travel as their upper 47 bits and a flag; a chance match only costs a look at its spans.
 _CUT = ~np.uint64(0x1FFFF)
@@ -144,6 +150,25 @@ def _key(h: np.ndarray, spans: K.Spans, lo: np.ndarray, hi: np.ndarray, length:
     return K.mix64(h * K.U64(0xD6E8FEB86659FD93) + spans.hash(lo, hi + length))
 
 
+def _apart(hot: np.ndarray, spans: K.Spans, length: int, h: np.ndarray, lo: np.ndarray, hi: np.ndarray, *others: np.ndarray) -> list[np.ndarray]:
+    """Hot spans as their single strings, each under a hash of its own; other spans as they are."""
+    if not hot.any():
+        return [h, lo, hi, *others]
+    n = np.where(hot, hi - lo + 1, 1)
+    of = np.repeat(np.arange(len(h)), n)
+    hot, at = hot[of], K.ragged(lo, n)
+    single = K.mix64(h[of] ^ spans.hash(at, at + length))
+    return [np.where(hot, single, h[of]), at, np.where(hot, at, hi[of]), *(x[of] for x in others)]
+
+
+def _among(values: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which values are in an ascending array, and where."""
+    if not len(ordered):
+        return np.zeros(len(values), bool), np.zeros(len(values), np.int64)
+    at = np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)
+    return ordered[at] == values, at
+
+
 def _least(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First place of each distinct key with its least id; whether it has several ids."""
     order = np.lexsort((ids, key))
@@ -172,9 +197,11 @@ def _table(rows: list[tuple[int, int, bytes]], names: tuple[str, str, str]) -> p
 
 _SENT = "__bucket long, __from long, __load binary"
 _BACK = "__to long, __bucket long, __load binary"
+#: In place of a bucket: the load is a chunk's hot anchors.
+_HOT = -1
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, chunk_bytes: int = CHUNK_BYTES, hot_chunks: int = HOT_CHUNKS) -> DataFrame:
     """The rows with ``removed_spans`` (maximal removed byte ranges), ``kept_bytes`` and ``kept_text``.
 
     ``kept_bytes`` drops exactly the removed bytes; ``kept_text`` keeps characters that are only
@@ -215,6 +242,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         keep = flag.copy()
         keep[1:] |= same
         keep[:-1] |= same
+        # a chunk sends an anchor once: as many equal ones as chunks
+        first = np.flatnonzero(np.concatenate(([True], ~same)))
+        size = np.diff(np.concatenate((first, [len(hs)])))
+        h[order] |= np.repeat(size >= hot_chunks, size).astype(K.U64)
         order = np.sort(order[keep])
         bucket = table["__bucket"][0].as_py()
         return _table([(int(origins[o]), b, load) for o, b, load in _rows(origin[order], bucket, lambda a, b: h[order[a:b]].tobytes())], ("__to", "__bucket", "__load"))
@@ -223,12 +254,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         if not len(back) or not len(table):
             return _table([], ("__bucket", "__from", "__load"))
         wanted = np.sort(np.frombuffer(b"".join(back["__load"].to_pylist()), K.U64))
+        hot, wanted = (wanted & K.U64(1)).astype(bool), wanted & ~K.U64(1)
         found: list[list[np.ndarray]] = [[] for _ in range(5)]
         for data, spans, h, lo, hi, row, _, ids in _walk(table, text, key, length, k):
-            cut = h & _CUT
-            at = np.minimum(np.searchsorted(wanted, cut), len(wanted) - 1)
-            use = wanted[at] == cut
-            h, lo, hi, row = h[use], lo[use], hi[use], row[use]
+            use, at = _among(h & _CUT, wanted)
+            h, lo, hi, row = _apart(hot[at[use]], spans, length, h[use], lo[use], hi[use], row[use])
             keys = _key(h, spans, lo, hi, length)
             first, several, least = _least(keys, ids[row])  # equal spans of a block once
             body, _ = K.gather(data, lo[first], hi[first] + length)
@@ -250,14 +280,23 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             return len(head).to_bytes(8, "little") + head + K.pack(body[K.ragged(starts[i], n[i])])
 
         chunk = table["__chunk"][0].as_py()
-        return _table(list(_rows(_buckets(h[at], chunks), chunk, make)), ("__bucket", "__from", "__load"))
+        rows = list(_rows(_buckets(h[at], chunks), chunk, make))
+        if hot.any():  # comes back as it is, for the last step
+            rows.append((chunk, chunk, bytes(8) + K.pack(wanted[hot])))
+        return _table(rows, ("__bucket", "__from", "__load"))
 
     def match_spans(table: pa.Table) -> pa.Table:
-        heads, bodies = [], []
-        for x in table["__load"].to_pylist():
+        heads, bodies, sender, same = [], [], [], []
+        for x, origin in zip(table["__load"].to_pylist(), table["__from"].to_pylist(), strict=True):
             m = int.from_bytes(x[:8], "little")
+            if not m:
+                same.append((origin, _HOT, x[8:]))
+                continue
+            sender.append(origin)
             heads.append(K.unpack(x[8 : 8 + m], "u8", "u8", "i8", "i8"))
             bodies.append(K.unpack(x[8 + m :], "u1")[0])
+        if not heads:
+            return _table(same, ("__to", "__bucket", "__load"))
         h, keys, ids, sizes = (np.concatenate(x) for x in zip(*heads, strict=True))
         body = np.concatenate(bodies)
         origin = np.repeat(np.arange(len(heads)), [len(x[0]) for x in heads])
@@ -270,15 +309,16 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         useful = (mask != 0).any(axis=1) | (ids > least) | ((sizes & 1) == 1)
         bucket = table["__bucket"][0].as_py()
         at = np.flatnonzero(useful)
-        sender = table["__from"].to_pylist()
         load = lambda a, b: K.pack(keys[at[a:b]], least[at[a:b]], *mask[at[a:b]].T)
-        return _table([(sender[o], b, x) for o, b, x in _rows(origin[at], bucket, load)], ("__to", "__bucket", "__load"))
+        return _table(same + [(sender[o], b, x) for o, b, x in _rows(origin[at], bucket, load)], ("__to", "__bucket", "__load"))
 
     word_count = -(-(length - k + 1) // 64)
     out_schema = T.StructType([*out_fields, *T._parse_datatype_string("removed_spans array<struct<start: long, end: long>>, kept_bytes binary, kept_text string").fields])
 
     def cut_out(table: pa.Table, back: pa.Table) -> pa.Table:
-        parts = [K.unpack(x, "u8", "i8", *["u8"] * word_count) for x in back["__load"].to_pylist()]
+        loads = list(zip(back["__bucket"].to_pylist(), back["__load"].to_pylist(), strict=True))
+        parts = [K.unpack(x, "u8", "i8", *["u8"] * word_count) for b, x in loads if b != _HOT]
+        hot = np.sort(np.concatenate([np.empty(0, K.U64), *(K.unpack(x, "u8")[0] for b, x in loads if b == _HOT)]))
         data, start, end = K.utf8(table[text])
         place = np.cumsum(end - start) - (end - start)  # of each row in the chunk's own line of bytes
         delta = np.zeros(int((end - start).sum()) + 1, np.int32)
@@ -287,9 +327,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             order = np.argsort(keys)
             keys, least, mask = keys[order], least[order], [m[order] for m in mask]
             for _, spans, h, lo, hi, row, shift, ids in _walk(table, text, key, length, k):
-                own = _key(h, spans, lo, hi, length)
-                at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                use = keys[at] == own
+                h, lo, hi, row, shift = _apart(_among(h & _CUT, hot)[0], spans, length, h, lo, hi, row, shift)
+                use, at = _among(_key(h, spans, lo, hi, length), keys)
                 at, lo, hi, row, shift = at[use], lo[use], hi[use], row[use], shift[use]
                 base = lo + shift - start[row] + place[row]
                 whole = ids[row] > least[at]

@@ -56,6 +56,18 @@ def test_suffix_dedup(docs):
     assert text[0] is None and text[2] == " \n "
 
 
+def test_suffix_dedup_hot_anchors(spark):
+    """A passage in most rows, whose edges differ in each; the same with and without hot anchors."""
+    rng = random.Random(5)
+    own = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared, other = own(130), own(55)
+    rows = [(i, own(rng.randint(0, 90)) + shared + rng.choice(("x", "yz", own(40))) + (other if i % 3 else own(20)) + shared[:70]) for i in range(60)] + [(60, None), (61, shared[20:]), (62, "")]
+    docs, want = spark.createDataFrame(rows, "doc_id long, text string"), removed(rows)
+    for hot in (2, 5, 1 << 30):
+        got = op5_suffix_dedup.remove_repeats(docs, chunk_bytes=900, hot_chunks=hot).collect()
+        assert {r.doc_id: bytes(r.kept_bytes) for r in got} == want
+
+
 def test_suffix_dedup_ties_and_nulls(spark):
     t = "abcdefghij" * 8
     got = op5_suffix_dedup.remove_repeats(spark.createDataFrame([(1, t), (1, t), (None, t), (2, t)], "doc_id long, text string")).collect()
