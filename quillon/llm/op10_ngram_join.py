@@ -37,7 +37,7 @@ RECALL = 0.999
 LEAST_SHARED, HOME_SHARE = 2, 0.25
 #: Shingles (8 bytes each) in one cut of a home or bucket, and in one task's group of them, about.
 CUT_SHINGLES, GROUP_SHINGLES = 1 << 20, 1 << 20
-#: Classes in one cut of a bucket while only band hashes meet, and in one task's group.
+#: Classes in one cut of a bucket or home, and in one task's group while only band hashes meet.
 CUT_CLASSES, GROUP_CLASSES = 2_000, 20_000
 
 
@@ -121,12 +121,17 @@ def shingle_sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return docs.select(key, text).mapInArrow(run, schema)
 
 
+def _by_rows(n: int, make, step: int = 256) -> np.ndarray:
+    """make(a, b) for runs of rows of a matrix of n rows, so that only matrices of one byte a pair are whole."""
+    return np.concatenate([make(a, min(a + step, n)) for a in range(0, n, step)])
+
+
 def verify(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     """Matrix of which pairs of sets have a Jaccard similarity of at least the threshold."""
     m = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     if m == 2:
-        common = np.zeros((2, 2), np.int64)
+        common = np.zeros((2, 2), np.float32)
         common[0, 1] = common[1, 0] = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
     else:
         owner = np.repeat(np.arange(m), size)
@@ -137,15 +142,19 @@ def verify(sets: list[np.ndarray], threshold: float) -> np.ndarray:
         by = np.argsort(place, kind="stable")
         owner, place = owner[by], place[by]
         common = np.zeros((m, m), np.float32)
-        total, step = int(column[-1]) + 1 if len(column) else 0, 4096
+        total, step = int(column[-1]) + 1 if len(column) else 0, max(256, (1 << 21) // m)
         for a in range(0, total, step):
             i, j = np.searchsorted(place, (a, a + step))
             x = np.zeros((m, min(step, total - a)), np.float32)
             x[owner[i:j], place[i:j] - a] = 1
-            common += x @ x.T
-        common = np.rint(common).astype(np.int64)
-    union = size[:, None] + size[None, :] - common
-    linked = (common >= np.ceil(threshold * union - 1e-9)) & (common > 0)
+            for r in range(0, m, 256):
+                common[r : r + 256] += x[r : r + 256] @ x.T
+
+    def similar(a: int, b: int) -> np.ndarray:
+        both = common[a:b].astype(np.float64)  # whole numbers, exact up to 2 ** 24
+        return (both >= np.ceil(threshold * (size[a:b, None] + size[None, :] - both) - 1e-9)) & (both > 0)
+
+    linked = _by_rows(m, similar)
     np.fill_diagonal(linked, False)
     return linked
 
@@ -155,7 +164,7 @@ def _roots(linked: np.ndarray) -> np.ndarray:
     n = len(linked)
     root = np.arange(n)
     while True:
-        low = np.where(linked, root[None, :], n).min(axis=1)
+        low = _by_rows(n, lambda a, b: np.where(linked[a:b], root[None, :], n).min(axis=1))  # noqa: B023
         new = np.minimum(root, low)
         new = new[new]
         if (new == root).all():
@@ -262,7 +271,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     kind = docs.schema[key].dataType.simpleString()
     across = met_again.groupBy("group").applyInArrow(strangers, f"rep {kind}, band int, hash long, cut int, low int, high int")
     sizes = settled.groupBy(F.col("home").alias("h")).agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    sizes = sizes.select("h", F.ceil(F.col("n") / F.lit(CUT_SHINGLES)).cast("int").alias("cuts"))
+    sizes = sizes.select("h", F.ceil(F.greatest(F.col("n") / F.lit(CUT_SHINGLES), F.col("m") / F.lit(CUT_CLASSES))).cast("int").alias("cuts"))
     inside = _cut(settled.join(sizes, F.col("home") == F.col("h")).select(F.col("r").alias("rep"), F.lit(-1).alias("band"), F.col("home").cast("long").alias("hash"), "cuts"))
     places = written(inside.unionByName(across), "places")
     wanted = places.select(F.col("rep").alias("need")).distinct()
@@ -283,7 +292,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
                 linked &= cut[i][:, None] != cut[i][None, :]
             if band >= 0:
                 linked &= _candidates(own[i], home[i], band)
-            links = linked @ copies[i]
+            links = _by_rows(len(i), lambda a, b: linked[a:b] @ copies[i])  # noqa: B023
             hit = np.flatnonzero(links)
             out_rep.append(rep[i[hit]])
             out_links.append(links[hit])
