@@ -267,7 +267,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
             out.append(i[pairs.any(axis=1)])
         return table.select(["rep", "band", "hash", "cut", "low", "high"]).take(pa.array(np.concatenate(out) if out else np.empty(0, np.int64)))
 
-    met_again = _dealt(members.join(settled, F.col("rep") == F.col("r")), members.count(), GROUP_CLASSES)
+    # a bucket whose members are all of one home has no pairs for the next step, so its bands needn't travel again
+    in_home = members.select("rep", "band", "hash").join(homes, F.col("rep") == F.col("node"), "left").select("band", "hash", F.coalesce("component", "rep").alias("home"))
+    mixed = in_home.groupBy(F.col("band").alias("b"), F.col("hash").alias("x")).agg(F.min("home").alias("least"), F.max("home").alias("most")).where("least < most").select("b", "x")
+    mixed = written(members.join(mixed, (F.col("band") == F.col("b")) & (F.col("hash") == F.col("x")), "left_semi"), "mixed")
+    met_again = _dealt(mixed.join(settled, F.col("rep") == F.col("r")), mixed.count(), GROUP_CLASSES)
     kind = docs.schema[key].dataType.simpleString()
     across = met_again.groupBy("group").applyInArrow(strangers, f"rep {kind}, band int, hash long, cut int, low int, high int")
     sizes = settled.groupBy(F.col("home").alias("h")).agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("m")).where("m > 1")
