@@ -32,7 +32,7 @@ from quillon.llm.shared import written
 
 WORDS = 5
 THRESHOLD = 0.8
-RECALL = 0.999
+RECALL = 0.9999
 #: Bands that a candidate pair shares at least, and share of all bands that makes two classes one home's.
 LEAST_SHARED, HOME_SHARE = 2, 0.25
 #: Shingles (8 bytes each) in one cut of a home or bucket, and in one task's group of them, about.
