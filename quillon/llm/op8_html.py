@@ -1,9 +1,13 @@
 """Main text of HTML pages by two-pass block rules.
 
 A page becomes blocks of text. In the first pass each block is good, bad or undecided by where it
-stands (menus, footers, adverts and the like are bad; an article element's blocks are good unless
-they are mostly links), its link density, length and density of stop words. In the second pass
-undecided blocks inherit the label of their nearest decided neighbours.
+stands (menus, footers, adverts and the like are bad), its link density, length and density of stop
+words. In the second pass undecided blocks inherit the label of their nearest decided neighbours.
+
+An article or main element is evidence, not a verdict: inside, lower limits hold, and the edges count
+as good neighbours if a block inside is good or none on the page is; blocks outside are judged as on
+other pages. Where no block of the page is good, stop words say nothing of its language, and blocks
+inside are not bad for having none.
 """
 
 from __future__ import annotations
@@ -46,14 +50,15 @@ class Part:
     text: str
     linked: int
     dropped: bool
-    article: bool
+    article: int  # number of the outermost article or main element, 0 outside
     heading: bool
 
 
 def blocks(page: str) -> list[Part]:
     """The page's blocks with text, in page order."""
     out: list[Part] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, dropped here or above, in an article
+    stack: list[tuple[str, bool, int]] = []  # name, dropped here or above, number of the article
+    articles = 0
     texts: list[str] = []
     linked = 0
     heading = False
@@ -63,7 +68,7 @@ def blocks(page: str) -> list[Part]:
         if texts:
             text = " ".join("".join(texts).split())
             if text:
-                _, dropped, article = stack[-1] if stack else ("", False, False)
+                _, dropped, article = stack[-1] if stack else ("", False, 0)
                 out.append(Part(text, linked, dropped, article, heading))
             texts.clear()
         linked, heading = 0, False
@@ -119,7 +124,7 @@ def blocks(page: str) -> list[Part]:
             if name == "hr":
                 flush()
             continue
-        _, dropped, article = stack[-1] if stack else ("", False, False)
+        _, dropped, article = stack[-1] if stack else ("", False, 0)
         names = set()
         if m[3] and ("=" in m[3]):
             for got in NAMES.findall(m[3]):
@@ -130,7 +135,9 @@ def blocks(page: str) -> list[Part]:
             dropped = True
         elif "header" in names and not article and name not in HEADING and name not in ("html", "body", "main"):
             dropped = True
-        article = article or (name in ("article", "main") or "main" in names and "role" in m[3].lower()) and not dropped
+        if not article and not dropped and (name in ("article", "main") or "main" in names and "role" in m[3].lower()):
+            articles += 1
+            article = articles
         if name in RAW:
             end = re.compile(rf"</{name}\b", re.I).search(page, i)
             i = end.start() if end else n
@@ -149,48 +156,67 @@ def stop_density(text: str) -> float:
 
 def labels(parts: list[Part]) -> list[bool]:
     """Which blocks belong to the main text."""
-    has_article = any(p.article and not p.dropped for p in parts)
     first: list[bool | None] = []
     near: list[bool] = []
+    thin: list[bool] = []  # inside an article, without the stop words that even its lower limit asks for
     for p in parts:
         links = p.linked / len(p.text)
         near.append(False)
-        if p.dropped or has_article and not p.article:
+        thin.append(False)
+        if p.dropped:
             first.append(False)
-        elif has_article:
-            first.append(None if links > LINKS else True)
         elif links > LINKS:
-            first.append(False)
+            first.append(None if p.article and len(p.text) < SHORT else False)
         elif p.heading or len(p.text) < SHORT:
             first.append(None)
         else:
             density = stop_density(p.text)
-            near[-1] = density >= LOW
-            first.append(True if density >= HIGH and len(p.text) >= LONG or density >= HIGH * 2 else None if density >= LOW else False)
+            if p.article:
+                near[-1], thin[-1] = LOW / 2 <= density < LOW, density < LOW / 2
+                first.append(True if density >= LOW else None)
+            else:
+                near[-1] = density >= LOW
+                first.append(True if density >= HIGH and len(p.text) >= LONG or density >= HIGH * 2 else None if density >= LOW else False)
+    found = any(first)
+    if found:
+        first = [False if t else label for label, t in zip(first, thin, strict=True)]
+    out = [False] * len(parts)
+    a = 0
+    while a < len(parts):
+        b = a + 1
+        while b < len(parts) and parts[b].article == parts[a].article:
+            b += 1
+        edge = parts[a].article > 0 and (not found or any(first[a:b]))
+        inherit(parts, first, near, edge, a, b, out)
+        a = b
+    return out
+
+
+def inherit(parts: list[Part], first: list[bool | None], near: list[bool], edge: bool, a: int, b: int, out: list[bool]) -> None:
+    """Second pass over the blocks a to b, all inside one article or all outside, whose edges have the label ``edge``."""
+    inside = parts[a].article > 0
     before: list[tuple[int, bool]] = []
-    last = (-1, False)
-    for k, label in enumerate(first):
-        last = (k, label) if label is not None else last
+    last = (a - 1, edge)
+    for k in range(a, b):
+        if first[k] is not None and not (inside and parts[k].dropped):  # what an article embeds says nothing of its text
+            last = (k, first[k])
         before.append(last)
-    out, nxt = [False] * len(parts), (len(parts), False)
-    for k in range(len(parts) - 1, -1, -1):
-        label = first[k]
+    nxt = (b, edge)
+    for k in range(b - 1, a - 1, -1):
+        label, p, prev = first[k], parts[k], before[k - a]
         if label is not None:
-            nxt = (k, label)
+            nxt = nxt if inside and p.dropped else (k, label)
             out[k] = label
-            continue
-        p = parts[k]
-        if has_article:  # mostly links, inside the article: stays only between good blocks
-            out[k] = before[k][1] and nxt[1] and len(p.text) < SHORT
+        elif p.linked / len(p.text) > LINKS:  # mostly links, inside the article: stays only between good blocks
+            out[k] = prev[0] >= a and prev[1] and nxt[0] < b and nxt[1]
         elif p.heading:
             out[k] = nxt[1]
-        elif before[k][1] == nxt[1]:
+        elif prev[1] == nxt[1]:
             out[k] = nxt[1]
         elif near[k]:
             out[k] = True
         else:
-            out[k] = nxt[1] if nxt[0] - k < k - before[k][0] else before[k][1] if nxt[0] - k > k - before[k][0] else False
-    return out
+            out[k] = nxt[1] if nxt[0] - k < k - prev[0] else prev[1] if nxt[0] - k > k - prev[0] else inside
 
 
 def main_text(page: str | None) -> str:
