@@ -61,3 +61,32 @@ def get_or_create(stored: DataFrame, wanted: DataFrame, key: str, id_column: str
 def delete_cascade(parents: DataFrame, children: DataFrame, doomed: DataFrame, key: str, foreign: str) -> tuple[DataFrame, DataFrame]:
     """Both tables without the doomed parents and their children; null foreign keys stay."""
     return parents.join(doomed, key, "left_anti"), children.join(doomed.select(F.col(key).alias("__k")), F.col(foreign) == F.col("__k"), "left_anti")
+
+
+#: The reference's stop words for matching questions to text blocks.
+MATCH_STOP_WORDS = ("o a os as um uma uns umas de do da dos das em no na nos nas para por com sem que e ou mas se como é são foi nao não".split())
+
+
+def clean_words(text: str) -> Column:
+    """Distinct lower-case words of more than two letters that aren't stop words."""
+    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
+    return F.filter(found, lambda w: (F.length(w) > 2) & ~w.isin(*MATCH_STOP_WORDS))
+
+
+def best_overlap(items: DataFrame, docs: DataFrame, item: str, doc: str, text: str = "text") -> DataFrame:
+    """(item, doc, overlap) for each item: the document with which it shares most clean words, the least id on ties.
+
+    A document is eligible with at least 4 shared words, or with 2 that are over 0.6 of its own words.
+    Items without an eligible document have a null document and overlap 0. Rows that repeat an item's
+    id count together, those that repeat a document's alone; rows with a null id are left out.
+
+    The items are broadcast as one list for each word, so they should be the small side. A document's
+    shared words are counted where it is read, so a frequent word sends no rows of its own.
+    """
+    own = items.where(F.col(item).isNotNull()).select(F.col(item).cast("long").alias(item), text)
+    lists = own.select(item, F.explode(clean_words(text)).alias("w")).groupBy("w").agg(F.collect_set(item).alias("__items"))
+    read = docs.where(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias(doc), F.monotonically_increasing_id().alias("__row"), clean_words(text).alias("__words"))
+    met = read.select(doc, "__row", F.size("__words").alias("__size"), F.explode("__words").alias("w")).join(F.broadcast(lists), "w")
+    hits = met.select(F.explode("__items").alias(item), doc, "__row", "__size").groupBy(item, doc, "__row", "__size").agg(F.count(F.lit(1)).alias("overlap"))
+    best = best_per_key(hits.where("overlap >= 4 OR overlap >= 2 AND overlap / __size > 0.6"), [item], [F.desc("overlap"), F.asc(doc)])
+    return own.select(item).distinct().join(best, item, "left").select(item, doc, F.coalesce("overlap", F.lit(0).cast("long")).alias("overlap"))

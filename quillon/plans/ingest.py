@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions.semantics import long
-from quillon.operators.relational import asof_latest, best_per_key, sync_actions
+from quillon.operators.relational import asof_latest, best_overlap, best_per_key, sync_actions
 from quillon.sources import load
 
 
@@ -98,7 +98,11 @@ def q25_density(spark, d):
 
 
 def q26_similarity(spark, d):
-    """For each item the document that shares most words: tokens are joined, never pairs of texts."""
+    """For each item the document that shares most words: tokens are joined, never pairs of texts.
+
+    As its SQL has it, only words of over 4 plain letters and at least 4 shared ones count. The whole
+    rule of the survey's J12 is ``q39_block_match``.
+    """
     tokens = lambda df, i: df.select(F.col(i), F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) > 4))).alias("w"))
     hits = tokens(load(spark, d, "benchmark"), "item_id").join(tokens(load(spark, d, "documents"), "doc_id"), "w").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     best = best_per_key(hits.where("n >= 4"), ["item_id"], [F.desc("n"), F.asc("doc_id")])
@@ -165,6 +169,11 @@ def q36_recent(spark, d):
     return w.select(long("user_id").alias("user_id"), long("n").alias("n"), "event_type")
 
 
+def q39_block_match(spark, d):
+    """For each item the document that shares most words, by all rules of the survey's J12."""
+    return best_overlap(load(spark, d, "benchmark"), load(spark, d, "documents"), "item_id", "doc_id")
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("q") and k[1:3].isdigit()}
 B = "CAST({0} AS BIGINT) AS {1}".format
 ORACLE_SQL = {
