@@ -1,4 +1,4 @@
-"""Session helpers: shared folders, written intermediates, Spark-side file listing and commits."""
+"""Session helpers: the shared folder and written intermediates."""
 
 from __future__ import annotations
 
@@ -8,22 +8,31 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 _own: dict[str, str] = {}
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of the JVM for any URI that Spark can read."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """The folder that driver and executors share, ``spark.checkpoint.dir``, as a URI with its scheme.
 
-    Where it is unset (tests, one machine) a temporary folder is made and set once for the session.
+    Where it is unset and everything runs in one process (tests) a temporary folder is made, once for
+    the session; on a cluster an unset folder is an error, as no other is sure to be shared.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="quillon-shared-")
         _own[spark.sparkContext.applicationId] = at
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
+    fs, p = hadoop_path(spark, at)
+    return fs.makeQualified(p).toString().rstrip("/")
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:
@@ -38,29 +47,14 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing will read again."""
+    for table in tables:
+        for file in table.inputFiles()[:1]:
+            fs, p = hadoop_path(table.sparkSession, file)
+            fs.delete(p.getParent(), True)
+
+
 def text_bytes(df: DataFrame, column: str) -> int:
     """UTF-8 bytes of a column over all rows (one pruned scan)."""
     return int(df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0)
-
-
-def hadoop_path(spark: SparkSession, path: str):
-    """(file system, path) of the JVM for any URI that Spark can read."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def rename(spark: SparkSession, source: str, target: str) -> None:
-    fs, a = hadoop_path(spark, source)
-    _, b = hadoop_path(spark, target)
-    if not fs.rename(a, b):
-        raise OSError(f"{source} could not be renamed to {target}")
-
-
-def write_small(spark: SparkSession, path: str, data: bytes) -> None:
-    """One small file (a manifest), under a temporary name first."""
-    fs, tmp = hadoop_path(spark, path + ".tmp")
-    out = fs.create(tmp, True)
-    out.write(bytearray(data))
-    out.close()
-    rename(spark, path + ".tmp", path)

@@ -22,8 +22,8 @@ _OTHER, _LETTER, _NUMBER, _SPACE, _UNSURE = range(5)
 #: Blocks whose characters have had one class for as long as the pattern's engine exists.
 _SURE = ((0x0000, 0x0377), (0x0384, 0x052F), (0x2000, 0x2064), (0x20A0, 0x20BF), (0x2100, 0x2BFF), (0x3000, 0x30FF), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0xFF01, 0xFF5E), (0x1F300, 0x1F64F))
 _WHITE = (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
-#: Distinct pre-tokens that a worker remembers; beyond that it starts anew.
-_REMEMBERED = 1_500_000
+#: Bytes of distinct pre-tokens that a worker remembers (some 45 for each); beyond that it starts anew.
+_REMEMBERED = 96 << 20
 
 
 def default_path() -> str:
@@ -66,32 +66,39 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self._known: dict[int, int] = {}
-        self._pool, self._pool_used = np.empty(1 << 20, np.uint32), 0
-        self._start, self._size = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int32)
+        self._hashes, self._number = np.empty(0, K.U64), np.empty(0, np.int32)  # ascending hashes, and which pre-token each is
+        self._start, self._size = np.empty(0, np.int64), np.empty(0, np.int32)
+        self._pool, self._pool_used = np.empty(1 << 18, np.uint32), 0
+
+    def _held(self) -> int:
+        return 24 * len(self._hashes) + 4 * len(self._pool)
 
     def _learn(self, hashes: np.ndarray, first: np.ndarray, end: np.ndarray, data: np.ndarray) -> np.ndarray:
-        """Numbers of the distinct pre-tokens; new ones are encoded."""
-        known, out = self._known, np.empty(len(hashes), np.int64)
-        tokenize, raw, table = self._model.tokenize, data.tobytes(), self._table
-        for i, (h, a, b) in enumerate(zip(hashes.tolist(), first.tolist(), end.tolist(), strict=True)):
-            n = known.get(h)
-            if n is None:
-                ids = [t.id for t in tokenize(raw[a:b].decode("latin-1").translate(table))]
-                n = known[h] = len(known)
-                while self._pool_used + len(ids) > len(self._pool):
-                    self._pool = np.concatenate((self._pool, np.empty_like(self._pool)))
-                if n >= len(self._start):
-                    self._start, self._size = (np.concatenate((x, np.empty_like(x))) for x in (self._start, self._size))
-                self._pool[self._pool_used : self._pool_used + len(ids)] = ids
-                self._start[n], self._size[n] = self._pool_used, len(ids)
-                self._pool_used += len(ids)
-            out[i] = n
-        return out
+        """Numbers of the distinct pre-tokens, given in order of their hashes; new ones are encoded."""
+        at = np.searchsorted(self._hashes, hashes)
+        known = np.zeros(len(hashes), bool)
+        inside = np.flatnonzero(at < len(self._hashes))
+        known[inside] = self._hashes[at[inside]] == hashes[inside]
+        new = np.flatnonzero(~known)
+        if len(new):
+            tokenize, raw, table = self._model.tokenize, data.tobytes(), self._table
+            found = [[t.id for t in tokenize(raw[a:b].decode("latin-1").translate(table))] for a, b in zip(first[new].tolist(), end[new].tolist(), strict=True)]
+            sizes = np.fromiter(map(len, found), np.int32, len(found))
+            total = int(sizes.sum())
+            while self._pool_used + total > len(self._pool):
+                self._pool = np.concatenate((self._pool, np.empty_like(self._pool)))
+            self._pool[self._pool_used : self._pool_used + total] = [i for ids in found for i in ids]
+            numbers = len(self._start) + np.arange(len(new), dtype=np.int32)
+            self._start = np.concatenate((self._start, self._pool_used + np.cumsum(sizes, dtype=np.int64) - sizes))
+            self._size = np.concatenate((self._size, sizes))
+            self._pool_used += total
+            self._hashes, self._number = np.insert(self._hashes, at[new], hashes[new]), np.insert(self._number, at[new], numbers)
+            at = np.searchsorted(self._hashes, hashes)
+        return self._number[at]
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids of the rows of a buffer, one after another, and the bounds of each row among them."""
-        if len(self._known) > _REMEMBERED:
+        if self._held() > _REMEMBERED:
             self._forget()
         ids, cut, whole = self._encode_sure(data, bounds)
         if not len(whole):
@@ -178,13 +185,38 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _pieces(data: np.ndarray, most: int) -> list[int]:
+    """Places that cut a long text into pieces of about ``most`` bytes without changing its tokens.
+
+    A single space between two printable ASCII characters always begins a pre-token. A text without
+    such a space comes whole.
+    """
+    printable = lambda x: (x > 32) & (x < 127)
+    cuts, at = [0], most
+    while at + 2 < len(data):
+        near = data[at - 1 : at + 65536]
+        found = np.flatnonzero((near[1:-1] == 32) & printable(near[:-2]) & printable(near[2:]))
+        if len(found):
+            at += int(found[0])
+            cuts.append(at)
+            at += most
+        else:
+            at += 65000
+    return [*cuts, len(data)]
+
+
 def encode_column(column: pa.Array | pa.ChunkedArray, path: str, end_id: int | None = END_ID):
     """For runs of rows: first row, ids one after another (each row's end id included), row bounds."""
     data, start, end = K.utf8(column)
     own = encoder(path)
     for i, j in K.blocks(start, end):
         buffer, bounds = K.gather(data, start[i:j], end[i:j])
-        ids, cut = own.encode(buffer, bounds)
+        if j == i + 1 and len(buffer) > 2 * K.BLOCK_BYTES:
+            cuts = _pieces(buffer, K.BLOCK_BYTES)
+            ids = np.concatenate([own.encode(buffer[a:b], np.array([0, b - a]))[0] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+            cut = np.array([0, len(ids)])
+        else:
+            ids, cut = own.encode(buffer, bounds)
         if end_id is not None:
             ids = np.insert(ids, cut[1:], np.uint32(end_id))
             cut = cut + np.arange(len(cut))

@@ -1,7 +1,5 @@
 """Each operator on small awkward tables, against a brute-force version or a round trip."""
 
-import base64
-import hashlib
 import random
 import re
 import zlib
@@ -10,9 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quillon.llm import kernel, op1_chat, op2_quality, op3_ordinal, op4_packing, op5_suffix_dedup, op6_token_files, op7_warc, op8_html, op9_decontaminate, op10_ngram_join, tokens
+from quillon.llm import kernel, op1_chat, op2_quality, op3_ordinal, op4_packing, op5_suffix_dedup, op8_html, op9_decontaminate, op10_ngram_join, tokens
 from quillon.llm.components import components
-from quillon.llm.shared import new_folder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, path string"
 
@@ -161,29 +158,6 @@ def test_packing_plan_is_gapless():
             assert at <= 64
 
 
-def test_token_files(spark, docs):
-    folder = new_folder(spark, "t")
-    m = op6_token_files.write_tokens(docs, folder, shard_bytes=4000)
-    got = op6_token_files.read_tokens(spark, folder, m, with_ids=True).orderBy("doc_id").collect()
-    own = tokens.encoder(tokens.default_path())._library
-    want = [own.encode(t or "", add_special_tokens=False).ids + [2] for t in texts()]
-    assert [r.ids for r in got] == want and [r.start for r in got] == [sum(map(len, want[:i])) for i in range(len(want))]
-    empty = new_folder(spark, "t")
-    assert op6_token_files.read_tokens(spark, empty, op6_token_files.write_tokens(docs.limit(0), empty)).count() == 0
-    ids = np.array([7] * 600 + [4_000_000_000, 0] * 300, np.uint32)
-    assert (op6_token_files.decode_file(op6_token_files.encode_file(np.array([1]), np.array([len(ids)]), ids))[2] == ids).all()
-
-
-def test_warc(spark):
-    pages = spark.createDataFrame([(1, "http://a", "x"), (2, "http://b\n", "x"), (3, None, None), (4, "u", ""), (None, "n", "x"), (9, "é", "é" * 500)], "page_id long, url string, html string")
-    folder = new_folder(spark, "w")
-    m = op7_warc.write_warc(pages, folder, file_bytes=300)
-    got = {r.page_id: r for r in op7_warc.read_warc(spark, folder, m).collect()}
-    assert {k: (r.record_type, r.refers_to) for k, r in got.items()} == {1: ("revisit", 2), 2: ("response", None), 3: ("revisit", 4), 4: ("response", None), None: ("revisit", 2), 9: ("response", None)}
-    assert got[1].payload_digest == base64.b32encode(hashlib.sha1(b"x").digest()).decode() and got[9].payload_bytes == 1000
-    assert op7_warc.write_warc(pages.limit(0), new_folder(spark, "w")) == []
-
-
 def test_html(spark):
     page = "<html><head><title>t</title></head><body><header>Site</header><nav><a href=x>Home</a></nav><div class='cookie-notice'>Cookies</div><article><h1>Head &amp; more</h1><p><b>One<br>two<p>Short.<div class=ad>Buy</div><script>var a='</p>'</script><section id=comments><p>Nice!</p></section></article><aside>s</aside><footer>f</footer>"
     pages = spark.createDataFrame([(1, page), (2, None), (3, ""), (4, "<p"), (5, "a <b")], "page_id long, html string")
