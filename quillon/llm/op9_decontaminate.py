@@ -6,6 +6,10 @@ place, so joining fingerprints finds every shared run of 10 words (k = 5, w = 6)
 extended: along each alignment of a document and an item the words themselves are compared, and only
 runs of 10 equal words count. Shorter items are one window each and have fingerprints of their own
 for their length.
+
+Documents are known by 128 bits of their id and text, so null and repeated ids don't meet. Only rows
+(document, item, shifts) are shuffled for the candidates; texts are read again for the documents that
+have any. What is broadcast is measured in bytes first, and joined by a shuffle beyond the bound.
 """
 
 from __future__ import annotations
@@ -14,13 +18,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.native import let, upto
+from quillon.llm.shared import written
 
 WINDOW = 10
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Benchmark fingerprints up to this many (some 50 MB) are broadcast; more are joined by a shuffle.
-BROADCAST_FINGERPRINTS = 500_000
+#: Tables of at most so many bytes, by count and content, are broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+#: Bytes of a row of numbers in a hashed table, about.
+_ROW = 48
 
 
 def words(text: Column) -> Column:
@@ -44,53 +51,68 @@ def fingerprints(tokens: Column, shared: int) -> Column:
     return let(grams, winnow)
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def _side(table: DataFrame, size: int, limit: int) -> DataFrame:
+    return F.broadcast(table) if size <= limit else table
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The documents with n_words, hit_places (word numbers inside any occurrence of a window), hit_items.
 
     Null texts have no words; items without words never hit. Rows of one item id are several texts
     of that item; repeated rows change nothing. Null document ids are compared like any other; rows
     that share an id are each judged on their own text. Null item ids hit, but aren't listed. Columns
-    of the new names are replaced, others pass through. Empty tables give no hits or no rows.
+    of the new names are replaced, others pass through; names that begin with ``__`` are reserved.
+    Empty tables give no hits or no rows. Texts are read whole, however long.
     """
-    items = benchmark.select(F.col("item_id").alias("item"), words(F.col("text")).alias("iw")).where(F.size("iw") > 0).distinct()
-    lengths = [r[0] for r in items.select(F.least(F.size("iw"), F.lit(window)).alias("n")).distinct().collect()]  # at most ``window`` values
-    print_of = lambda column, n: F.transform(let(F.col(column), lambda w: fingerprints(w, n)), lambda e: F.struct(F.lit(n).alias("n"), e["h"].alias("h"), e["p"].alias("p")))
-    base = docs.select(F.col(key).alias("d"), words(F.col(text)).alias("dw"))
-    found = None
-    for n in lengths:
-        own = items.where(F.size("iw") >= n if n == window else F.size("iw") == n)
-        a = base.select("d", F.explode(print_of("dw", n)).alias("e")).select("d", F.col("e.h").alias("h"), F.col("e.p").alias("p"))
-        b = own.select("item", "iw", F.explode(print_of("iw", n)).alias("e")).select("item", "iw", F.col("e.h").alias("ih"), F.col("e.p").alias("q"))
-        few = b.count() <= BROADCAST_FINGERPRINTS
-        pairs = a.join(F.broadcast(b) if few else b, F.col("h") == F.col("ih")).select("d", "item", "iw", (F.col("p") - F.col("q")).alias("shift"))
-        found = pairs if found is None else found.union(pairs)
     passed = [c for c in docs.columns if c not in ("n_words", "hit_places", "hit_items")]
     count = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(_WORD_ANY_CASE)).cast("long").alias("n_words")
-    if found is None:
-        return docs.select(*passed, count, F.array().cast("array<int>").alias("hit_places"), F.array().cast(benchmark.schema["item_id"].dataType.simpleString().join(("array<", ">"))).alias("hit_items"))
-    aligned = found.distinct().groupBy(F.col("d").alias("__d")).agg(F.collect_list(F.struct("item", "iw", "shift")).alias("__aligned"))
-    joined = docs.select(*passed).join(aligned, F.col(key).eqNullSafe(F.col("__d")), "left")
-
-    def starts(a: Column, dw: Column) -> Column:
-        """Places in the item where a whole window equals the document's words along the alignment."""
+    kinds = "array<int>", f"array<{benchmark.schema['item_id'].dataType.simpleString()}>"
+    whole = benchmark.select(F.col("item_id").alias("item"), words(F.col("text")).alias("iw")).where(F.size("iw") > 0).distinct()
+    items = written(whole.select(F.monotonically_increasing_id().alias("number"), "item", "iw", F.least(F.size("iw"), F.lit(window)).alias("n")), "items")
+    lengths = sorted(r[0] for r in items.select("n").distinct().collect())  # at most ``window`` values
+    if not lengths:
+        return docs.select(*passed, count, F.array().cast(kinds[0]).alias("hit_places"), F.array().cast(kinds[1]).alias("hit_items"))
+
+    def prints(w: Column, of: Column | None = None) -> Column:
+        """Fingerprints (n, h, p) for all lengths of items, or for the one that the item has."""
+        one = lambda n: F.transform(fingerprints(w, n), lambda e: F.struct(F.lit(n).alias("n"), e["h"].alias("h"), e["p"].alias("p")))
+        return F.concat(*(one(n) if of is None else F.when(of == n, one(n)).otherwise(F.filter(one(n), lambda e: F.lit(False))) for n in lengths))
+
+    whose = F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(key).isNull()
+    names = (F.xxhash64(*whose, text).alias("__k1"), F.xxhash64(F.lit(1), text, *whose).alias("__k2"))
+    asked = items.select("number", F.explode(let(F.col("iw"), lambda w: prints(w, F.col("n")))).alias("e")).select("number", F.col("e.n").alias("bn"), F.col("e.h").alias("bh"), F.col("e.p").alias("q"))
+    seen = docs.select(*names, F.explode(let(words(F.col(text)), prints)).alias("e")).select("__k1", "__k2", F.col("e.n").alias("n"), F.col("e.h").alias("h"), F.col("e.p").alias("p"))
+    met = seen.join(_side(asked, _ROW * asked.count(), broadcast_bytes), (F.col("n") == F.col("bn")) & (F.col("h") == F.col("bh")))
+    aligned = written(met.groupBy("__k1", "__k2", "number").agg(F.collect_set(F.col("p") - F.col("q")).alias("shifts")), "aligned")
+
+    # the words of documents that have an alignment are compared with the items'
+    hit_keys = aligned.select("__k1", "__k2").distinct()
+    few = _side(hit_keys, _ROW * hit_keys.count(), broadcast_bytes)
+    texts = docs.select(*names, F.col(text).alias("__text")).join(few, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"])
+    meant = aligned.join(items.select("number", "item", "iw"), "number").groupBy("__k1", "__k2").agg(F.collect_list(F.struct("item", "iw", "shifts")).alias("__aligned"))
+
+    def starts(a: Column, shift: Column, dw: Column) -> Column:
+        """Places in the document where a whole window equals the item's words along the alignment."""
         size = F.least(F.size(a["iw"]), F.lit(window))
-        same = F.transform(a["iw"], lambda x, q: F.coalesce(x == F.get(dw, q + a["shift"]), F.lit(False)))
-        return let(same, lambda s: F.filter(upto(F.size(s) - size + 1), lambda q: F.forall(F.slice(s, q + 1, size), lambda x: x)))
+        same = F.transform(a["iw"], lambda x, q: F.coalesce(x == F.get(dw, q + shift), F.lit(False)))
+        return let(same, lambda s: F.transform(F.filter(upto(F.size(s) - size + 1), lambda q: F.forall(F.slice(s, q + 1, size), lambda x: x)), lambda q: q + shift))
 
     def extended(dw: Column) -> Column:
-        every = F.transform("__aligned", lambda a: F.struct(a["item"].alias("item"), a["shift"].alias("shift"), F.least(F.size(a["iw"]), F.lit(window)).alias("size"), starts(a, dw).alias("starts")))
+        every = F.transform("__aligned", lambda a: F.struct(a["item"].alias("item"), F.least(F.size(a["iw"]), F.lit(window)).alias("size"), F.flatten(F.transform(a["shifts"], lambda s: starts(a, s, dw))).alias("starts")))
         return let(F.filter(every, lambda h: F.size(h["starts"]) > 0), result)
 
     def result(hits: Column) -> Column:
-        places = F.flatten(F.flatten(F.transform(hits, lambda h: F.transform(h["starts"], lambda s: F.sequence(s + h["shift"], s + h["shift"] + h["size"] - 1)))))
+        places = F.flatten(F.flatten(F.transform(hits, lambda h: F.transform(h["starts"], lambda s: F.sequence(s, s + h["size"] - 1)))))
         listed = F.filter(F.transform(hits, lambda h: h["item"]), lambda i: i.isNotNull())
         return F.struct(F.array_sort(F.array_distinct(places)).alias("places"), F.array_distinct(listed).alias("items"))
 
     # words are bound in one expression: a filter on hits would copy a column of words into every lambda
-    found_here = F.when(F.col("__aligned").isNotNull(), let(words(F.col(text)), extended))
-    joined = joined.select(*passed, count, found_here.alias("__found"))
-    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>"))
-    return joined.select(*passed, "n_words", none(F.col("__found")["places"], "int").alias("hit_places"), none(F.col("__found")["items"], benchmark.schema["item_id"].dataType.simpleString()).alias("hit_items"))
+    checked = texts.join(meant, ["__k1", "__k2"]).select("__k1", "__k2", let(words(F.col("__text")), extended).alias("__found"))
+    hits = written(checked.select(F.col("__k1").alias("__h1"), F.col("__k2").alias("__h2"), F.col("__found.places").alias("__places"), F.col("__found.items").alias("__items")), "hits").where(F.size("__places") > 0)
+    size = hits.agg(F.sum(_ROW + 4 * F.size("__places") + _ROW * F.size("__items")).alias("n")).first()["n"] or 0
+    joined = docs.select(*passed, count, *names).join(_side(hits, size, broadcast_bytes), (F.col("__k1") == F.col("__h1")) & (F.col("__k2") == F.col("__h2")), "left")
+    none = lambda c, kind: F.coalesce(F.col(c), F.array().cast(kind))
+    return joined.select(*passed, "n_words", none("__places", kinds[0]).alias("hit_places"), none("__items", kinds[1]).alias("hit_items"))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
