@@ -44,18 +44,26 @@ def sync_actions(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     return joined.select(F.coalesce("__s", "__i").alias(key), F.when(F.col("__in_s").isNull(), "insert").when(F.col("__in_i").isNull(), "delete").otherwise("update").alias("action"))
 
 
-def upsert(stored: DataFrame, incoming: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Stored rows with the incoming values where there are any, and new rows. Keys are unique on each side."""
+def upsert(stored: DataFrame, incoming: DataFrame, key: str, columns: list[str], keep: tuple[str, ...] | None = None) -> DataFrame:
+    """Stored rows with the incoming values, and new rows. Keys are unique on each side.
+
+    An incoming null leaves the stored value of the columns in ``keep`` (all of them by default) and
+    replaces that of others. Stored rows that nothing comes for stay as they are.
+    """
+    kept = columns if keep is None else keep
     new = incoming.select(F.col(key).alias("__k"), *(F.col(c).alias(f"__{c}") for c in columns))
-    return stored.join(new, F.col(key) == F.col("__k"), "full_outer").select(F.coalesce(key, "__k").alias(key), *(F.coalesce(f"__{c}", c).alias(c) for c in columns))
+    value = lambda c: F.coalesce(f"__{c}", c) if c in kept else F.when(F.col("__k").isNotNull(), F.col(f"__{c}")).otherwise(F.col(c))
+    return stored.join(new, F.col(key) == F.col("__k"), "full_outer").select(F.coalesce(key, "__k").alias(key), *(value(c).alias(c) for c in columns))
 
 
 def get_or_create(stored: DataFrame, wanted: DataFrame, key: str, id_column: str) -> DataFrame:
     """Stored rows and one new row, with the next ids, for each wanted key that none has."""
+    from quillon.operators.library import numbered
+
     missing = wanted.select(key).distinct().join(stored, key, "left_anti")
-    top = stored.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("__top"))
-    numbered = missing.withColumn("__n", F.row_number().over(W.orderBy(key))).join(F.broadcast(top))
-    return stored.select(id_column, key).unionByName(numbered.select((F.col("__top") + F.col("__n")).cast(stored.schema[id_column].dataType).alias(id_column), key))
+    top = stored.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("__top"))  # one row
+    new = numbered(missing, [key], "__n").join(F.broadcast(top))
+    return stored.select(id_column, key).unionByName(new.select((F.col("__top") + F.col("__n")).cast(stored.schema[id_column].dataType).alias(id_column), key))
 
 
 def delete_cascade(parents: DataFrame, children: DataFrame, doomed: DataFrame, key: str, foreign: str) -> tuple[DataFrame, DataFrame]:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.plans import ingest, stats
+from quillon.plans import answers, ingest, intake, library, pool, stats
 from quillon.streaming import events
 
-_PARTS = (stats, ingest, events)
+_PARTS = (stats, ingest, answers, library, intake, pool, events)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}

@@ -23,8 +23,12 @@ def q10_sync(spark, d):
 
 
 def q11_duplicate_source(spark, d):
-    t = load(spark, d, "documents").groupBy("text").agg(F.min("doc_id").alias("original"), F.sort_array(F.collect_list("doc_id")).alias("l"))
-    return t.where(F.size("l") > 1).select(long("original").alias("original"), _concat(F.slice("l", 2, 1_000_000_000)).alias("copies"))
+    """(original, copy) for each document whose text one with a smaller id has. Only texts whose hash occurs twice move."""
+    t = load(spark, d, "documents").select("doc_id", "text", F.xxhash64("text").alias("h"))
+    twice = t.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    few = t.join(twice, "h", "left_semi").select("doc_id", "text")
+    first = few.groupBy(F.col("text").alias("t")).agg(F.min("doc_id").alias("original"))
+    return few.join(first, F.col("text").eqNullSafe(F.col("t"))).where("doc_id <> original").select(long("original").alias("original"), long("doc_id").alias("copy"))
 
 
 def q15_text_pack(spark, d):
@@ -45,7 +49,9 @@ def q17_date_pack(spark, d):
 
 def q18_title(spark, d):
     """Dashes unified, edges stripped, parts that repeat (in any case) dropped in order by a fold."""
-    t = F.concat(F.col("p_name"), F.lit(" – "), F.col("p_type"), F.lit(" - "), F.lower("p_type"), F.lit(" - "), F.col("p_brand"), F.lit(" -"))
+    k = F.col("p_partkey")
+    again = F.when(k % 3 == 0, F.upper("p_name")).when(k % 3 == 1, F.lower("p_brand")).otherwise("new")
+    t = F.concat(F.col("p_name"), F.lit(" – "), F.col("p_type"), F.lit(" - "), F.when(k % 2 == 0, F.lower("p_type")).otherwise(F.lower("p_brand")), F.lit(" — "), F.col("p_brand"), F.lit(" -  "), again, F.lit(" -"))
     clean = F.btrim(F.regexp_replace(F.regexp_replace(t, "–|—", "-"), "\\s+", " "), F.lit(" -"))
     fold = F.aggregate(F.split(clean, " - "), F.array().cast("array<string>"), lambda a, x: F.when(F.exists(a, lambda y: F.lower(y) == F.lower(x)), a).otherwise(F.concat(a, F.array(x))))
     return load(spark, d, "part").select(long("p_partkey").alias("id"), F.upper(F.array_join(fold, " - ")).alias("title"))
@@ -59,11 +65,9 @@ def q19_paragraphs(spark, d):
 
 def q20_best_version(spark, d):
     """The best line of each (order, number): highest quantity, then price, then part and supplier; flags of all merged."""
-    li = load(spark, d, "lineitem")
-    keys = ["l_orderkey", "l_linenumber"]
-    flags = li.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_set("l_returnflag")), ",").alias("flags"), F.count(F.lit(1)).alias("n"))
-    best = best_per_key(li.select(*keys, "l_quantity", "l_extendedprice", "l_partkey", "l_suppkey"), keys, [F.desc("l_quantity"), F.desc("l_extendedprice"), F.asc("l_partkey"), F.asc("l_suppkey")])
-    return best.join(flags, keys).select(long("l_orderkey").alias("order_id"), long("l_linenumber").alias("number"), long("l_partkey").alias("part"), long("n").alias("versions"), "flags")
+    best = F.max_by("l_partkey", F.struct("l_quantity", "l_extendedprice", -F.col("l_partkey"), -F.col("l_suppkey")))
+    g = load(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(best.alias("part"), F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_set("l_returnflag")), ",").alias("flags"))
+    return g.select(long("l_orderkey").alias("order_id"), long("l_linenumber").alias("number"), long("part").alias("part"), long("n").alias("versions"), "flags")
 
 
 def q21_gaps(spark, d):
@@ -116,7 +120,7 @@ def q27_asof(spark, d):
 
 
 def q28_intervals(spark, d):
-    """Events inside the gap that a user's next error ends, and the bounds of their values."""
+    """Events before a user's next error, by that error, and the bounds of their values. Spans against gaps are in q60."""
     e = load(spark, d, "events")
     nxt = F.min(F.when(F.col("event_type") == "error", F.col("ts"))).over(W.partitionBy("user_id").orderBy("ts").rowsBetween(1, W.unboundedFollowing))
     g = e.withColumn("gap", nxt).where("event_type <> 'error' AND gap IS NOT NULL").groupBy("user_id", "gap").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
@@ -142,8 +146,9 @@ def q31_anchors(spark, d):
 
 
 def q32_sample(spark, d, count: int = 20, seed: int = 42):
-    """A seeded random sample of at most 100 rows."""
-    return load(spark, d, "part").select("p_partkey", "p_name").orderBy(F.rand(seed)).limit(max(0, min(count, 100)))
+    """A seeded sample of at most 100 rows: those with the least hash of seed and id, however the rows are dealt."""
+    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.col("p_partkey").cast("string")))
+    return load(spark, d, "part").select(long("p_partkey").alias("p_partkey"), "p_name").orderBy(drawn, "p_partkey").limit(max(0, min(count, 100)))
 
 
 def q33_queue(spark, d):
@@ -178,11 +183,14 @@ QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("q") and k[1
 B = "CAST({0} AS BIGINT) AS {1}".format
 ORACLE_SQL = {
     "q10_sync": "WITH p AS (SELECT page_id, split_part(url, '?', 1) AS url FROM pages), s AS (SELECT DISTINCT url FROM p WHERE page_id % 3 <> 0), i AS (SELECT DISTINCT url FROM p WHERE page_id % 5 <> 0) SELECT coalesce(s.url, i.url) AS url, CASE WHEN s.url IS NULL THEN 'insert' WHEN i.url IS NULL THEN 'delete' ELSE 'update' END AS action FROM s FULL JOIN i ON s.url = i.url",
-    "q11_duplicate_source": "WITH r AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS o FROM documents) SELECT o AS original, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS copies FROM r WHERE doc_id <> o GROUP BY o",
+    "q11_duplicate_source": "WITH r AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS o FROM documents) SELECT CAST(o AS BIGINT) AS original, CAST(doc_id AS BIGINT) AS copy FROM r WHERE doc_id <> o",
     "q15_text_pack": f"SELECT {B('c_custkey', 'id')}, lower(c_name) AS low, trim(' -' || c_mktsegment || '- ', ' -') AS stripped, replace(c_name, '#', '/') AS rejoined, left(c_mktsegment, 3) AS head, right(c_name, 4) AS tail, lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') AS padded, regexp_replace(c_name, '[^0-9]', '', 'g') AS digits, c_mktsegment LIKE 'A%' AS starts, {B('length(c_name)', 'chars')} FROM customer",
     "q16_json_pack": f"SELECT {B('event_id', 'event_id')}, CASE WHEN event_id % 7 = 0 THEN NULL ELSE TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events",
     "q17_date_pack": f"SELECT {B('o_orderkey', 'id')}, {B('DATE ' + repr('2024-01-30') + ' - CAST(o_orderdate AS DATE)', 'days')}, CAST(CAST(o_orderdate AS DATE) + 5 AS VARCHAR) AS later, lpad(CAST(o_orderkey // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(o_orderkey % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0') AS clock FROM orders",
-    "q18_title": f"SELECT {B('p_partkey', 'id')}, upper(p_name || ' - ' || p_type || CASE WHEN lower(p_brand) = lower(p_type) THEN '' ELSE ' - ' || p_brand END) AS title FROM part",
+    "q18_title": """
+WITH p AS (SELECT p_partkey, [p_name, p_type, CASE WHEN p_partkey % 2 = 0 THEN lower(p_type) ELSE lower(p_brand) END, p_brand, CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN lower(p_brand) ELSE 'new' END] AS l FROM part),
+r AS (SELECT p_partkey, list_reduce(list_transform(l, lambda x: [x]), lambda a, x: CASE WHEN list_contains(list_transform(a, lambda y: lower(y)), lower(x[1])) THEN a ELSE list_concat(a, x) END) AS l FROM p)
+SELECT CAST(p_partkey AS BIGINT) AS id, upper(array_to_string(l, ' - ')) AS title FROM r""",
     "q19_paragraphs": f"WITH s AS (SELECT conv_id, turn, string_split(text, '. ') AS l FROM conversations WHERE role = 'user'), e AS (SELECT conv_id, turn, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS p FROM s) SELECT {B('conv_id', 'conv_id')}, {B('turn', 'turn')}, {B('p // 2', 'n')}, string_agg(x, '. ' ORDER BY p) AS paragraph FROM e GROUP BY conv_id, turn, p // 2",
     "q20_best_version": f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_quantity DESC, l_extendedprice DESC, l_partkey, l_suppkey) AS rn FROM lineitem), f AS (SELECT l_orderkey, l_linenumber, count(*) AS n, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags FROM lineitem GROUP BY 1, 2) SELECT {B('r.l_orderkey', 'order_id')}, {B('r.l_linenumber', 'number')}, {B('l_partkey', 'part')}, {B('n', 'versions')}, flags FROM r JOIN f ON r.l_orderkey = f.l_orderkey AND r.l_linenumber = f.l_linenumber WHERE rn = 1",
     "q21_gaps": f"WITH m AS (SELECT l_orderkey, max(l_linenumber) AS m FROM lineitem GROUP BY 1), s AS (SELECT l_orderkey, unnest(range(1, m + 1)) AS n FROM m), g AS (SELECT s.l_orderkey, s.n, row_number() OVER (PARTITION BY s.l_orderkey ORDER BY s.n) - 1 AS i FROM s WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = s.l_orderkey AND l.l_linenumber = s.n)) SELECT {B('l_orderkey', 'order_id')}, {B('i // 5', 'batch')}, string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) AS numbers FROM g GROUP BY l_orderkey, i // 5",
@@ -196,6 +204,7 @@ ORACLE_SQL = {
     "q29_classify": f"SELECT {B('page_id', 'page_id')}, CASE WHEN lower(url) LIKE '%ref=%' THEN 'referred' WHEN lower(url) LIKE '%/en/%' THEN 'english' WHEN lower(url) LIKE 'https%' THEN 'secure' ELSE 'other' END AS source FROM pages",
     "q30_score": f"WITH s AS (SELECT item_id, CAST(contains(lower(text), 'the') AS INTEGER) + CAST(contains(lower(text), 'and') AS INTEGER) + CAST(contains(lower(text), 'tion') AS INTEGER) AS h, contains(lower(text), 'that and') AS b FROM benchmark) SELECT {B('item_id', 'item_id')}, {B('least(greatest(h * 100 // 3 + CASE WHEN b THEN 30 ELSE 0 END, 10), 100)', 'score')} FROM s ORDER BY score DESC, item_id LIMIT 6",
     "q31_anchors": f"WITH l AS (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS l FROM pages), e AS (SELECT page_id, unnest(l) AS link, generate_subscripts(l, 1) - 1 AS pos FROM l) SELECT {B('page_id', 'page_id')}, {B('pos', 'pos')}, link FROM e WHERE NOT regexp_matches(lower(link), 'the|and|para') ORDER BY page_id, pos LIMIT 25",
+    "q32_sample": f"SELECT {B('p_partkey', 'p_partkey')}, p_name FROM part ORDER BY md5('42:' || p_partkey), p_partkey LIMIT 20",
     "q33_queue": f"WITH g AS (SELECT o_custkey, count(*) AS t, count(*) FILTER (WHERE o_orderstatus = 'F') AS f FROM orders GROUP BY 1) SELECT {B('o_custkey', 'exam_id')}, {B('t', 'total')}, {B('f', 'done')}, {B('least(35 + floor(CAST(f AS DOUBLE) / t * 55), 90)', 'percent')} FROM g",
     "q34_latest_state": f"WITH g AS (SELECT user_id, arg_max(event_type, ts) AS status, arg_max(value, ts) FILTER (WHERE event_type = 'error') AS last_error FROM events GROUP BY 1) SELECT {B('user_id', 'user_id')}, status, last_error, {B('CASE status WHEN ' + repr('error') + ' THEN 1 WHEN ' + repr('purchase') + ' THEN 2 ELSE 0 END', 'bucket')} FROM g",
     "q35_key_pool": f"SELECT {B('s_suppkey', 'id')}, '...' || right(s_name, 4) AS masked, {B('s_nationkey', 'weight')} FROM supplier WHERE s_acctbal >= 0 AND NOT (s_suppkey % 4 = 0 AND s_suppkey % 8 <> 0) ORDER BY s_nationkey DESC, s_acctbal, s_suppkey LIMIT 10",

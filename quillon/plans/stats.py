@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions.semantics import falsy_coalesce, half_up, long, pct, pct1, study_time
+from quillon.operators.library import numbered
 from quillon.operators.relational import ordinal, streak
 from quillon.sources import load
 
@@ -63,9 +63,8 @@ def q03_ranking(spark, d):
     a = attempts(spark, d).where("status = 'P'").groupBy("user_id").agg(F.sum("total").alias("t"), F.sum("score").alias("s"))
     users = load(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     j = users.join(a, F.col("id") == F.col("user_id"), "left").select("id", "name", F.coalesce("t", F.lit(0)).alias("questions"), F.coalesce("s", F.lit(0)).alias("correct"))
-    # a global place needs one total order; only sums by user reach the single task
-    order = W.orderBy(F.desc("questions"), F.desc(pct(F.col("correct"), F.col("questions"))), "id")
-    return j.select(long("id").alias("user_id"), "name", long("questions").alias("questions"), pct1(F.col("correct"), F.col("questions")).alias("accuracy"), long(F.row_number().over(order)).alias("place"))
+    placed = numbered(j.select("*", (-F.col("questions")).alias("__q"), (-pct(F.col("correct"), F.col("questions"))).alias("__p")), ["__q", "__p", "id"], "place")
+    return placed.select(long("id").alias("user_id"), "name", long("questions").alias("questions"), pct1(F.col("correct"), F.col("questions")).alias("accuracy"), "place")
 
 
 def q04_streak(spark, d, as_of: str = "2024-01-30"):
@@ -111,7 +110,7 @@ def q12_best_last_count(spark, d):
 
 
 def q13_nested_report(spark, d):
-    """Regions with their nations' figures as one JSON text; nations without rich suppliers in a group of their own."""
+    """Regions with their nations' figures as one text; nations without rich suppliers in a group of their own."""
     rich = load(spark, d, "supplier").where("s_acctbal > 5000").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"), F.max("s_acctbal").alias("best"))
     n = load(spark, d, "nation").join(rich, F.col("n_nationkey") == F.col("s_nationkey"), "left")
     inside = n.where("n IS NOT NULL").join(load(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_regionkey").cast("string").alias("id"), F.col("r_name").alias("title"), "n_nationkey", "n_name", "n")
