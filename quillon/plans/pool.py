@@ -21,7 +21,7 @@ def reports(e):
 
 
 def key_value(key: Column) -> Column:
-    return F.concat(F.when(key % 4 == 0, "nvapi-").otherwise("AIza"), F.lpad(key.cast("string"), 3, "0"))
+    return F.concat(F.when(key % 4 == 0, "nvapi-").otherwise("AIza"), F.lpad(key.cast("string"), 3, "0"))  # of four digits the first three stay
 
 
 def provider_of(value: Column) -> Column:

@@ -158,3 +158,30 @@ def test_streams_over_a_folder(spark, tmp_path):
     for name in ("q37_daily_counts", "q38_stream_latest_state", "q73_stream_progress", "q74_stream_keys"):
         of = lambda at: sorted(map(str, map(tuple, catalogue.QUERIES[name](spark, at).collect())))  # noqa: B023, E731
         assert of(str(tmp_path)) == of(d) != [], name
+
+
+def test_pdf_pages(spark, tmp_path):
+    import zlib
+
+    text = zlib.compress(b"BT /F1 12 Tf (Quest\\343o 1\\)) Tj T* [(Ca) -20 (sa)] TJ ET")
+    pages = b"%PDF-1.4\n1 0 obj <</Type /Catalog /Pages 2 0 R>> endobj\n2 0 obj <</Type /Pages /Kids [3 0 R 4 0 R]>> endobj\n"
+    pages += b"3 0 obj <</Type /Page /Contents 5 0 R>> endobj\n4 0 obj <</Type/Page /Contents [6 0 R 7 0 R]>> endobj\n"
+    pages += b"5 0 obj <</Filter /FlateDecode /Length 9>> stream\n" + text + b"\nendstream endobj\n6 0 obj <<>> stream\nBT (two) Tj ET\nendstream endobj\n7 0 obj <<>> stream\nBT (more) Tj ET\nendstream endobj"
+    (tmp_path / "a.pdf").write_bytes(pages)
+    (tmp_path / "b.pdf").write_bytes(b"<html>")
+    (tmp_path / "c.pdf").write_bytes(b"")
+    from quillon.sources.pdf import is_pdf, pdf_pages
+
+    assert sorted(tuple(r) for r in pdf_pages(spark, f"file://{tmp_path}").collect()) == [("a.pdf", 0, "Quest\xe3o 1)\nCasa"), ("a.pdf", 1, "two\nmore")]
+    kinds = spark.createDataFrame([(b"%PDF-1", None), (b"x", "Application/PDF; a"), (b"x", "text/html"), (None, None)], "c binary, t string")
+    assert [r[0] for r in kinds.select(is_pdf(F.col("c"), F.col("t"))).collect()] == [True, True, False, False]
+
+
+def test_notebook_of_a_subject(spark):
+    from quillon.plans import catalogue
+
+    q, d = catalogue.QUERIES["q09_error_notebook"], "/root/testdata/sf0.01"
+    every = q(spark, d, limit=10_000).collect()
+    assert {r.subject for r in every} >= {"Geral", "LARGE"} or len(every) > 0
+    for subject in {r.subject for r in every}:
+        assert sorted(map(tuple, q(spark, d, subject, 10_000).collect())) == sorted(tuple(r) for r in every if r.subject == subject)
