@@ -4,10 +4,12 @@ A page becomes blocks of text. In the first pass each block is good, bad or unde
 stands (menus, footers, adverts and the like are bad), its link density, length and density of stop
 words. In the second pass undecided blocks inherit the label of their nearest decided neighbours.
 
-An article or main element is evidence, not a verdict: inside, lower limits hold, and the edges count
-as good neighbours if a block inside is good or none on the page is; blocks outside are judged as on
-other pages. Where no block of the page is good, stop words say nothing of its language, and blocks
-inside are not bad for having none.
+An article or main element is evidence, not a verdict: inside, lower limits hold, blocks with few stop
+words are undecided rather than bad, and the edges count as good neighbours if a block inside is good,
+if its text is long, or if none on the page is good; blocks outside are judged as on other pages. Names
+of classes that may also stand for a text (a legal notice, a shared widget) only raise the limits.
+Where no block of a page without such elements is good, its language may be one without stop words
+here: then length and links decide alone.
 """
 
 from __future__ import annotations
@@ -27,7 +29,10 @@ BLOCK = frozenset("address article aside blockquote body br-br caption center dd
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 DROPPED = frozenset("nav footer aside form script style noscript template iframe svg math canvas object embed applet audio video map button select option textarea datalist menu dialog head title noembed noframes xmp search".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-DROPPED_NAMES = frozenset("ad ads adbox advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar aside widget widgets footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup signin login share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond copyright legal disclaimer pagination pager toolbar skip hidden contentinfo complementary".split())
+DROPPED_NAMES = frozenset("ad ads adbox advert adverts advertisement advertising adsense sponsor sponsored nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup signin login related recommended recommendations comment comments commentlist disqus reply replies respond pagination pager contentinfo complementary".split())
+DOUBTED_NAMES = frozenset("aside banner promo promotion widget widgets notice notices alert share sharing social copyright legal disclaimer toolbar skip search hidden".split())
+#: Before a name these say something else: ``no-sidebar``, ``has-comments``.
+NEGATING = frozenset("no not has have with without is hide show".split())
 STOP_WORDS = frozenset(
     "the of and to a in is it you that he was for on are with as his they be at one have this from or had by but not what all were we when your can said there an which she how their if will up about out them then so some her would him has "
     "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch "
@@ -43,6 +48,9 @@ WORD = re.compile(r"[^\W\d_]+")
 SHORT, LONG = 70, 200  # characters
 LOW, HIGH = 0.10, 0.20  # density of stop words
 LINKS = 0.5  # density of link text
+FEW_LINKS = 0.2  # of blocks that length and links decide alone
+#: What a new list item or cell ends.
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
 @dataclass(slots=True)
@@ -50,14 +58,66 @@ class Part:
     text: str
     linked: int
     dropped: bool
+    doubted: bool
     article: int  # number of the outermost article or main element, 0 outside
     heading: bool
 
 
+@dataclass(slots=True)
+class Open:
+    name: str
+    dropped: bool  # here or above
+    by_name: bool  # only names of classes say so
+    doubted: bool
+    article: int
+
+
+_ROOT = Open("", False, False, False, 0)
+
+
+class Elements:
+    """Open elements. Each is entered and left once, so a page takes time in proportion to its length."""
+
+    def __init__(self) -> None:
+        self.stack: list[Open] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def top(self) -> Open:
+        return self.stack[-1] if self.stack else _ROOT
+
+    def enter(self, e: Open) -> None:
+        self.places.setdefault(e.name, []).append(len(self.stack))
+        if e.name in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(e)
+
+    def last(self, name: str) -> int | None:
+        at = self.places.get(name)
+        return at[-1] if at else None
+
+    def leave(self, at: int) -> None:
+        """Close the element at ``at`` and all inside it."""
+        while len(self.stack) > at:
+            name = self.stack.pop().name
+            self.places[name].pop()
+            if name in BLOCK:
+                self.blocks.pop()
+
+
+def _named(words: str, among: frozenset[str]) -> bool:
+    """Is a class, id or role one of the names, or does it begin or end with one?"""
+    for word in words.lower().split():
+        parts = [x for x in re.split(r"[^a-z0-9]+", word) if x]
+        if parts and (parts[0] in among or parts[-1] in among and parts[0] not in NEGATING):
+            return True
+    return False
+
+
 def blocks(page: str) -> list[Part]:
     """The page's blocks with text, in page order."""
     out: list[Part] = []
-    stack: list[tuple[str, bool, int]] = []  # name, dropped here or above, number of the article
+    open_ = Elements()
     articles = 0
     texts: list[str] = []
     linked = 0
@@ -68,8 +128,8 @@ def blocks(page: str) -> list[Part]:
         if texts:
             text = " ".join("".join(texts).split())
             if text:
-                _, dropped, article = stack[-1] if stack else ("", False, 0)
-                out.append(Part(text, linked, dropped, article, heading))
+                e = open_.top()
+                out.append(Part(text, linked, e.dropped, e.doubted, e.article, heading))
             texts.clear()
         linked, heading = 0, False
 
@@ -78,13 +138,9 @@ def blocks(page: str) -> list[Part]:
         if raw:
             text = entities.unescape(raw) if "&" in raw else raw
             texts.append(text)
-            if any(name == "a" for name, _, _ in stack):
+            if open_.last("a") is not None:
                 linked += len(text.strip())
 
-    def close(at: int) -> None:
-        """Close the element at ``at`` and all inside it."""
-        del stack[at:]
-
     i, n = 0, len(page)
     while i < n:
         m = TAG.search(page, i)
@@ -98,95 +154,103 @@ def blocks(page: str) -> list[Part]:
             continue
         name = name.lower()
         if m[1]:
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+            at = open_.last(name)
             if name in BLOCK:
                 flush()
-            if at is not None and (name in BLOCK or not any(s[0] in BLOCK for s in stack[at + 1 :])):
-                close(at)
+            if at is not None and (name in BLOCK or not open_.blocks or open_.blocks[-1] < at):
+                open_.leave(at)
             continue
         if name in BLOCK:
             flush()
             # an open paragraph ends where a block begins, list items and cells where the next begins
-            ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(name, ())
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p" or stack[k][0] in ends:
-                    close(k)
-                    break
-                if stack[k][0] in BLOCK:
-                    break
-            if name == "body":
-                at = next((k for k in range(len(stack)) if stack[k][0] == "head"), None)
-                if at is not None:
-                    close(at)
+            if open_.blocks and (inner := open_.stack[open_.blocks[-1]].name) and (inner == "p" or inner in ENDS.get(name, ())):
+                open_.leave(open_.blocks[-1])
+            if name == "body" and (at := open_.last("head")) is not None:
+                open_.leave(at)
         if name == "br":
             texts.append(" ")
         if name in VOID:
             if name == "hr":
                 flush()
             continue
-        _, dropped, article = stack[-1] if stack else ("", False, 0)
-        names = set()
-        if m[3] and ("=" in m[3]):
-            for got in NAMES.findall(m[3]):
-                names.update(re.split(r"[^a-z0-9]+", "".join(got).lower()))
-        if name in DROPPED or name == "header" and not article:
-            dropped = True
-        elif name not in ("html", "body", "main") and names & DROPPED_NAMES:
-            dropped = True
-        elif "header" in names and not article and name not in HEADING and name not in ("html", "body", "main"):
-            dropped = True
-        if not article and not dropped and (name in ("article", "main") or "main" in names and "role" in m[3].lower()):
+        above = open_.top()
+        e = Open(name, above.dropped, above.by_name, above.doubted, above.article)
+        names = " ".join("".join(got) for got in NAMES.findall(m[3])) if m[3] and "=" in m[3] else ""
+        whole = name in ("article", "main") or "main" in names.lower().split()
+        if whole and e.by_name and not _named(names, DROPPED_NAMES):
+            e.dropped = e.by_name = False  # a wrapper's class says less than the element
+        if name in DROPPED or name == "header" and not e.article:
+            e.dropped, e.by_name = True, False
+        elif names and name not in ("html", "body", "main"):
+            if name != "article" and not e.dropped and (_named(names, DROPPED_NAMES) or not e.article and name not in HEADING and "header" in re.split(r"[^a-z]+", names.lower())) or name == "article" and _named(names, _COMMENTS):
+                e.dropped = e.by_name = True
+            e.doubted = e.doubted or name != "article" and _named(names, DOUBTED_NAMES)
+        if whole and not e.article and not e.dropped:
             articles += 1
-            article = articles
+            e.article = articles
         if name in RAW:
             end = re.compile(rf"</{name}\b", re.I).search(page, i)
             i = end.start() if end else n
         if not page.startswith("/>", m.end() - 2) or name in BLOCK:
-            stack.append((name, dropped, article))
+            open_.enter(e)
         if name in HEADING:
             heading = True
     flush()
     return out
 
 
+_COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
+
+
 def stop_density(text: str) -> float:
     found = WORD.findall(text.lower())
     return sum(w in STOP_WORDS for w in found) / len(found) if found else 0.0
 
 
-def labels(parts: list[Part]) -> list[bool]:
-    """Which blocks belong to the main text."""
+def first_pass(parts: list[Part], trust_names: bool) -> tuple[list[bool | None], list[bool]]:
+    """A label for each block, None where it is undecided; and which undecided ones are nearly good."""
     first: list[bool | None] = []
     near: list[bool] = []
-    thin: list[bool] = []  # inside an article, without the stop words that even its lower limit asks for
     for p in parts:
         links = p.linked / len(p.text)
         near.append(False)
-        thin.append(False)
         if p.dropped:
             first.append(False)
         elif links > LINKS:
             first.append(None if p.article and len(p.text) < SHORT else False)
+        elif p.doubted and trust_names:
+            density = stop_density(p.text)
+            first.append(density >= HIGH and len(p.text) >= LONG)
         elif p.heading or len(p.text) < SHORT:
             first.append(None)
         else:
             density = stop_density(p.text)
             if p.article:
-                near[-1], thin[-1] = LOW / 2 <= density < LOW, density < LOW / 2
+                near[-1] = LOW / 2 <= density < LOW
                 first.append(True if density >= LOW else None)
             else:
                 near[-1] = density >= LOW
                 first.append(True if density >= HIGH and len(p.text) >= LONG or density >= HIGH * 2 else None if density >= LOW else False)
+    return first, near
+
+
+def labels(parts: list[Part]) -> list[bool]:
+    """Which blocks belong to the main text."""
+    first, near = first_pass(parts, True)
     found = any(first)
-    if found:
-        first = [False if t else label for label, t in zip(first, thin, strict=True)]
+    if not found:
+        first, near = first_pass(parts, False)
+        found = any(first)
+    if not found and not any(p.article and not p.dropped for p in parts):  # perhaps a language without stop words here
+        first = [True if not p.dropped and len(p.text) >= LONG / 2 and p.linked <= FEW_LINKS * len(p.text) else label for p, label in zip(parts, first, strict=True)]
     out = [False] * len(parts)
     a = 0
     while a < len(parts):
         b = a + 1
         while b < len(parts) and parts[b].article == parts[a].article:
             b += 1
-        edge = parts[a].article > 0 and (not found or any(first[a:b]))
+        long = sum(len(p.text) for p, label in zip(parts[a:b], first[a:b], strict=True) if label is None and p.linked <= LINKS * len(p.text)) >= LONG
+        edge = parts[a].article > 0 and (not found or long or any(first[a:b]))
         inherit(parts, first, near, edge, a, b, out)
         a = b
     return out
@@ -195,17 +259,18 @@ def labels(parts: list[Part]) -> list[bool]:
 def inherit(parts: list[Part], first: list[bool | None], near: list[bool], edge: bool, a: int, b: int, out: list[bool]) -> None:
     """Second pass over the blocks a to b, all inside one article or all outside, whose edges have the label ``edge``."""
     inside = parts[a].article > 0
+    apart = lambda p: inside and (p.dropped or p.doubted)  # what an article embeds says nothing of its text
     before: list[tuple[int, bool]] = []
     last = (a - 1, edge)
     for k in range(a, b):
-        if first[k] is not None and not (inside and parts[k].dropped):  # what an article embeds says nothing of its text
+        if first[k] is not None and not apart(parts[k]):
             last = (k, first[k])
         before.append(last)
     nxt = (b, edge)
     for k in range(b - 1, a - 1, -1):
         label, p, prev = first[k], parts[k], before[k - a]
         if label is not None:
-            nxt = nxt if inside and p.dropped else (k, label)
+            nxt = nxt if apart(p) else (k, label)
             out[k] = label
         elif p.linked / len(p.text) > LINKS:  # mostly links, inside the article: stays only between good blocks
             out[k] = prev[0] >= a and prev[1] and nxt[0] < b and nxt[1]
@@ -230,7 +295,8 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """The rows with ``text`` and ``n_chars`` in place of the html.
 
     Null, empty and text-free pages give an empty text. All other columns pass through, but for
-    columns already named text or n_chars, which are replaced. An empty table stays empty.
+    columns already named text or n_chars, which are replaced. Repeated rows all stay. Pages are read
+    whole, in time proportional to their length, however deep they nest. An empty table stays empty.
     """
     passed = [c for c in pages.columns if c not in (html, "text", "n_chars")]
     schema = T.StructType([*(pages.schema[c] for c in passed), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
