@@ -6,7 +6,8 @@ and not toxic. A document's expected grade is the sum over k of P(grade > k); it
 P(grade >= 2) decides whether it is kept.
 
 The model is fitted on a bounded sample of labelled rows (the ``sample`` rows with the least hash of
-their id, 20,000 by default), on the driver in memory bounded by that; every document is scored.
+their id, 20,000 by default, up to ``sample_bytes`` of features), on the driver in memory bounded by
+that; every document is scored.
 """
 
 from __future__ import annotations
@@ -19,11 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from quillon.llm import kernel as K
+from quillon.llm.shared import written
 
 BITS = 18
 SAMPLE = 20_000
+#: Bytes of the sample's features (4 for each) that come to the driver at most.
+SAMPLE_BYTES = 128 << 20
 LEAST_TAIL = 0.5
 #: Characters whose share of a text is a feature of its own, in steps of a factor of two.
 _SHAPES = (b"#*$%&|<>", b"!?", b"{}[]()=;_/\\@~^+", b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\n", b".,:")
@@ -115,28 +120,42 @@ def fit(ids: np.ndarray, bounds: np.ndarray, grades: np.ndarray, n_grades: int =
     return Model(x[:size].copy(), x[size] + np.concatenate(([0.0], np.cumsum(np.exp(x[size + 1 :])))))
 
 
-def sample_features(docs: DataFrame, graded: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features and grades of the sampled rows, in order of their ids."""
+def sample_features(docs: DataFrame, graded: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, bits: int = BITS, sample_bytes: int = SAMPLE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features and grades of the sampled rows, in order of their ids' hashes.
+
+    An id with several grades has the least of them; rows without an id or a grade are left out, and so
+    are ids that no document has. Documents that share an id are a row each; null and empty texts
+    have the features of an empty text. Texts are read whole. Other columns don't matter. Without rows
+    all arrays are empty.
+    """
     chosen = graded.where(F.col(key).isNotNull() & F.col("grade").isNotNull()).groupBy(F.col(key).alias("__id")).agg(F.min("grade").alias("__grade"))
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(sample)
     rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(chosen), F.col("__key") == F.col("__id"))  # at most ``sample`` rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, ids, bounds in features(batch.column(2), bits):
+            for first, ids, bounds in features(batch.column(3), bits):
                 raw = ids.astype("<i4").tobytes()
                 packed = [raw[4 * a : 4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                n = len(packed)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), batch.column(1).slice(first, n), pa.array(packed, pa.binary())], names=["id", "grade", "features"])
-
-    found = rows.select(F.col("__id").cast("long").alias("id"), F.col("__grade").cast("int").alias("grade"), "__text").mapInArrow(run, "id long, grade int, features binary").toArrow().sort_by("id")
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, len(packed)) for c in range(3)), pa.array(packed, pa.binary())], names=["at", "name", "grade", "features"])
+
+    named = rows.select(F.xxhash64("__id").alias("at"), F.col("__id").cast("string").alias("name"), F.col("__grade").cast("int").alias("grade"), "__text")
+    found = named.mapInArrow(run, "at long, name string, grade int, features binary")
+    found = written(found.groupBy("at", "name", "grade").agg(F.min("features").alias("features")), "features")
+    # a running sum over the sample, at most ``sample`` rows
+    so_far = F.sum(F.octet_length("features")).over(W.orderBy("at", "name").rowsBetween(W.unboundedPreceding, 0))
+    found = found.withColumn("so_far", so_far).where(F.col("so_far") <= sample_bytes).orderBy("at", "name").select("grade", "features").toArrow()
     parts = [np.frombuffer(x.as_py(), "<i4") for x in found["features"]]
     bounds = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
     return (np.concatenate(parts) if parts else np.empty(0, np.int32)), bounds, np.asarray(found["grade"], np.int64)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", least_tail: float = LEAST_TAIL) -> DataFrame:
-    """(key, expected_grade, p_top, kept) for each row. Null text scores as empty text; an empty table stays empty."""
+    """(key, expected_grade, p_top, kept) for each row, repeated ones too.
+
+    Null text scores as empty text; texts are scored whole. Equal texts score alike; a tail probability
+    equal to ``least_tail`` is kept. Null keys stay, other columns don't matter, an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))  # 2 ** bits floats
     bits = int(len(model.weights)).bit_length() - 1
     schema = T.StructType([docs.schema[key], *T._parse_datatype_string("expected_grade double, p_top double, kept boolean").fields])
