@@ -68,7 +68,8 @@ def pack(pieces: DataFrame, length: str = "length", order: tuple[str, ...] = ("d
 
     Sequences are filled from 0 without gaps. Rows that agree in ``order`` are told apart by nothing,
     and each gets a place of its own. Lengths must be from 1 to ``capacity``; null or other lengths
-    raise. An empty table stays empty.
+    raise. Columns already named sequence_id or offset are replaced, others pass through; names that
+    begin with ``__`` are reserved. An empty table stays empty.
     """
     spark = pieces.sparkSession
     histogram = {r[0]: r["n"] for r in pieces.groupBy(length).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -89,7 +90,7 @@ def pack(pieces: DataFrame, length: str = "length", order: tuple[str, ...] = ("d
     placed = ranked.join(F.broadcast(slots), (F.col(length) == F.col("__length")) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to")))
     within = F.col("__rank") - F.col("__from")
     return placed.select(
-        *pieces.columns,
+        *(c for c in pieces.columns if c not in ("sequence_id", "offset")),
         (F.col("__sequence") + F.floor(within / F.col("__each"))).cast("long").alias("sequence_id"),
         (F.col("__offset") + within % F.col("__each") * F.col("__length")).cast("long").alias("offset"),
     )
@@ -98,7 +99,8 @@ def pack(pieces: DataFrame, length: str = "length", order: tuple[str, ...] = ("d
 def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Each document's ids and an end id, cut into pieces of ``capacity``; only a first piece is shorter.
 
-    Null and empty texts are one piece of the end id. With ``with_ids`` the ids come as a column.
+    Null and empty texts are one piece of the end id. With ``with_ids`` the ids come as a column. Only the
+    two named columns are read; null and repeated keys are kept as they are, a row's pieces each.
     """
     path = tokenizer or tokens.default_path()
     schema = T._parse_datatype_string(PIECES + ", ids array<int>" * with_ids)
