@@ -90,13 +90,33 @@ def format_chats(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant"
     return grouped.select("conv_id", "n_turns", F.array_join(F.col("turns.segment"), "").alias("formatted"), F.flatten(F.col("turns.spans")).alias("loss_spans"), attachments.alias("attachments"), total(F.transform(attachments, lambda a: a["tokens"])).alias("expanded_tokens"))
 
 
+def _parts(body: Column) -> Column:
+    """Typed parts of a body: texts as they were, and placeholders by kind and number. Only a mark holds ``<|``."""
+    text = lambda t: F.struct(F.lit("text").alias("type"), unescape(t).alias("text"), F.lit(None).cast("long").alias("number"))
+
+    def piece(p: Column) -> Column:
+        mark = F.substring_index(p, "|>", 1)
+        rest = F.substr(p, F.length(mark) + 3)
+        named = F.struct(F.regexp_extract(mark, r"^<\|(\w+):", 1).alias("type"), F.lit(None).cast("string").alias("text"), F.regexp_extract(mark, r":(\d+)$", 1).try_cast("long").alias("number"))
+        return F.when(F.startswith(p, F.lit("<|")), F.when(rest != "", F.array(named, text(rest))).otherwise(F.array(named))).when(p != "", F.array(text(p)))
+
+    return F.flatten(F.array_compact(F.transform(F.split(body, r"(?=<\|)", -1), piece)))
+
+
 def parse_chats(chats: DataFrame) -> DataFrame:
-    """The formatted rows with ``turns`` (role, text) and ``loss_texts``, read from ``formatted`` and the spans alone."""
+    """The formatted rows with ``turns`` (role, text, parts) and ``loss_texts``, read from ``formatted`` and the spans alone.
+
+    A turn's text shows attachments by their placeholders; ``parts`` (type, text, number) tells them
+    from texts of the same characters. Neighbouring texts come back as one part. Rows stay as many as they
+    are; columns of the new names are replaced.
+    """
     pieces = F.split("formatted", quoted(END + "\n"), -1)
     rows = chats.withColumn("__segments", F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))))
 
     def turn(segment: Column) -> Column:
-        return let(F.substring_index(segment, "\n", 1), lambda head: F.struct(unescape(F.replace(F.substr(head, F.lit(len(START) + 1)), F.lit(LINE), F.lit("\n"))).alias("role"), unescape(F.substr(segment, F.length(head) + 2)).alias("text")))
+        role = lambda head: unescape(F.replace(F.substr(head, F.lit(len(START) + 1)), F.lit(LINE), F.lit("\n"))).alias("role")
+        body = lambda head: F.substr(segment, F.length(head) + 2)
+        return let(F.substring_index(segment, "\n", 1), lambda head: F.struct(role(head), unescape(body(head)).alias("text"), _parts(body(head)).alias("parts")))
 
     loss = F.transform("loss_spans", lambda s: unescape(F.substr(F.get("__segments", s["turn"]), s["offset"] + 1, s["length"])))
     return rows.withColumn("turns", F.transform("__segments", turn)).withColumn("loss_texts", loss).drop("__segments")
