@@ -5,7 +5,8 @@ lowered). Equal sets are one class, compared once. Band and row counts follow fr
 at the threshold, where a candidate pair shares at least two bands. Classes meet in the buckets of
 their bands' hashes, first with nothing but their band hashes:
 
-1. Classes that share many bands are given one *home*; a home gathers a group of near copies.
+1. Classes that share many bands are given one *home*; a home gathers a group of near copies. In a
+   large bucket the members are compared with a part of them: who misses a home is a stranger below.
 2. All pairs inside a home are verified on the full sets, which travel there once. Candidate pairs
    of different homes are verified in the first bucket that the two share, where only classes with
    such a pair send their sets. So each link counts once.
@@ -39,6 +40,8 @@ LEAST_SHARED, HOME_SHARE = 2, 0.25
 CUT_SHINGLES, GROUP_SHINGLES = 1 << 20, 1 << 20
 #: Classes in one cut of a bucket or home, and in one task's group while only band hashes meet.
 CUT_CLASSES, GROUP_CLASSES = 2_000, 20_000
+#: Sets with more copies than this, and homes that are cut, are joined by broadcast: their number is bounded by the rows through these limits.
+HOT_COPIES = 100_000
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 128) -> tuple[int, int]:
@@ -75,6 +78,17 @@ def _distinct(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return v[new], np.searchsorted(r[new], np.arange(len(bounds)))
 
 
+def _identity(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two sums over each set that has values (0 for empty ones), and which those are."""
+    full = np.flatnonzero(np.diff(bounds))
+    k1, k2 = (np.zeros(len(bounds) - 1, np.int64) for _ in range(2))
+    if len(full):
+        at = bounds[:-1][full]
+        k1[full] = np.add.reduceat(K.mix64(values + K.U64(1)), at).view(np.int64)
+        k2[full] = np.add.reduceat(K.mix64(values ^ K.U64(0xA5A5A5A5A5A5A5A5)), at).view(np.int64)
+    return k1, k2, full
+
+
 def signatures(docs: DataFrame, key: str, text: str, width: int, bands: int, rows: int) -> DataFrame:
     """id, k1 and k2 (identity of the set; null without words), size, bands (a hash each)."""
     n = bands * rows
@@ -87,13 +101,10 @@ def signatures(docs: DataFrame, key: str, text: str, width: int, bands: int, row
             for first, values, bounds in _sets(batch.column(1), width):
                 count = len(bounds) - 1
                 values, bounds = _distinct(values, bounds)
-                full = np.flatnonzero(np.diff(bounds))
-                at = bounds[:-1][full]
-                k1, k2 = (np.zeros(count, np.int64) for _ in range(2))
+                k1, k2, full = _identity(values, bounds)
                 out = np.zeros((count, bands), K.U64)
                 if len(full):
-                    k1[full] = np.add.reduceat(K.mix64(values + K.U64(1)), at).view(np.int64)
-                    k2[full] = np.add.reduceat(K.mix64(values ^ K.U64(0xA5A5A5A5A5A5A5A5)), at).view(np.int64)
+                    at = bounds[:-1][full]
                     for b in range(bands):
                         h = np.full(len(full), b + 1, K.U64)
                         for j in range(b * rows, (b + 1) * rows):
@@ -107,18 +118,18 @@ def signatures(docs: DataFrame, key: str, text: str, width: int, bands: int, row
     return docs.select(key, text).mapInArrow(run, schema)
 
 
-def shingle_sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """id, shingles (sorted distinct hashes as bytes)."""
-    schema = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("shingles", T.BinaryType())])
+def shingle_sets(docs: DataFrame, text: str, width: int) -> DataFrame:
+    """k1, k2, shingles (sorted distinct hashes as bytes) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, values, bounds in _sets(batch.column(1), width):
+            for _, values, bounds in _sets(batch.column(0), width):
                 values, bounds = _distinct(values, bounds)
+                k1, k2, _ = _identity(values, bounds)
                 raw = values.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(bounds) - 1), pa.array([raw[8 * a : 8 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array([raw[8 * a : 8 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())], names=["s1", "s2", "shingles"])
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(text).mapInArrow(run, "s1 long, s2 long, shingles binary")
 
 
 def _by_rows(n: int, make, step: int = 256) -> np.ndarray:
@@ -179,6 +190,13 @@ def _cut(rows: DataFrame) -> DataFrame:
     return dealt.select("rep", "band", "hash", "cut", F.least("cut", "other").alias("low"), F.greatest("cut", "other").alias("high"))
 
 
+def _starred(rows: DataFrame) -> DataFrame:
+    """Members of buckets dealt so that each cut meets the first one."""
+    own = F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int")
+    dealt = rows.withColumn("cut", own).withColumn("high", F.explode(F.when(F.col("cut") == 0, F.sequence(F.lit(0), F.col("cuts") - 1)).otherwise(F.array("cut"))))
+    return dealt.select("rep", "band", "hash", "cut", F.lit(0).alias("low"), "high")
+
+
 def _dealt(rows: DataFrame, total: int, together: int) -> DataFrame:
     return rows.withColumn("group", F.pmod(F.xxhash64("band", "hash", "low", "high"), F.lit(max(1, -(-total // together)))))
 
@@ -225,27 +243,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     n_links is how many other rows have a text whose shingle set is similar enough, copies included;
     class_id is the least id among all that are connected by links. A text of fewer than ``width``
     words is one shingle. Texts without words, null ones too, are linked to nothing and a class of
-    their own. Rows with a null id count as copies of their text's class but make no links of their
-    own; without any row with an id their class is null. Ids must be integers. Other columns don't
-    matter. An empty table stays empty.
+    their own. Rows with a null id are linked like others; where no connected row has an id their
+    class is null. Rows that share an id are each linked by their own text. Ids may be of any type
+    that has an order. Other columns don't matter. An empty table stays empty.
     """
     bands, rows = choose_bands(threshold, recall)
     every = written(signatures(docs, key, text, width, bands, rows), "signatures")
-    classes = every.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    own = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep", "copies")
-    heads = every.join(own, (F.col("id") == F.col("rep")) & (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))).select("rep", "copies", "size", "bands")
+    # rep is a number of the class; equal sets have equal bands, so those of any row will do
+    classes = every.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("copies"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands"))
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    heads = classes.select("rep", "copies", "size", "bands")
     met = heads.select("rep", F.posexplode("bands").alias("band", "hash"))
-    buckets = met.groupBy("band", "hash").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most")
+    buckets = met.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = buckets.select(F.col("band").alias("b"), F.col("hash").alias("h"), F.ceil(F.col("n") / F.lit(CUT_CLASSES)).cast("int").alias("cuts"))
-    members = written(_cut(met.join(buckets, (F.col("band") == F.col("b")) & (F.col("hash") == F.col("h"))).select("rep", "band", "hash", "cuts")), "buckets")
+    members = written(met.join(buckets, (F.col("band") == F.col("b")) & (F.col("hash") == F.col("h"))).select("rep", "band", "hash", "cuts"), "buckets")
     needed = members.select("rep").distinct()
-    vectors = written(heads.join(needed, "rep", "left_semi").select(F.col("rep").alias("r"), "copies", "size", "bands").distinct(), "vectors")
-    dealt = _dealt(members.join(vectors, F.col("rep") == F.col("r")), members.count(), GROUP_CLASSES)
+    vectors = written(heads.join(needed, "rep", "left_semi").select(F.col("rep").alias("r"), "copies", "size", "bands"), "vectors")
+    starred = _starred(members)
+    dealt = _dealt(starred.join(vectors, F.col("rep") == F.col("r")), members.count(), GROUP_CLASSES)
     least_home = max(LEAST_SHARED, math.ceil(HOME_SHARE * bands))
 
     def gather(table: pa.Table) -> pa.Table:
         """Who is of one home, as far as a bucket shows it."""
-        rep, own, out = np.asarray(table["rep"].cast(pa.int64())), _vectors(table, bands), []
+        rep, own, out = np.asarray(table["rep"]), _vectors(table, bands), []
         for i, _ in _groups(table, rep):
             root = _roots(_shared(own[i]) >= least_home)
             moved = np.flatnonzero(root != np.arange(len(i)))
@@ -258,8 +278,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
 
     def strangers(table: pa.Table) -> pa.Table:
         """Members of buckets that have a candidate of another home there, and nowhere before."""
-        rep, own = np.asarray(table["rep"].cast(pa.int64())), _vectors(table, bands)
-        home, cut, out = np.asarray(table["home"].cast(pa.int64())), np.asarray(table["cut"]), []
+        rep, own = np.asarray(table["rep"]), _vectors(table, bands)
+        home, cut, out = np.asarray(table["home"]), np.asarray(table["cut"]), []
         for i, (band, _, low, high) in _groups(table, rep):
             pairs = _candidates(own[i], home[i], band)
             if low != high:
@@ -270,25 +290,30 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     # a bucket whose members are all of one home has no pairs for the next step, so its bands needn't travel again
     in_home = members.select("rep", "band", "hash").join(homes, F.col("rep") == F.col("node"), "left").select("band", "hash", F.coalesce("component", "rep").alias("home"))
     mixed = in_home.groupBy(F.col("band").alias("b"), F.col("hash").alias("x")).agg(F.min("home").alias("least"), F.max("home").alias("most")).where("least < most").select("b", "x")
-    mixed = written(members.join(mixed, (F.col("band") == F.col("b")) & (F.col("hash") == F.col("x")), "left_semi"), "mixed")
+    mixed = written(_cut(members.join(mixed, (F.col("band") == F.col("b")) & (F.col("hash") == F.col("x")), "left_semi")), "mixed")
     met_again = _dealt(mixed.join(settled, F.col("rep") == F.col("r")), mixed.count(), GROUP_CLASSES)
-    kind = docs.schema[key].dataType.simpleString()
-    across = met_again.groupBy("group").applyInArrow(strangers, f"rep {kind}, band int, hash long, cut int, low int, high int")
-    sizes = settled.groupBy(F.col("home").alias("h")).agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    sizes = sizes.select("h", F.ceil(F.greatest(F.col("n") / F.lit(CUT_SHINGLES), F.col("m") / F.lit(CUT_CLASSES))).cast("int").alias("cuts"))
-    inside = _cut(settled.join(sizes, F.col("home") == F.col("h")).select(F.col("r").alias("rep"), F.lit(-1).alias("band"), F.col("home").cast("long").alias("hash"), "cuts"))
+    across = met_again.groupBy("group").applyInArrow(strangers, "rep long, band int, hash long, cut int, low int, high int")
+    # only nodes of edges are in ``homes``, so each home there has two members at least; few are large
+    sizes = settled.groupBy(F.col("home").alias("h")).agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("m"))
+    large = sizes.select("h", F.ceil(F.greatest(F.col("n") / F.lit(CUT_SHINGLES), F.col("m") / F.lit(CUT_CLASSES))).cast("int").alias("cuts")).where("cuts > 1")
+    inside = homes.join(F.broadcast(large), F.col("component") == F.col("h"), "left")
+    inside = _cut(inside.select(F.col("node").alias("rep"), F.lit(-1).alias("band"), F.col("component").alias("hash"), F.coalesce("cuts", F.lit(1)).alias("cuts")))
     places = written(inside.unionByName(across), "places")
     wanted = places.select(F.col("rep").alias("need")).distinct()
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(wanted, F.col("id") == F.col("need"), "left_semi")
-    # a repeated id may come with other texts: the class's own set is the one of its size
-    sets = shingle_sets(texts, "id", "text", width).withColumnRenamed("id", "__id")
-    bodies = settled.join(sets, F.col("r") == F.col("__id")).where(F.octet_length("shingles") == 8 * F.col("size"))
+    sought = classes.join(wanted, F.col("rep") == F.col("need"), "left_semi").select("rep", "head", "k1", "k2")
+    source = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    by_id = source.where("id IS NOT NULL").join(sought.where("head IS NOT NULL").select("head").distinct(), F.col("id") == F.col("head"), "left_semi")
+    # texts that only rows without an id have; one of equal ones
+    nameless = source.where("id IS NULL").dropDuplicates(["text"]) if sought.where("head IS NULL").limit(1).count() else source.limit(0)
+    sets = shingle_sets(by_id.unionByName(nameless), "text", width)
+    bodies = sought.join(sets, (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2"))).select(F.col("rep").alias("b_rep"), "shingles")
+    bodies = settled.join(bodies, F.col("r") == F.col("b_rep"))
     total = int(places.join(settled, F.col("rep") == F.col("r")).agg(F.sum("size").alias("n")).first()["n"] or 0)
     verified = _dealt(places.join(bodies, F.col("rep") == F.col("r")), total, GROUP_SHINGLES)
 
     def link(table: pa.Table) -> pa.Table:
-        rep, copies, own = np.asarray(table["rep"].cast(pa.int64())), np.asarray(table["copies"]), _vectors(table, bands)
-        home, cut, raw = np.asarray(table["home"].cast(pa.int64())), np.asarray(table["cut"]), table["shingles"]
+        rep, copies, own = np.asarray(table["rep"]), np.asarray(table["copies"]), _vectors(table, bands)
+        home, cut, raw = np.asarray(table["home"]), np.asarray(table["cut"]), table["shingles"]
         out_rep, out_root, out_links = [], [], []
         for i, (band, _, low, high) in _groups(table, rep):
             linked = verify([np.frombuffer(raw[int(x)].as_py(), K.U64) for x in i], threshold)
@@ -307,9 +332,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     found = written(verified.groupBy("group").applyInArrow(link, "rep long, root long, links long"), "links")
     links = found.groupBy(F.col("rep").alias("l")).agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    named = classes.join(links, F.col("rep") == F.col("l"), "left").join(parts, F.col("rep") == F.col("node"), "left")
-    named = named.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.coalesce("component", "rep").alias("class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"))
-    joined = every.select("id", "k1", "k2").join(named, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
+    placed = classes.select("rep", "k1", "k2", "head", "copies").join(links, F.col("rep") == F.col("l"), "left").join(parts, F.col("rep") == F.col("node"), "left").withColumn("whole", F.coalesce("component", "rep"))
+    placed = written(placed.select("rep", "k1", "k2", "head", "copies", "links", "whole", (F.col("component").isNotNull()).alias("joined")), "placed")
+    least = placed.where("joined").groupBy(F.col("whole").alias("w")).agg(F.min("head").alias("least"))
+    named = placed.join(least, F.col("whole") == F.col("w"), "left").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.when(F.col("joined"), F.col("least")).otherwise(F.col("head")).alias("class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), "copies")
+    own = every.select("id", "k1", "k2")
+    same = (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))
+    hot = F.broadcast(named.where(F.col("copies") > HOT_COPIES))
+    rest = own.join(hot, same, "left_anti").join(named.where(F.col("copies") <= HOT_COPIES), same, "left")
+    joined = rest.unionByName(own.join(hot, same))
     wordless = F.col("k1").isNull()
     return joined.select(F.col("id").alias(key), F.when(wordless, F.col("id")).otherwise(F.col("class")).alias("class_id"), F.when(wordless, 0).otherwise(F.col("n")).cast("long").alias("n_links"))
 
