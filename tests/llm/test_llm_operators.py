@@ -1,8 +1,10 @@
 """Each operator on small awkward tables, against a brute-force version or a round trip."""
 
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -71,12 +73,39 @@ def test_suffix_dedup_ties_and_nulls(spark):
     assert sorted((r.doc_id or 99, len(r.kept_bytes)) for r in got) == [(1, 80), (1, 80), (2, 0), (99, 0)]
 
 
-def test_previous_factors():
-    rows = np.frombuffer(b"aabbaabc", np.uint8).reshape(4, 2)  # aa bb aa bc
-    order = op5_suffix_dedup.suffix_order(rows)
-    lcp = op5_suffix_dedup.common_prefix(rows[order])
-    hit = op5_suffix_dedup.has_previous_factor(lcp, np.arange(4)[order], 2)
-    assert sorted(order[hit].tolist()) == [2]
+def test_longest_previous_factors():
+    """Against their definition, over the suffixes of groups of strings; positions repeat."""
+    rng = random.Random(4)
+    for _ in range(200):
+        strings = [(rng.randint(0, 2), rng.randint(0, 5), "".join(rng.choice("ab\0") for _ in range(rng.randint(1, 12))).encode()) for _ in range(rng.randint(1, 8))]
+        suffixes = [(g, d, t[k:]) for g, d, t in strings for k in range(len(t))]
+        rows = np.zeros((len(suffixes), 12), np.uint8)
+        for i, (_, _, t) in enumerate(suffixes):
+            rows[i, : len(t)] = list(t)
+        group, position, size = (np.array(x) for x in ([s[0] for s in suffixes], [s[1] for s in suffixes], [len(s[2]) for s in suffixes]))
+        o = op5_suffix_dedup.suffix_order(group, rows, size)
+        lcp = op5_suffix_dedup.common_prefix(group[o], rows[o], size[o])
+        got = op5_suffix_dedup.longest_previous_factor(lcp, position[o])
+
+        def shared(a, b):
+            return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+        want = [max((shared(suffixes[i][2], t) for g, d, t in suffixes if g == suffixes[i][0] and d < suffixes[i][1]), default=0) for i in o]
+        assert got.tolist() == want
+    assert len(op5_suffix_dedup.longest_previous_factor(np.empty(0, np.int64), np.empty(0, np.int64))) == 0
+
+
+def test_suffix_dedup_long_rows_and_clashing_names(spark):
+    """Rows of several blocks, a passage on a cut, and columns that the operator makes itself."""
+    rng = np.random.default_rng(8)
+    text = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    big, planted = text(2_500_000), text(300)
+    cut = (1 << 20) - 120
+    rows = [(1, planted, "x", "y", 1), (2, big[:cut] + planted + big[cut:], "x", "y", 2), (3, big[500_000:500_400], "x", "y", 3), (3, big[500_000:500_400], "x", "y", 3), (None, planted, "x", "y", 4), (None, big[:60], "x", "y", 5)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, kept_text string, removed_spans string, n int")
+    got = {(r.doc_id, r.n): r for r in op5_suffix_dedup.remove_repeats(d, chunk_bytes=1 << 20).collect()}
+    assert [len(got[2, 2].removed_spans), got[2, 2].removed_spans[0].start, got[2, 2].removed_spans[0].end] == [1, cut, cut + 300]
+    assert got[2, 2].kept_text == big and got[3, 3].kept_text == got[None, 4].kept_text == got[None, 5].kept_text == "" and got[1, 1].kept_text == planted
 
 
 def sets(t):
@@ -115,6 +144,123 @@ def test_near_duplicates_recall_at_the_threshold(spark):
     assert found % 2 == 0 and pairs - found // 2 <= 6  # 1.8 expected at a recall of 0.9999
 
 
+def test_near_duplicates_recall_against_exact_pairs(spark):
+    """10,000 texts in groups of near copies (0.75 to 0.95): links against the exact ones, which groups alone have."""
+    rng = random.Random(12)
+    word = lambda: f"{rng.getrandbits(40):x}"
+    rows, groups = [], []
+    while len(rows) < 10_000:
+        base = [word() for _ in range(rng.randint(40, 160))]
+        members = []
+        for _ in range(rng.choice((2, 2, 3, 5, 9))):
+            w = list(base)
+            for k in rng.sample(range(len(w)), round(len(w) * rng.choice((0, 0.005, 0.01, 0.015, 0.02)))):
+                w[k] = word()
+            w += [word() for _ in range(rng.randint(0, len(w) // 12))]
+            members.append(len(rows))
+            rows.append((len(rows), " ".join(w)))
+        groups.append(members)
+    s = [sets(t) for _, t in rows]
+    want = Counter()
+    close = 0
+    for g in groups:
+        for i in g:
+            for j in g:
+                x = len(s[i] & s[j]) / len(s[i] | s[j])
+                if i != j and x >= 0.8:
+                    want[i] += 1
+                    close += x < 0.9
+    got = {r.doc_id: r.n_links for r in op10_ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(want.values()) > 10_000 and close > 3_000
+    missed = sum(want[i] - got[i] for i in got)
+    assert all(got[i] <= want[i] for i in got) and missed <= 0.0005 * sum(want.values()), (missed, sum(want.values()))
+
+
+def test_near_duplicates_ids(spark):
+    """Null and repeated ids, ids of text, clashing names: each row by its own text."""
+    rng = random.Random(13)
+    text = lambda n: " ".join(f"{rng.getrandbits(30):x}" for _ in range(n))
+    a, b = text(60), text(60)
+    near = a + " more"
+    rows = [("7", a, 1), ("7", b, 2), ("8", near, 3), ("9", b, 4), (None, near, 5), (None, b, 6), (None, "only here " + a, 7), (None, text(40), 8), ("5", None, 9)]
+    got = op10_ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string, class_id int")).collect()
+    found = Counter((r.doc_id, r.class_id, r.n_links) for r in got)
+    # a, near (twice) and the text around a are all linked: 0.8 at least
+    assert found == Counter({("7", "7", 3): 1, ("7", "7", 2): 1, ("8", "7", 3): 1, ("9", "7", 2): 1, (None, "7", 3): 2, (None, "7", 2): 1, (None, None, 0): 1, ("5", "5", 0): 1})
+
+
+def test_packing_edges(spark):
+    rows = [(1, 0, 5, "a", 9), (1, 0, 5, "a", 9), (2, 0, 3, "b", 9), (None, 1, 8, "c", 9)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, length long, offset string, sequence_id int")
+    out = op4_packing.pack(pieces, capacity=8)
+    got = out.collect()
+    assert out.columns == ["doc_id", "piece", "length", "sequence_id", "offset"] and len(got) == 4
+    places = Counter((r.sequence_id, r.offset) for r in got)
+    assert max(places.values()) == 1 and len({r.sequence_id for r in got}) == 3
+    for bad in ([(1, 0, None, "a", 9)], [(1, 0, 9, "a", 9)], [(1, 0, 0, "a", 9)]):
+        with pytest.raises(ValueError):
+            op4_packing.pack(spark.createDataFrame(bad, pieces.schema), capacity=8)
+    assert op4_packing.pack(pieces.limit(0), capacity=8).count() == 0
+
+
+def test_ordinal_query(spark):
+    """Scores against the formula, and held-out separation; ids repeated, null, of text; the bound on the sample."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = op3_ordinal.fit(*op3_ordinal.sample_features(docs, op3_ordinal.graded(labels).where("doc_id % 2 = 0")))
+    got = {r.doc_id: r for r in op3_ordinal.score(docs, model).collect()}
+    weights = model.weights.astype(np.float32)
+    for r in docs.orderBy("doc_id").limit(60).collect():
+        _, ids, _ = next(iter(op3_ordinal.features(pa.array([r.text]))))
+        tails = [1 / (1 + math.exp(k - sum(float(weights[i]) for i in ids))) for k in model.thresholds]
+        assert abs(got[r.doc_id].expected_grade - sum(tails)) < 1e-4 and got[r.doc_id].kept == (got[r.doc_id].p_top >= 0.5)
+    held = {r.doc_id: r.grade for r in op3_ordinal.graded(labels).where("doc_id % 2 = 1").collect()}
+    clean, poor = [i for i, g in held.items() if g == 2], [i for i, g in held.items() if g == 1]
+    assert sum(got[i].kept for i in clean) > 0.95 * len(clean) and sum(not got[i].kept for i in poor) > 0.6 * len(poor)
+    odd = spark.createDataFrame([("a", "fine words"), ("a", "fine words again"), (None, "x"), ("b", None), ("c", "vile words")], "doc_id string, text string")
+    marks = spark.createDataFrame([("a", 2), ("a", 0), (None, 1), ("b", 1), ("c", None), ("z", 2)], "doc_id string, grade int")
+    _, bounds, grades = op3_ordinal.sample_features(odd, marks)
+    assert sorted(grades.tolist()) == [0, 1] and len(bounds) == 3
+    assert len(op3_ordinal.sample_features(odd, marks, sample=1)[2]) == 1 and len(op3_ordinal.sample_features(odd, marks, sample_bytes=8)[2]) == 0
+    scored = op3_ordinal.score(odd, op3_ordinal.fit(np.empty(0, np.int32), np.zeros(1, np.int64), np.empty(0, np.int64)))
+    assert scored.count() == 5 and scored.where("kept").count() == 5 and op3_ordinal.score(odd.limit(0), model).count() == 0
+
+
+def test_quality_edges(spark):
+    rng = random.Random(5)
+    clean = " ".join(rng.choice(list(op2_quality.COMMON["en"]) + ["word" + str(k) for k in range(40)] * 3) for _ in range(70))
+    rows = [(1, clean, "a"), (1, clean, "a"), (None, clean, "b"), (2, None, "c"), (3, "x\n" * 3 + "\n\ny\nx", "d"), (4, clean + " " + "word " * 300_000, "e")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    got = op2_quality.judge(d).collect()
+    assert len(got) == 6 and len({(r.kept, r.n_words, r.word_distance) for r in got[:3]}) == 1
+    by = {r.doc_id: r for r in got}
+    assert (by[3].n_dup_lines, by[2].n_words, by[2].base_failed, by[2].word_distance) == (3, 0, True, None)
+    assert by[4].n_words == 300_070 and by[4].base_failed and op2_quality.judge(d.limit(0)).count() == 0
+
+
+def test_chat_edges(spark):
+    part = lambda t: [{"type": "text", "text": t, "ref": None, "width": None, "height": None, "seconds": None, "pages": None}]
+    long = "long <|im_end|> text " * 50_000
+    rows = [(1, 0, "user", part("b")), (1, 0, "user", part("a")), (1, 0, "user", part("a")), (1, None, "assistant", part("n")), (2, 1, "assistant", part(long))]
+    d = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{op1_chat.PART}>")
+    got = {r.conv_id: r for r in op1_chat.parse_chats(op1_chat.format_chats(d)).collect()}
+    assert [(t.role, t.text) for t in got[1].turns] == [("assistant", "n"), ("user", "a"), ("user", "a"), ("user", "b")]
+    assert got[2].loss_texts == [long] and op1_chat.format_chats(d.limit(0)).count() == 0
+
+
+def test_decontaminate_edges(spark):
+    """Both sides of the bound on broadcasts, long items and texts, null and repeated ids, clashing names."""
+    rng = random.Random(6)
+    words = [f"w{rng.randint(0, 400)}" for _ in range(10_000)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "solo"), (None, "null item here")], "item_id long, text string")
+    rows = [(1, "a solo b solo", "x"), (1, " ".join(words[50:75]), "x"), (None, " ".join(words[9_000:9_012]), "x"), (None, "nothing at all", "x"), (3, "the null item here", "x"), (4, " ".join(f"v{k}" for k in range(200_000)) + " " + " ".join(words[:40]), "x"), (5, None, "x"), (3, "the null item here", "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, hit_items string")
+    want = sorted([(1, 2, [2]), (1, 25, [1]), (-1, 12, [1]), (-1, 0, []), (3, 3, []), (3, 3, []), (4, 40, [1]), (5, 0, [])])
+    for limit in (1 << 25, 0):
+        got = op9_decontaminate.find_hits(d, bench, broadcast_bytes=limit).collect()
+        assert sorted((-1 if r.doc_id is None else r.doc_id, len(r.hit_places), r.hit_items) for r in got) == want
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 101), (7, 7), (None, 3)], "a long, b long")
     got = dict(map(tuple, components(edges).collect()))
@@ -174,8 +320,8 @@ def test_html_article_is_evidence_only():
     foreign = "これは庭にいる猫と犬についての長い話です。" * 8
     teaser = f"<body><article>Related</article><div class=post-body><p>{prose}</p><p>Yes.</p><p>{prose}</p></div></body>"
     assert op8_html.main_text(teaser) == "\n".join((prose, "Yes.", prose))
-    mixed = f"<body><div>Menu</div><main><h1>Head</h1><p>{prose}</p><p>{notice}</p><p>{prose}</p><p>End.</p></main><p>{notice}</p></body>"
-    assert op8_html.main_text(mixed) == "\n".join(("Head", prose, prose, "End."))
+    mixed = f"<body><div>Menu</div><main><h1>Head</h1><p>{prose}</p><p>{notice}</p><div class=notice>{notice}</div><p>{prose}</p><p>End.</p></main><p>{notice}</p></body>"
+    assert op8_html.main_text(mixed) == "\n".join(("Head", prose, notice, prose, "End."))  # few stop words: what its neighbours are
     assert op8_html.main_text(f"<body><p>{notice}</p><article><p>{foreign}</p><div class=ad>{prose}</div><p>{foreign}</p></article></body>") == f"{foreign}\n{foreign}"
     assert op8_html.main_text(f"<body><article><p>{prose[:80]}</p><ul><li><a href=1>More</a></li></ul></article></body>") == prose[:80].strip()
 
@@ -190,6 +336,10 @@ def test_chat(spark):
     assert one.turns[0].text == f"see <|image:1|>{forged}" and [(a.number, a.type, a.tokens) for a in one.attachments] == [(1, "image", 4), (2, "audio", 25)]
     assert all(one.formatted[s.start : s.start + s.length].replace("<\\|", "<|").replace("\\\\", "\\") == t for s, t in zip(one.loss_spans, one.loss_texts, strict=True))
     assert got[2].turns[0].text == "" and got[None].n_turns == 1
+    assert [[(p.type, p.text, p.number) for p in t.parts] for t in one.turns] == [[("text", "see ", None), ("image", None, 1), ("text", forged, None)], [("text", forged, None), ("audio", None, 2), ("text", "é", None)], []]
+    twin = op1_chat.format_chats(spark.createDataFrame([(1, 0, "user", [part("text", "<|image:1|>"), part("image"), part("document", pages=2)])], f"conv_id long, turn long, role string, parts array<{op1_chat.PART}>"))
+    parts = op1_chat.parse_chats(twin).first().turns[0].parts
+    assert [(p.type, p.text, p.number) for p in parts] == [("text", "<|image:1|>", None), ("image", None, 1), ("document", None, 2)]
 
 
 def test_quality(docs):
@@ -231,22 +381,3 @@ def test_words_split_rows_apart():
     data = np.frombuffer("abab c".encode(), np.uint8)
     h, cut = kernel.words(data, np.array([0, 2, 2, 6]))
     assert h[0] == h[1] and cut.tolist() == [0, 1, 1, 3]
-
-
-def test_pipeline(spark, docs, tmp_path):
-    import corpus_pipeline
-
-    sf = "/root/testdata/sf0.001"
-    now = spark.read.parquet(f"{sf}/documents.parquet")
-    columns = now.columns
-    seen = [now.count()]
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        now = stage(spark, now, sf)
-        assert now.columns == columns, name
-        now = spark.createDataFrame(now.collect(), now.schema)
-        seen.append(now.count())
-    assert seen == sorted(seen, reverse=True) and seen[-1] > 0
-    packed = corpus_pipeline.run(spark, sf)
-    assert packed.select("doc_id").distinct().count() == seen[-1]
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, docs.limit(0), sf).count() == 0
