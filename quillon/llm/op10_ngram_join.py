@@ -39,9 +39,11 @@ LEAST_SHARED, HOME_SHARE = 2, 0.25
 #: Shingles (8 bytes each) in one cut of a home or bucket, and in one task's group of them, about.
 CUT_SHINGLES, GROUP_SHINGLES = 1 << 20, 1 << 20
 #: Classes in one cut of a bucket or home, and in one task's group while only band hashes meet.
-CUT_CLASSES, GROUP_CLASSES = 2_000, 20_000
+CUT_CLASSES, GROUP_CLASSES = 2_000, 2_000
 #: Sets with more copies than this, and homes that are cut, are joined by broadcast: their number is bounded by the rows through these limits.
 HOT_COPIES = 100_000
+#: Up to so many ids are broadcast (at most about 100 MB in a hashed table); for more, texts are shuffled.
+BROADCAST_IDS = 4_000_000
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 128) -> tuple[int, int]:
@@ -300,9 +302,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     inside = _cut(inside.select(F.col("node").alias("rep"), F.lit(-1).alias("band"), F.col("component").alias("hash"), F.coalesce("cuts", F.lit(1)).alias("cuts")))
     places = written(inside.unionByName(across), "places")
     wanted = places.select(F.col("rep").alias("need")).distinct()
-    sought = classes.join(wanted, F.col("rep") == F.col("need"), "left_semi").select("rep", "head", "k1", "k2")
+    sought = written(classes.join(wanted, F.col("rep") == F.col("need"), "left_semi").select("rep", "head", "k1", "k2"), "sought")
+    heads_sought = sought.where("head IS NOT NULL").select("head").distinct()
+    few = F.broadcast(heads_sought) if sought.count() <= BROADCAST_IDS else heads_sought
     source = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    by_id = source.where("id IS NOT NULL").join(sought.where("head IS NOT NULL").select("head").distinct(), F.col("id") == F.col("head"), "left_semi")
+    by_id = source.where("id IS NOT NULL").join(few, F.col("id") == F.col("head"), "left_semi")
     # texts that only rows without an id have; one of equal ones
     nameless = source.where("id IS NULL").dropDuplicates(["text"]) if sought.where("head IS NULL").limit(1).count() else source.limit(0)
     sets = shingle_sets(by_id.unionByName(nameless), "text", width)
