@@ -81,7 +81,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     whose = F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(key).isNull()
     names = (F.xxhash64(*whose, text).alias("__k1"), F.xxhash64(F.lit(1), text, *whose).alias("__k2"))
     asked = items.select("number", F.explode(let(F.col("iw"), lambda w: prints(w, F.col("n")))).alias("e")).select("number", F.col("e.n").alias("bn"), F.col("e.h").alias("bh"), F.col("e.p").alias("q"))
-    seen = docs.select(*names, F.explode(let(words(F.col(text)), lambda w: prints(w))).alias("e")).select("__k1", "__k2", F.col("e.n").alias("n"), F.col("e.h").alias("h"), F.col("e.p").alias("p"))
+    # names first: beside the explode they would be computed again for each fingerprint
+    named = docs.select(*names, F.col(text).alias("__text"))
+    seen = named.select("__k1", "__k2", F.explode(let(words(F.col("__text")), lambda w: prints(w))).alias("e")).select("__k1", "__k2", F.col("e.n").alias("n"), F.col("e.h").alias("h"), F.col("e.p").alias("p"))
     met = seen.join(_side(asked, _ROW * asked.count(), broadcast_bytes), (F.col("n") == F.col("bn")) & (F.col("h") == F.col("bh")))
     aligned = written(met.groupBy("__k1", "__k2", "number").agg(F.collect_set(F.col("p") - F.col("q")).alias("shifts")), "aligned")
 
