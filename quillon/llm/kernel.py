@@ -7,6 +7,8 @@ differences of one running sum, so the cost for each byte doesn't depend on the
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from functools import lru_cache
 
 import numpy as np
@@ -148,6 +150,18 @@ def pack(*arrays: np.ndarray) -> bytes:
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
+def raw_size(head: bytes) -> int:
+    """Bytes that a packed value unpacks to, from its first eight bytes."""
+    return int.from_bytes(head, "little")
+
+
+def trim() -> None:
+    """Give freed memory back to the system, where its allocator has a call for that: workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def unpack(value: bytes, *kinds: str) -> list[np.ndarray]:
     raw = pa.decompress(value[8:], decompressed_size=int.from_bytes(value[:8], "little"), codec="zstd", asbytes=True)
     n, out, at = len(raw) // sum(np.dtype(k).itemsize for k in kinds), [], 0

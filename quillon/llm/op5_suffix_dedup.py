@@ -1,22 +1,23 @@
 """Suffix-array dedup: longest-previous-factor arrays remove later copies of long byte strings.
 
 A byte goes if some string of ``length`` bytes that covers it also starts in a row with a smaller
-id; the first copy stays. That is LPF >= length, where LPF is read off the suffix array: a suffix
-has an earlier match exactly if the previous or the next smaller position in suffix order shares a
-prefix of that length with it.
+id; the first copy stays. That is LPF >= length, where LPF, the longest previous factor, is read off
+the suffix array: of all earlier suffixes the previous and the next smaller position in suffix order
+share the longest prefix with a suffix.
 
-A suffix array over the whole corpus doesn't fit into a cluster's disks, so suffixes are only sorted
-where an earlier match is possible, in blocks that hold all suffixes which could match each other:
+A suffix array over the whole corpus doesn't fit into a cluster's disks, so it is built in blocks that
+hold all suffixes which could match each other for ``length`` bytes:
 
 1. Every string of ``length`` bytes has an *anchor*, the k-gram in it with the least hash. Equal
    strings have equal anchors at equal places, so only anchors found in two rows matter. Rows are
-   dealt into chunks by id; each chunk sends its distinct anchors once (a third of all rows being one
+   dealt into chunks; each chunk sends its distinct anchors once (a third of all rows being one
    group of copies still sends each anchor once for each chunk).
-2. The strings that share an anchor are a *span* of neighbouring suffixes. Chunks send the spans of
-   shared anchors, equal spans once with their least id, to the block of that anchor.
-3. In a block the suffixes of the spans are put in suffix order, and previous and next smaller
-   positions give the suffixes with an earlier match. Chunks get back what concerns their spans.
-4. Chunks mark the covered bytes.
+2. The strings that share an anchor are a *span*: the beginnings of neighbouring suffixes. Chunks send
+   the spans of shared anchors, equal spans once with their least id, to the block of that anchor.
+3. A block sorts the suffixes of its spans and computes their LPF array. A span with several ids stands
+   there twice, at its least id and at a later one. Chunks get back, for each of their spans, which
+   suffixes have LPF >= length at the least id, and which at a later one.
+4. Chunks mark the bytes that these cover.
 
 The edges of a passage that a third of all rows share have anchors with as many different spans as
 rows. Anchors found in many chunks are therefore *hot*: each string of their spans is sent for itself,
@@ -42,6 +43,8 @@ LENGTH = 50
 CHUNK_BYTES = 4 << 20
 #: An anchor found in so many chunks is hot. Below, its block gets spans from fewer chunks than this.
 HOT_CHUNKS = 256
+#: Unpacked bytes of a block that are matched at once, about; a block with more is matched in turns of anchors.
+PASS_BYTES = 16 << 20
 _LAST = np.iinfo(np.int64).max
 #: Anchors travel as their upper 47 bits and a flag; a chance match only costs a look at its spans.
 _CUT = ~np.uint64(0x1FFFF)
@@ -55,43 +58,48 @@ def anchor_width(length: int) -> int:
 # --- suffix order -----------------------------------------------------------------------------------
 
 
-def suffix_order(rows: np.ndarray) -> np.ndarray:
-    """Order of byte strings of one width (a matrix), as a suffix array orders their suffixes."""
-    n, width = rows.shape
-    padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
-    padded[:, :width] = rows
-    keys = padded.view(">u8").astype(np.uint64)
-    return np.lexsort(keys.T[::-1])
+def suffix_order(group: np.ndarray, rows: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Order of suffixes, each a row of a matrix whose first ``size`` bytes count (zeros follow), within their groups."""
+    padded = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    padded[:, : rows.shape[1]] = rows
+    return np.lexsort((size, *padded.view(">u8").astype(np.uint64).T[::-1], group))
 
 
-def common_prefix(rows: np.ndarray) -> np.ndarray:
-    """LCP of each row with the row before it (0 for the first)."""
+def common_prefix(group: np.ndarray, rows: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """In suffix order: LCP of each suffix with the one before it, 0 for the first of a group."""
     out = np.zeros(len(rows), np.int64)
     if len(rows) > 1:
         differs = rows[1:] != rows[:-1]
-        out[1:] = np.where(differs.any(axis=1), differs.argmax(axis=1), rows.shape[1])
+        own = np.where(differs.any(axis=1), differs.argmax(axis=1), rows.shape[1])
+        out[1:] = np.where(group[1:] == group[:-1], np.minimum(own, np.minimum(size[1:], size[:-1])), 0)
     return out
 
 
-def has_previous_factor(lcp: np.ndarray, position: np.ndarray, length: int) -> np.ndarray:
-    """In suffix order: is LPF >= length? position: where the suffix stands in the corpus.
+def _to_smaller(lcp: np.ndarray, position: np.ndarray) -> np.ndarray:
+    """LCP of each suffix with the previous smaller position before it in suffix order; 0 without one.
 
-    LPF is the larger of the LCPs with the previous smaller and the next smaller position. Runs of
-    LCP >= length are the only places where either can reach ``length``; in a run the previous
-    smaller position exists if the least position so far is smaller, the next likewise from behind.
+    All suffixes look at once: what one has jumped over is not smaller than what it stands at, so
+    whoever is not smaller either jumps over as much, and the distances double.
     """
-    n = len(lcp)
-    if not n:
-        return np.zeros(0, bool)
-    run = np.cumsum(lcp < length)
-    run -= run[0]
-    _, rank = np.unique(position, return_inverse=True)
-    rank = rank.reshape(-1).astype(np.int64)
-    top = int(rank.max()) + 1
-    from_left = np.minimum.accumulate((run[-1] - run) * top + rank) - (run[-1] - run) * top
-    back_run, back_rank = run[::-1], rank[::-1]
-    from_right = (np.minimum.accumulate(back_run * top + back_rank) - back_run * top)[::-1]
-    return (from_left < rank) | (from_right < rank)
+    at, shared = np.arange(len(lcp)) - 1, lcp.copy()
+    look = np.flatnonzero(shared > 0)
+    while len(look):
+        look = look[position[at[look]] >= position[look]]
+        low = np.minimum(shared[look], shared[at[look]])
+        at[look], shared[look] = at[at[look]], low
+        look = look[low > 0]
+    return shared
+
+
+def longest_previous_factor(lcp: np.ndarray, position: np.ndarray) -> np.ndarray:
+    """LPF of each suffix, in suffix order: the longest prefix that it shares with one at a smaller position.
+
+    lcp: with the suffix before, 0 at the first one and between groups. The larger of what it shares
+    with the previous and with the next smaller position; equal positions are not smaller.
+    """
+    before = _to_smaller(lcp, position)
+    after = _to_smaller(np.concatenate((lcp[1:], [0]))[::-1] if len(lcp) else lcp, position[::-1])[::-1]
+    return np.maximum(before, after)
 
 
 # --- anchors and spans ------------------------------------------------------------------------------
@@ -207,14 +215,16 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     ``kept_bytes`` drops exactly the removed bytes; ``kept_text`` keeps characters that are only
     removed in part, so it is always valid. Null text counts as empty (``kept_text`` stays null). A
     null id counts as the largest: such rows lose what any other row has and take nothing. Rows with
-    equal ids don't take from each other. Other columns pass through; names that begin with ``__``
-    are reserved. An empty table gives an empty table.
+    equal ids don't take from each other. Other columns pass through, those of the new names are
+    replaced; names that begin with ``__`` are reserved. An empty table gives an empty table. Rows are
+    dealt by all their columns; a row longer than a block of bytes is walked in overlapping pieces.
     """
     k = anchor_width(length)
     chunks = max(1, -(-text_bytes(docs, text) // chunk_bytes))
     out_fields = [f for f in docs.schema.fields if f.name not in ("removed_spans", "kept_bytes", "kept_text")]
     names = [f.name for f in out_fields]
-    left = docs.select(*names, F.pmod(F.xxhash64(F.col(key)), F.lit(chunks)).alias("__chunk"))
+    # by all columns, so that neither a null id nor one that many rows have is one chunk
+    left = docs.select(*names, F.pmod(F.xxhash64(*(f.name for f in out_fields if not isinstance(f.dataType, T.MapType | T.VariantType))), F.lit(chunks)).alias("__chunk"))
 
     def send_anchors(table: pa.Table) -> pa.Table:
         hashes, ids = [np.empty(0, K.U64)], [np.empty(0, np.int64)]
@@ -281,43 +291,63 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
         chunk = table["__chunk"][0].as_py()
         rows = list(_rows(_buckets(h[at], chunks), chunk, make))
+        K.trim()
         if hot.any():  # comes back as it is, for the last step
             rows.append((chunk, chunk, bytes(8) + K.pack(wanted[hot])))
         return _table(rows, ("__bucket", "__from", "__load"))
 
     def match_spans(table: pa.Table) -> pa.Table:
-        heads, bodies, sender, same = [], [], [], []
-        for x, origin in zip(table["__load"].to_pylist(), table["__from"].to_pylist(), strict=True):
-            m = int.from_bytes(x[:8], "little")
-            if not m:
-                same.append((origin, _HOT, x[8:]))
+        loads, origins = table["__load"], np.asarray(table["__from"])
+        bucket, out = table["__bucket"][0].as_py(), []
+        cuts = [int.from_bytes(x.as_py()[:8], "little") for x in loads]
+        raw = sum(K.raw_size(x.as_py()[8:16]) + K.raw_size(x.as_py()[8 + m : 16 + m]) for x, m in zip(loads, cuts, strict=True) if m)
+        passes = max(1, -(-raw // PASS_BYTES))  # anchors have nothing to do with each other
+        for turn in range(passes):
+            heads, bodies, sender = [], [], []
+            for i, m in enumerate(cuts):
+                x = loads[i].as_py()
+                if not m:
+                    if not turn:
+                        out.append((int(origins[i]), _HOT, x[8:]))
+                    continue
+                head, body = K.unpack(x[8 : 8 + m], "u8", "u8", "i8", "i8"), K.unpack(x[8 + m :], "u1")[0]
+                if passes > 1:
+                    use = np.flatnonzero((head[0] >> K.U64(20)) % K.U64(passes) == K.U64(turn))
+                    size = (head[3] >> 1) + length
+                    ends = np.cumsum(size)
+                    body = K.gather(body, (ends - size)[use], ends[use])[0].copy()
+                    head = [h[use] for h in head]
+                heads.append(head)
+                bodies.append(body)
+                sender.append(int(origins[i]))
+            if not heads:
                 continue
-            sender.append(origin)
-            heads.append(K.unpack(x[8 : 8 + m], "u8", "u8", "i8", "i8"))
-            bodies.append(K.unpack(x[8 + m :], "u1")[0])
-        if not heads:
-            return _table(same, ("__to", "__bucket", "__load"))
-        h, keys, ids, sizes = (np.concatenate(x) for x in zip(*heads, strict=True))
-        body = np.concatenate(bodies)
-        origin = np.repeat(np.arange(len(heads)), [len(x[0]) for x in heads])
-        n = (sizes >> 1) + length
-        starts = np.cumsum(n) - n
-        at, across, least = _least(keys, ids)
-        mask = _earlier(h[at], least, body, starts[at], n[at], length)
-        place = np.searchsorted(keys[at], keys)
-        least, mask, across = least[place], mask[place], across[place]
-        useful = (mask != 0).any(axis=1) | (ids > least) | ((sizes & 1) == 1)
-        bucket = table["__bucket"][0].as_py()
-        at = np.flatnonzero(useful)
-        load = lambda a, b: K.pack(keys[at[a:b]], least[at[a:b]], *mask[at[a:b]].T)
-        return _table(same + [(sender[o], b, x) for o, b, x in _rows(origin[at], bucket, load)], ("__to", "__bucket", "__load"))
-
-    word_count = -(-(length - k + 1) // 64)
+            count = [len(x[0]) for x in heads]
+            h, keys, ids, sizes = (np.concatenate(x) for x in zip(*heads, strict=True))
+            body = np.concatenate(bodies)
+            del heads, bodies
+            n = (sizes >> 1) + length
+            starts = np.cumsum(n) - n
+            at, across, least = _least(keys, ids)
+            later = across | _any(keys, sizes & 1)
+            masks = _removable(h[at], least, later, body, starts[at], n[at], length)
+            del body, starts, n, h, ids, sizes
+            place = np.searchsorted(keys[at], keys)
+            useful = (masks != 0).any(axis=1)[place]
+            origin = np.repeat(np.arange(len(count)), count)[useful]
+            keys, place = keys[useful], place[useful]
+            load = lambda a, b: K.pack(keys[a:b], least[place[a:b]], *masks[place[a:b]].T)  # noqa: B023, E731
+            out += [(sender[o], b, x) for o, b, x in _rows(origin, bucket, load)]
+            del masks, keys, place, origin, useful, at, across, least, later
+            K.trim()
+        return _table(out, ("__to", "__bucket", "__load"))
+
+    word_count = _mask_words(length)
     out_schema = T.StructType([*out_fields, *T._parse_datatype_string("removed_spans array<struct<start: long, end: long>>, kept_bytes binary, kept_text string").fields])
 
     def cut_out(table: pa.Table, back: pa.Table) -> pa.Table:
         loads = list(zip(back["__bucket"].to_pylist(), back["__load"].to_pylist(), strict=True))
-        parts = [K.unpack(x, "u8", "i8", *["u8"] * word_count) for b, x in loads if b != _HOT]
+        parts = [K.unpack(x, "u8", "i8", *["u8"] * (2 * word_count)) for b, x in loads if b != _HOT]
         hot = np.sort(np.concatenate([np.empty(0, K.U64), *(K.unpack(x, "u8")[0] for b, x in loads if b == _HOT)]))
         data, start, end = K.utf8(table[text])
         place = np.cumsum(end - start) - (end - start)  # of each row in the chunk's own line of bytes
@@ -330,14 +360,17 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 h, lo, hi, row, shift = _apart(_among(h & _CUT, hot)[0], spans, length, h, lo, hi, row, shift)
                 use, at = _among(_key(h, spans, lo, hi, length), keys)
                 at, lo, hi, row, shift = at[use], lo[use], hi[use], row[use], shift[use]
-                base = lo + shift - start[row] + place[row]
-                whole = ids[row] > least[at]
-                np.add.at(delta, base[whole], 1)
-                np.add.at(delta, (base + (hi - lo) + length)[whole], -1)
-                rest = ~whole
-                base, at, size = base[rest], at[rest], (hi - lo)[rest]
-                for bit in range(int(size.max()) + 1 if len(size) else 0):
-                    on = ((mask[bit // 64][at] >> K.U64(bit % 64)) & K.U64(1)).astype(bool)
+                base, size = lo + shift - start[row] + place[row], hi - lo + 1
+                copy = ids[row] > least[at]
+                own = [np.where(copy, mask[word_count + w][at], mask[w][at]) for w in range(word_count)]
+                every = np.ones(len(at), bool)  # all its suffixes: one range of bytes
+                for w in range(word_count):
+                    every &= own[w] == _low_bits(np.clip(size - 64 * w, 0, 64))
+                np.add.at(delta, base[every], 1)
+                np.add.at(delta, (base + size - 1 + length)[every], -1)
+                some = np.flatnonzero(~every & np.logical_or.reduce([m != 0 for m in own]))
+                for bit in range(int(size[some].max()) if len(some) else 0):
+                    on = some[((own[bit // 64][some] >> K.U64(bit % 64)) & K.U64(1)).astype(bool)]
                     np.add.at(delta, base[on] + bit, 1)
                     np.add.at(delta, base[on] + bit + length, -1)
         gone = np.cumsum(delta[:-1], dtype=np.int32) > 0
@@ -362,6 +395,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             texts.append(raw[stays[char]].tobytes().decode())
         columns = {f.name: table[f.name] for f in out_fields}
         columns |= {"removed_spans": pa.array(lists, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "kept_bytes": pa.array(kept, pa.binary()), "kept_text": pa.array(texts, pa.string())}
+        K.trim()
         return pa.table(columns)
 
     sent = left.groupBy("__chunk").applyInArrow(send_anchors, _SENT)
@@ -379,16 +413,35 @@ def _any(keys: np.ndarray, flag: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduceat(flag[order], first).astype(bool)
 
 
-def _earlier(h: np.ndarray, ids: np.ndarray, body: np.ndarray, starts: np.ndarray, n: np.ndarray, length: int, most: int = 1 << 17) -> np.ndarray:
-    """For each distinct span a bit for each of its suffixes that has an earlier match (LPF >= length)."""
-    k = anchor_width(length)
-    mask = np.zeros((len(h), -(-(length - k + 1) // 64)), K.U64)
+def _mask_words(length: int) -> int:
+    return -(-(length - anchor_width(length) + 1) // 64)
+
+
+def _low_bits(n: np.ndarray) -> np.ndarray:
+    """Words with the low n bits set, n from 0 to 64."""
+    n = n.astype(K.U64)
+    return np.where(n >= K.U64(64), K.U64(0xFFFFFFFFFFFFFFFF), (K.U64(1) << (n & K.U64(63))) - K.U64(1))
+
+
+def _removable(h: np.ndarray, least: np.ndarray, later: np.ndarray, body: np.ndarray, starts: np.ndarray, n: np.ndarray, length: int, most: int = 1 << 15) -> np.ndarray:
+    """For each distinct span the bits of its suffixes with LPF >= length: at its least id, then at a later id (none if it has no other).
+
+    Suffixes are sorted where an anchor has several spans. A span alone in its block shares each of
+    its suffixes with its own copy and with nothing else, so there the LPF at a later id is the
+    suffix's length.
+    """
+    words = _mask_words(length)
+    masks = np.zeros((len(h), 2 * words), K.U64)
     order = np.argsort(h, kind="stable")
     hs = h[order]
     group = np.flatnonzero(np.concatenate(([True], hs[1:] != hs[:-1]))) if len(hs) else np.empty(0, np.int64)
     size = np.diff(np.concatenate((group, [len(hs)])))
-    multi = np.repeat(size > 1, size)
-    order, hs = order[multi], hs[multi]
+    alone = order[np.repeat(size == 1, size)]
+    alone = alone[later[alone]]
+    for w in range(words):
+        masks[alone, words + w] = _low_bits(np.clip(n[alone] - length + 1 - 64 * w, 0, 64))
+    order = order[np.repeat(size > 1, size)]
+    hs = h[order]
     count = n[order] - length + 1
     total = np.cumsum(count)
     a = 0
@@ -399,22 +452,25 @@ def _earlier(h: np.ndarray, ids: np.ndarray, body: np.ndarray, starts: np.ndarra
         part, c = order[a:b], count[a:b]
         owner, bit = np.repeat(np.arange(len(part)), c), K.ragged(np.zeros(len(part), np.int64), c)
         own, at = K.gather(body, starts[part], starts[part] + n[part])
-        place = at[:-1][owner] + bit
-        window = K.mix64(np.repeat(hs[a:b], c) + K.Spans(own).hash(place, place + length))
-        by = np.argsort(window, kind="stable")
-        w = window[by]
-        twice, same = np.zeros(len(w), bool), w[1:] == w[:-1]
-        twice[1:] |= same
-        twice[:-1] |= same
-        use = by[twice]  # a suffix that is unique by its hash has no match at all
-        if len(use):
-            rows = own[place[use][:, None] + np.arange(length)]
-            o = suffix_order(rows)
-            rows, use = rows[o], use[o]
-            hit = use[has_previous_factor(common_prefix(rows), ids[part][owner[use]], length)]
-            np.bitwise_or.at(mask, (part[owner[hit]], bit[hit] // 64), K.U64(1) << (bit[hit] % 64).astype(K.U64))
+        left = n[part][owner] - bit  # of the span, from where the suffix starts
+        width = int(left.max())
+        rows = np.lib.stride_tricks.sliding_window_view(np.concatenate((own, np.zeros(width, np.uint8))), width)[at[:-1][owner] + bit]
+        rows[np.arange(width, dtype=np.int32)[None, :] >= left.astype(np.int32)[:, None]] = 0
+        anchor = np.repeat(np.cumsum(np.concatenate(([0], hs[a + 1 : b] != hs[a : b - 1]))), c)
+        o = suffix_order(anchor, rows, left)
+        lcp = common_prefix(anchor[o], rows[o], left[o])
+        # a span with several ids stands in the order twice, next to itself
+        times = 1 + later[part][owner[o]].astype(np.int64)
+        first = np.cumsum(times) - times
+        of = np.repeat(np.arange(len(o)), times)
+        copy = np.ones(len(of), bool)
+        copy[first] = False
+        found = longest_previous_factor(np.where(copy, left[o][of], lcp[of]), np.where(copy, _LAST, least[part][owner[o]][of])) >= length
+        hit = np.flatnonzero(found)
+        whose, which = owner[o][of[hit]], bit[o][of[hit]]
+        np.bitwise_or.at(masks, (part[whose], which // 64 + words * copy[hit]), K.U64(1) << (which % 64).astype(K.U64))
         a = b
-    return mask
+    return masks
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
