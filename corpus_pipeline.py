@@ -15,39 +15,55 @@ from quillon.llm.op4_packing import pack_documents
 from quillon.llm.op5_suffix_dedup import remove_repeats
 from quillon.llm.op9_decontaminate import find_hits
 from quillon.llm.op10_ngram_join import near_duplicates
-from quillon.llm.shared import written
+from quillon.llm.shared import removed, written
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    """Other columns under names that no operator makes."""
+    return docs.select(*(F.col(c) if c in ("doc_id", "text") else F.col(c).alias(f"c_{i}") for i, c in enumerate(docs.columns)))
+
+
+def _named(out: DataFrame, columns: list[str], changed: dict | None = None) -> DataFrame:
+    """Back to the names of the documents' columns."""
+    own = lambda i, c: F.col(c if c in ("doc_id", "text") else f"c_{i}")
+    return out.select(*((changed or {}).get(c, own(i, c)).alias(c) for i, c in enumerate(columns)))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return judge(docs).where("kept").select(*docs.columns)
+    return _named(judge(_plain(docs)).where("kept"), docs.columns)
+
+
+#: Up to so many ids of documents to drop are broadcast (at most about 100 MB in a hashed table).
+BROADCAST_IDS = 4_000_000
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the least id, of each group of near duplicates.
 
-    Of rows that repeat an id and a text one stays; documents without an id all stay.
+    Of rows that repeat an id and a text one stays; an id with several texts goes if all of them do;
+    documents without an id all stay. Only ids to drop are joined, so texts move only where these are
+    too many to broadcast.
     """
     found = written(near_duplicates(docs), "classes")
-    heads = found.where("doc_id = class_id").select("doc_id").distinct()
-    out = docs.join(heads, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    gone = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("class_id")).alias("gone")).where("gone").select("doc_id")
+    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
     repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+    return out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(out.where("doc_id IS NULL")) if repeated else out
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document has; documents with nothing else go."""
-    cut = remove_repeats(docs)
-    text = F.col("kept_text")
-    emptied = (F.size("removed_spans") > 0) & ~text.rlike(r"[^\x20\x09-\x0D]")
-    changed = {"text": text, "n_chars": F.when(F.size("removed_spans") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))}
-    return cut.where(~emptied).select(*(changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns))
+    cut = remove_repeats(_plain(docs))
+    text, touched = F.col("kept_text"), F.size("removed_spans") > 0
+    left = cut.where(~(touched & ~text.rlike(r"[^\x20\x09-\x0D]")))
+    return _named(left, docs.columns, {"text": text} | ({"n_chars": F.when(touched, F.length(text).cast("long")).otherwise(F.col(f"c_{docs.columns.index('n_chars')}"))} if "n_chars" in docs.columns else {}))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of words with a benchmark item."""
-    hits = find_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return hits.where(F.size("hit_places") == 0).select(*docs.columns)
+    hits = find_hits(_plain(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _named(hits.where(F.size("hit_places") == 0), docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,10 +77,12 @@ STAGES = [("quality", quality), ("near_duplicate", near_duplicate), ("repeated_p
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+    for at, (name, stage) in enumerate(STAGES):
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        if at:
+            removed(before)
     return docs
 
 
-#: SQL can't tokenise; the tests hold the pipeline against a brute-force version.
+#: SQL can't tokenise; tests/llm/test_pipeline.py holds the stages and run() against a brute-force version.
 ORACLE_SQL = None
