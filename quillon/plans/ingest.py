@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions.semantics import long
-from quillon.operators.relational import asof_latest, best_overlap, best_per_key, sync_actions
+from quillon.operators.relational import MATCH_STOP_WORDS, asof_latest, best_overlap, best_per_key, sync_actions
 from quillon.sources import load
 
 
@@ -210,3 +210,10 @@ SELECT CAST(p_partkey AS BIGINT) AS id, upper(array_to_string(l, ' - ')) AS titl
     "q35_key_pool": f"SELECT {B('s_suppkey', 'id')}, '...' || right(s_name, 4) AS masked, {B('s_nationkey', 'weight')} FROM supplier WHERE s_acctbal >= 0 AND NOT (s_suppkey % 4 = 0 AND s_suppkey % 8 <> 0) ORDER BY s_nationkey DESC, s_acctbal, s_suppkey LIMIT 10",
     "q36_recent": f"WITH g AS (SELECT user_id, event_type, max(ts) AS ts FROM events WHERE length(event_type) >= 3 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type) AS n FROM g) SELECT {B('user_id', 'user_id')}, {B('n', 'n')}, event_type FROM r WHERE n <= 5",
 }
+_CLEAN = "SELECT DISTINCT {k}, w FROM (SELECT {k}, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM {t}) WHERE length(w) > 2 AND w NOT IN ({stop})"
+_STOP = ", ".join(f"'{w}'" for w in MATCH_STOP_WORDS)
+ORACLE_SQL["q39_block_match"] = f"""
+WITH b AS ({_CLEAN.format(k="item_id", t="benchmark", stop=_STOP)}), x AS ({_CLEAN.format(k="doc_id", t="documents", stop=_STOP)}),
+n AS (SELECT doc_id, count(*) AS size FROM x GROUP BY 1), h AS (SELECT item_id, doc_id, count(*) AS overlap FROM b JOIN x ON b.w = x.w GROUP BY 1, 2),
+r AS (SELECT h.*, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, h.doc_id) AS rn FROM h JOIN n ON n.doc_id = h.doc_id WHERE overlap >= 4 OR overlap >= 2 AND overlap / size > 0.6)
+SELECT CAST(i.item_id AS BIGINT) AS item_id, CAST(r.doc_id AS BIGINT) AS doc_id, CAST(coalesce(overlap, 0) AS BIGINT) AS overlap FROM (SELECT DISTINCT item_id FROM benchmark) i LEFT JOIN r ON r.item_id = i.item_id AND rn = 1"""
