@@ -55,13 +55,15 @@ def _byte_chars() -> str:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
+        """With ``plain`` the strings of special tokens are ordinary text."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
+        self._library.encode_special_tokens = plain
         self._model = self._library.model
-        self._added = [t.content.encode() for t in self._library.get_added_tokens_decoder().values()]
+        self._added = [t.content.encode() for t in self._library.get_added_tokens_decoder().values() if not (plain and t.special)]
         self._table = str.maketrans({chr(i): c for i, c in enumerate(_byte_chars())})
         self._forget()
 
@@ -180,9 +182,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, plain: bool = False) -> Encoder:
     """One for each worker."""
-    return Encoder(path)
+    return Encoder(path, plain)
 
 
 def _pieces(data: np.ndarray, most: int) -> list[int]:
