@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.sources.sinks import materialised
-
 # Fixed values of the product: stop words of searches, stems of links that are no exams, names of sources.
 SEARCH_STOP_WORDS = "prova de para em da do concurso pdf a o e".split()
 SKIP_STEMS = "resultado convoca retifica cronograma edital rela resposta recurso divulga homologa inscri isen anexo aditivo comunicado aviso lista decreto lei portaria informa classifica quantitativo local data nota judicial decis cumprimento gabarito preliminar definitiv parecer".split()
@@ -89,16 +87,28 @@ def folder_name(title: Column, exam: Column) -> Column:
     return F.when(short != "", short).otherwise(F.concat(F.lit("Pasta Prova "), exam.cast("string")))
 
 
+#: Ranges that an order is cut into, and rows that the cuts are chosen from.
+RANGES, CHOSEN_FROM = 32, 2000
+
+
 def numbered(df: DataFrame, order: list[str], column: str) -> DataFrame:
     """The rows with their place from 1 in an order, counted in ranges of it: only one row for each range meets in one task.
 
-    Rows that ``order`` doesn't tell apart get places of their own, in any order.
+    The ranges' bounds are chosen at once, from the keys with the least hashes; which range a row is in then
+    follows from the row, so nothing is written. The rows are read once more for the ranges' sizes and
+    must be the same then. Rows that ``order`` doesn't tell apart get places of their own, in any order.
     """
-    parts = materialised(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
-    local = parts.withColumn("__local", F.row_number().over(W.partitionBy("__range").orderBy(*order)))
-    sizes = local.groupBy("__range").agg(F.max("__local").alias("__size"))
+    key = F.struct(*order)
+    chosen = df.select(*order).orderBy(F.xxhash64(*order)).limit(CHOSEN_FROM).orderBy(*order).collect()
+    kinds = [df.schema[c].dataType for c in order]
+    at = sorted({i * len(chosen) // RANGES for i in range(1, RANGES)}) if chosen else []
+    bounds = [F.struct(*(F.lit(v).cast(k).alias(c) for v, k, c in zip(chosen[i], kinds, order, strict=True))) for i in at]
+    place = F.size(F.filter(F.array(*bounds), lambda b: b <= key)) if bounds else F.lit(0)
+    ranged = df.withColumn("__range", place)
+    sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__size"))
     before = F.coalesce(F.sum("__size").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("__range", before.alias("__before"))
+    local = ranged.withColumn("__local", F.row_number().over(W.partitionBy("__range").orderBy(*order)))
     return local.join(F.broadcast(offsets), "__range").withColumn(column, (F.col("__local") + F.col("__before")).cast("bigint")).drop("__range", "__local", "__before")
 
 

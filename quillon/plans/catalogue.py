@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from quillon.plans import answers, ingest, intake, library, pool, stats, writes
-from quillon.streaming import events
+from quillon.streaming import events, tasks
 
-_PARTS = (stats, ingest, answers, library, intake, pool, writes, events)
+_PARTS = (stats, ingest, answers, library, intake, pool, writes, events, tasks)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}

@@ -1,7 +1,7 @@
 """Structured Streaming queries over ``events``, run to completion over what is there.
 
-State and results go to the folder that driver and executors share, so a query that is started again
-with the same folder goes on where it was.
+State and results go to the folder ``at``, by default a new one where driver and executors share files; a
+query that is started again with the same one goes on where it was.
 """
 
 from __future__ import annotations
@@ -32,16 +32,16 @@ def event_stream(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def appended(stream: DataFrame, kind: str) -> DataFrame:
+def appended(stream: DataFrame, kind: str, at: str | None = None) -> DataFrame:
     """Rows of an append query, from the table that it wrote."""
-    spark, path = stream.sparkSession, own_path(stream.sparkSession, kind)
+    spark, path = stream.sparkSession, at or own_path(stream.sparkSession, kind)
     stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def updated(stream: DataFrame, kind: str, keys: list[str]) -> DataFrame:
+def updated(stream: DataFrame, kind: str, keys: list[str], at: str | None = None) -> DataFrame:
     """The last row of each key of an update query. A batch that runs again replaces what it wrote."""
-    spark, path = stream.sparkSession, own_path(stream.sparkSession, kind)
+    spark, path = stream.sparkSession, at or own_path(stream.sparkSession, kind)
 
     def write(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
@@ -52,27 +52,27 @@ def updated(stream: DataFrame, kind: str, keys: list[str]) -> DataFrame:
     return found.groupBy(*keys).agg(F.max_by(F.struct(*columns), "batch").alias("s")).select(*keys, *(F.col(f"s.{c}").alias(c) for c in columns))
 
 
-def q37_daily_counts(spark: SparkSession, d: str) -> DataFrame:
+def q37_daily_counts(spark: SparkSession, d: str, at: str | None = None) -> DataFrame:
     """Daily counts with a 10-minute watermark; the day still open at the end isn't emitted."""
     w = event_stream(spark, d).withWatermark("ts", "10 minutes").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return appended(w.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n"), "daily")
+    return appended(w.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n"), "daily", at)
 
 
-def q38_stream_latest_state(spark: SparkSession, d: str) -> DataFrame:
+def q38_stream_latest_state(spark: SparkSession, d: str, at: str | None = None) -> DataFrame:
     """The latest state of each user, kept by a streaming aggregation."""
     g = event_stream(spark, d).groupBy("user_id").agg(F.max_by("event_type", "ts").alias("status"), F.count(F.lit(1)).alias("n"))
-    return updated(g.select(F.col("user_id").cast("bigint").alias("user_id"), "status", F.col("n").cast("bigint").alias("n")), "latest", ["user_id"])
+    return updated(g.select(F.col("user_id").cast("bigint").alias("user_id"), "status", F.col("n").cast("bigint").alias("n")), "latest", ["user_id"], at)
 
 
-def q73_stream_progress(spark: SparkSession, d: str) -> DataFrame:
+def q73_stream_progress(spark: SparkSession, d: str, at: str | None = None) -> DataFrame:
     """The latest progress of each exam as a stream keeps it: a missing error or chunk count leaves the one before."""
     e = progress(event_stream(spark, d)).withColumn("at", F.struct("ts", "event_id"))
     some = lambda c: F.max_by(F.when(F.col(c) > 0, F.col(c)), F.when(F.col(c) > 0, F.col("at")))
     g = e.groupBy("exam_id").agg(F.max_by("status", "at").alias("status"), F.max_by("progress", "at").alias("progress"), F.max_by("error_type", F.when(F.col("error_type").isNotNull(), F.col("at"))).alias("error_type"), F.coalesce(some("total_chunks"), F.lit(0)).cast("bigint").alias("total_chunks"), F.coalesce(some("done_chunks"), F.lit(0)).cast("bigint").alias("done_chunks"))
-    return updated(g, "progress", ["exam_id"])
+    return updated(g, "progress", ["exam_id"], at)
 
 
-def q74_stream_keys(spark: SparkSession, d: str, as_of: str = "2024-01-30T23:00:00") -> DataFrame:
+def q74_stream_keys(spark: SparkSession, d: str, as_of: str = "2024-01-30T23:00:00", at: str | None = None) -> DataFrame:
     """States of keys kept by a stateful operator: the last report decides, pauses end at a time."""
     e = reports(event_stream(spark, d).where(F.col("ts") <= F.lit(as_of).cast("timestamp")))
     value = key_value(F.col("id"))
@@ -94,7 +94,7 @@ def q74_stream_keys(spark: SparkSession, d: str, as_of: str = "2024-01-30T23:00:
         yield pd.DataFrame({"id": [key[0]], "provider": [provider], "status": [status]})
 
     kept = e.groupBy("id").applyInPandasWithState(follow, "id long, provider string, status string", "provider string, kind string, at long, event long", "update", GroupStateTimeout.NoTimeout)
-    return updated(kept, "keys", ["id"])
+    return updated(kept, "keys", ["id"], at)
 
 
 QUERIES = {f.__name__: f for f in (q37_daily_counts, q38_stream_latest_state, q73_stream_progress, q74_stream_keys)}
