@@ -3,17 +3,20 @@
 Of the hashes of a text's k-grams (k words), the least one of each window of w neighbouring k-grams is
 a fingerprint. Any run of w + k - 1 words that two texts share has a fingerprint in both at the same
 place, so joining fingerprints finds every shared run of 10 words (k = 5, w = 6). Hits are
-extended: along each alignment of a document and an item the words themselves are compared, and only
-runs of 10 equal words count. Shorter items are one window each and have fingerprints of their own
-for their length.
-
-Documents are known by 128 bits of their id and text, so null and repeated ids don't meet. Only rows
-(document, item, shifts) are shuffled for the candidates; texts are read again for the documents that
-have any. What is broadcast is measured in bytes first, and joined by a shuffle beyond the bound.
+extended on both sides: the windows of 10 words around a fingerprint that both sides have, six at most,
+are joined by their words, so only true windows meet. Shorter items are one window each and have
+fingerprints of their own for their length.
+
+Documents are known by 128 bits of their id and text, so null and repeated ids don't meet. A document
+gathers nothing but its own fingerprints and windows, an item the same. Texts are read again for
+documents with a fingerprint that an item has. What is broadcast is measured in bytes first; where the
+items' fingerprints are more than that, those of documents go through a bitmap before they are shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,10 +54,33 @@ def fingerprints(tokens: Column, shared: int) -> Column:
     return let(grams, winnow)
 
 
+def _windows(tokens: Column, at: Column) -> Column:
+    """Array of (n, s, g): the windows of n words that hold the fingerprint of each (n, p) of ``at``, each once, with their words.
+
+    A fingerprint of windows of n words is in n - ceil(n / 2) + 1 of them at most.
+    """
+    begins = lambda e: F.sequence(F.greatest(e["p"] - e["n"] + F.ceil(e["n"] / 2).cast("int"), F.lit(0)), F.least(e["p"], F.size(tokens) - e["n"]))
+    inside = F.filter(at, lambda e: F.greatest(e["p"] - e["n"] + F.ceil(e["n"] / 2).cast("int"), F.lit(0)) <= F.least(e["p"], F.size(tokens) - e["n"]))
+    starts = F.array_distinct(F.flatten(F.transform(inside, lambda e: F.transform(begins(e), lambda s: F.struct(e["n"].alias("n"), s.alias("s"))))))
+    return F.transform(starts, lambda e: F.struct(e["n"].alias("n"), e["s"].alias("s"), F.array_join(F.slice(tokens, e["s"] + 1, e["n"]), " ").alias("g")))
+
+
 def _side(table: DataFrame, size: int, limit: int) -> DataFrame:
     return F.broadcast(table) if size <= limit else table
 
 
+def _maybe_in(hashes: DataFrame, count: int, most: int) -> Callable[[Column], Column]:
+    """A test that all ``hashes`` (column h) pass and few others: a bitmap of up to ``most`` bytes, about 8 bits a hash where these fit."""
+    bits = 64
+    while bits < 8 * count and bits < 8 * most:
+        bits *= 2
+    place = F.col("h").bitwiseAND(F.lit(bits - 1))
+    set_bits = hashes.select(F.shiftright(place, 6).alias("at"), F.expr("shiftleft(1L, CAST(h & 63 AS INT))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    dense = hashes.sparkSession.range(bits // 64).join(set_bits, F.col("id") == F.col("at"), "left").select("id", F.coalesce("bits", F.lit(0)).alias("bits"))
+    bitmap = dense.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "bits"))), lambda e: e["bits"])).scalar()
+    return lambda h: F.expr("1L").bitwiseAND(F.call_function("shiftright", F.get(bitmap, F.shiftright(h.bitwiseAND(F.lit(bits - 1)), 6).cast("int")), h.bitwiseAND(F.lit(63)).cast("int"))) == 1
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The documents with n_words, hit_places (word numbers inside any occurrence of a window), hit_items.
 
@@ -62,7 +88,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     of that item; repeated rows change nothing. Null document ids are compared like any other; rows
     that share an id are each judged on their own text. Null item ids hit, but aren't listed. Columns
     of the new names are replaced, others pass through; names that begin with ``__`` are reserved.
-    Empty tables give no hits or no rows. Texts are read whole, however long.
+    Empty tables give no hits or no rows. Texts are read whole, however long. Items that share a phrase
+    of fewer words than a window meet no document by it; those that share a window come in one row for
+    each document and item that it is in.
     """
     passed = [c for c in docs.columns if c not in ("n_words", "hit_places", "hit_items")]
     count = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(_WORD_ANY_CASE)).cast("long").alias("n_words")
@@ -78,39 +106,40 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
         one = lambda n: F.transform(fingerprints(w, n), lambda e: F.struct(F.lit(n).alias("n"), e["h"].alias("h"), e["p"].alias("p")))
         return F.concat(*(one(n) if of is None else F.when(of == n, one(n)).otherwise(F.filter(one(n), lambda e: F.lit(False))) for n in lengths))
 
+    # fingerprints of documents that an item has too
+    asked = written(items.select("number", F.explode(let(F.col("iw"), lambda w: prints(w, F.col("n")))).alias("e")).select("number", F.col("e.n").alias("n"), F.col("e.h").alias("h"), F.col("e.p").alias("p")), "asked")
+    known = asked.select("n", "h").distinct()
+    n_known = known.count()
     whose = F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(key).isNull()
     names = (F.xxhash64(*whose, text).alias("__k1"), F.xxhash64(F.lit(1), text, *whose).alias("__k2"))
-    asked = items.select("number", F.explode(let(F.col("iw"), lambda w: prints(w, F.col("n")))).alias("e")).select("number", F.col("e.n").alias("bn"), F.col("e.h").alias("bh"), F.col("e.p").alias("q"))
     # names first: beside the explode they would be computed again for each fingerprint
     named = docs.select(*names, F.col(text).alias("__text"))
     seen = named.select("__k1", "__k2", F.explode(let(words(F.col("__text")), lambda w: prints(w))).alias("e")).select("__k1", "__k2", F.col("e.n").alias("n"), F.col("e.h").alias("h"), F.col("e.p").alias("p"))
-    met = seen.join(_side(asked, _ROW * asked.count(), broadcast_bytes), (F.col("n") == F.col("bn")) & (F.col("h") == F.col("bh")))
-    aligned = written(met.groupBy("__k1", "__k2", "number").agg(F.collect_set(F.col("p") - F.col("q")).alias("shifts")), "aligned")
-
-    # the words of documents that have an alignment are compared with the items'
-    hit_keys = aligned.select("__k1", "__k2").distinct()
-    few = _side(hit_keys, _ROW * hit_keys.count(), broadcast_bytes)
-    texts = docs.select(*names, F.col(text).alias("__text")).join(few, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"])
-    meant = aligned.join(items.select("number", "item", "iw"), "number").groupBy("__k1", "__k2").agg(F.collect_list(F.struct("item", "iw", "shifts")).alias("__aligned"))
-
-    def starts(a: Column, shift: Column, dw: Column) -> Column:
-        """Places in the document where a whole window equals the item's words along the alignment."""
-        size = F.least(F.size(a["iw"]), F.lit(window))
-        same = F.transform(a["iw"], lambda x, q: F.coalesce(x == F.get(dw, q + shift), F.lit(False)))
-        return let(same, lambda s: F.transform(F.filter(upto(F.size(s) - size + 1), lambda q: F.forall(F.slice(s, q + 1, size), lambda x: x)), lambda q: q + shift))
-
-    def extended(dw: Column) -> Column:
-        every = F.transform("__aligned", lambda a: F.struct(a["item"].alias("item"), F.least(F.size(a["iw"]), F.lit(window)).alias("size"), F.flatten(F.transform(a["shifts"], lambda s: starts(a, s, dw))).alias("starts")))
-        return let(F.filter(every, lambda h: F.size(h["starts"]) > 0), result)
-
-    def result(hits: Column) -> Column:
-        places = F.flatten(F.flatten(F.transform(hits, lambda h: F.transform(h["starts"], lambda s: F.sequence(s, s + h["size"] - 1)))))
-        listed = F.filter(F.transform(hits, lambda h: h["item"]), lambda i: i.isNotNull())
-        return F.struct(F.array_sort(F.array_distinct(places)).alias("places"), F.array_distinct(listed).alias("items"))
-
-    # words are bound in one expression: a filter on hits would copy a column of words into every lambda
-    checked = texts.join(meant, ["__k1", "__k2"]).select("__k1", "__k2", let(words(F.col("__text")), extended).alias("__found"))
-    hits = written(checked.select(F.col("__k1").alias("__h1"), F.col("__k2").alias("__h2"), F.col("__found.places").alias("__places"), F.col("__found.items").alias("__items")), "hits").where(F.size("__places") > 0)
+    if _ROW * n_known > broadcast_bytes:
+        seen = seen.where(_maybe_in(known, n_known, broadcast_bytes)(F.col("h")))
+    met = seen.join(_side(known, _ROW * n_known, broadcast_bytes), ["n", "h"], "left_semi")
+    at = F.collect_set(F.struct("n", "p")).alias("__at")
+    # one row for each document, of no more than its own fingerprints
+    touched = written(met.groupBy("__k1", "__k2").agg(at, F.collect_set(F.struct("n", "h")).alias("__met")), "touched")
+
+    # windows around these fingerprints, on both sides; only equal windows meet
+    n_touched = touched.count()
+    texts = docs.select(*names, F.col(text).alias("__text"))
+    keys = touched.select("__k1", "__k2")
+    few = texts.join(_side(keys, _ROW * n_touched, broadcast_bytes), ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"])
+    own = few.join(touched.select("__k1", "__k2", "__at"), ["__k1", "__k2"])
+    doc_windows = own.select("__k1", "__k2", F.explode(let(words(F.col("__text")), lambda w: _windows(w, F.col("__at")))).alias("e")).select("__k1", "__k2", "e.n", "e.s", "e.g")
+    shared = touched.select(F.explode("__met").alias("e")).select("e.n", "e.h").distinct()
+    theirs = asked.join(shared, ["n", "h"], "left_semi").groupBy("number").agg(F.collect_set(F.struct("n", "p")).alias("__at"))
+    item_windows = items.join(theirs, "number").select("item", F.explode(_windows(F.col("iw"), F.col("__at"))).alias("e")).select("item", "e.n", "e.g").distinct()
+    item_windows = written(item_windows, "windows")
+    sizes = item_windows.agg(F.sum(_ROW + F.octet_length("g")).alias("n")).first()["n"] or 0
+    hit = written(doc_windows.join(_side(item_windows.select("n", "g").distinct(), sizes, broadcast_bytes), ["n", "g"], "left_semi"), "met")
+    places = hit.groupBy("__k1", "__k2").agg(F.collect_set(F.struct("n", "s")).alias("w"))
+    places = places.select("__k1", "__k2", F.array_sort(F.array_distinct(F.flatten(F.transform("w", lambda e: F.sequence(e["s"], e["s"] + e["n"] - 1))))).alias("__places"))
+    pairs = hit.select("__k1", "__k2", "n", "g").distinct().join(_side(item_windows, sizes, broadcast_bytes), ["n", "g"])
+    listed = pairs.groupBy("__k1", "__k2").agg(F.collect_set("item").alias("__items"))
+    hits = written(places.join(listed, ["__k1", "__k2"]).select(F.col("__k1").alias("__h1"), F.col("__k2").alias("__h2"), "__places", "__items"), "hits")
     size = hits.agg(F.sum(_ROW + 4 * F.size("__places") + _ROW * F.size("__items")).alias("n")).first()["n"] or 0
     joined = docs.select(*passed, count, *names).join(_side(hits, size, broadcast_bytes), (F.col("__k1") == F.col("__h1")) & (F.col("__k2") == F.col("__h2")), "left")
     none = lambda c, kind: F.coalesce(F.col(c), F.array().cast(kind))
