@@ -8,8 +8,9 @@ An article or main element is evidence, not a verdict: inside, lower limits hold
 words are undecided rather than bad, and the edges count as good neighbours if a block inside is good,
 if its text is long, or if none on the page is good; blocks outside are judged as on other pages. Names
 of classes that may also stand for a text (a legal notice, a shared widget) only raise the limits.
-Where no block of a page without such elements is good, its language may be one without stop words
-here: then length and links decide alone.
+A form goes with all in it, unless it goes around the page; its controls always go, and so does what is
+hidden and what follows a heading of comments or of other texts. Where no block of a page without such elements is good, its language may be one without stop words
+here: then length and links decide alone; and of a page that has nothing but short blocks these are the text.
 """
 
 from __future__ import annotations
@@ -27,10 +28,17 @@ from pyspark.sql import types as T
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body br-br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-DROPPED = frozenset("nav footer aside form script style noscript template iframe svg math canvas object embed applet audio video map button select option textarea datalist menu dialog head title noembed noframes xmp search".split())
+DROPPED = frozenset("nav footer aside label legend script style noscript template iframe svg math canvas object embed applet audio video map button select option textarea datalist menu dialog head title noembed noframes xmp search".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 DROPPED_NAMES = frozenset("ad ads adbox advert adverts advertisement advertising adsense sponsor sponsored nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup signin login related recommended recommendations comment comments commentlist disqus reply replies respond pagination pager contentinfo complementary".split())
 DOUBTED_NAMES = frozenset("aside banner promo promotion widget widgets notice notices alert share sharing social copyright legal disclaimer toolbar skip search hidden".split())
+#: Headings of what isn't the main text, whole: comments and lists of other texts.
+ASIDE_HEADS = re.compile(
+    r"(?:\W*\d+\W+)?(?:(?:reader|user|our readers'?) )?(?:comments?|replies|responses|kommentare|leserkommentare|commentaires|comentarios|comentários)(?:\W*\d*\W*)"
+    r"|related(?: (?:articles|posts|stories|content|news|links))?|(?:read|see) (?:more|next|also)|more (?:stories|articles|news)|you (?:may|might) also like|recommended(?: for you)?"
+    r"|ähnliche (?:artikel|beiträge)|mehr zum thema|das könnte sie auch interessieren|articles (?:liés|similaires)|à lire aussi|artículos relacionados|te puede interesar|artigos relacionados|leia também",
+    re.I,
+)
 #: Before a name these say something else: ``no-sidebar``, ``has-comments``.
 NEGATING = frozenset("no not has have with without is hide show".split())
 STOP_WORDS = frozenset(
@@ -43,6 +51,11 @@ STOP_WORDS = frozenset(
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+)(?:>|\Z|["'][^>]*>?)""", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+HIDDEN = re.compile(r"(?:^|[\s\"])hidden(?=[\s/=]|$)")
+ARIA = re.compile(r"""\baria-hidden\s*=\s*["']?true\b""")
+DIALOG = re.compile(r"""(?:^|[\s"'])role\s*=\s*["']?(?:alert)?dialog\b""")
+STYLE = re.compile(r"""(?:^|[\s"'])style\s*=\s*(?:"[^"]*?|'[^']*?|)(?<![\w-])(?:display\s*:\s*none|visibility\s*:\s*hidden)\b""")
 WORD = re.compile(r"[^\W\d_]+")
 
 SHORT, LONG = 70, 200  # characters
@@ -61,6 +74,7 @@ class Part:
     doubted: bool
     article: int  # number of the outermost article or main element, 0 outside
     heading: bool
+    form: int  # number of the outermost form, 0 outside
 
 
 @dataclass(slots=True)
@@ -70,6 +84,8 @@ class Open:
     by_name: bool  # only names of classes say so
     doubted: bool
     article: int
+    form: int = 0
+    silent: bool = False  # an inline element that is dropped: its text goes, the block around it stays
 
 
 _ROOT = Open("", False, False, False, 0)
@@ -114,28 +130,47 @@ def _named(words: str, among: frozenset[str]) -> bool:
     return False
 
 
+def _unseen(attributes: str) -> bool:
+    """Do an element's attributes say that it isn't shown, or is shown over the page?"""
+    low = attributes.lower()
+    if "hidden" in low and (ARIA.search(low) or HIDDEN.search(QUOTED.sub('""', low))):
+        return True
+    return "dialog" in low and DIALOG.search(low) is not None or "style" in low and STYLE.search(low) is not None
+
+
 def blocks(page: str) -> list[Part]:
     """The page's blocks with text, in page order."""
     out: list[Part] = []
     open_ = Elements()
-    articles = 0
+    articles = forms = 0
+    wrappers: set[int] = set()  # forms that an article stands in
     texts: list[str] = []
     linked = 0
     heading = False
+    level = 0  # of the heading
+    apart: tuple[int, int] | None = None  # level of a heading of other texts right inside an article or the body, and that element's depth
 
     def flush() -> None:
-        nonlocal linked, heading
+        nonlocal linked, heading, level, apart
         if texts:
             text = " ".join("".join(texts).split())
             if text:
                 e = open_.top()
-                out.append(Part(text, linked, e.dropped, e.doubted, e.article, heading))
+                if apart and (len(open_.stack) <= apart[1] or heading and level <= apart[0]):
+                    apart = None
+                if heading and level > 1 and not e.dropped and ASIDE_HEADS.fullmatch(text):
+                    around = max((at for at in open_.blocks if open_.stack[at].name not in HEADING), default=None)
+                    if around is None or open_.stack[around].name in ("article", "main", "body", "html"):
+                        apart = (level, 0 if around is None else around)
+                    else:  # the rest of a section with such a heading
+                        open_.stack[around].dropped = e.dropped = True
+                out.append(Part(text, linked, e.dropped or apart is not None, e.doubted, e.article, heading, e.form))
             texts.clear()
-        linked, heading = 0, False
+        linked, heading, level = 0, False, 0
 
     def add(raw: str) -> None:
         nonlocal linked
-        if raw:
+        if raw and not open_.top().silent:
             text = entities.unescape(raw) if "&" in raw else raw
             texts.append(text)
             if open_.last("a") is not None:
@@ -174,7 +209,7 @@ def blocks(page: str) -> list[Part]:
                 flush()
             continue
         above = open_.top()
-        e = Open(name, above.dropped, above.by_name, above.doubted, above.article)
+        e = Open(name, above.dropped, above.by_name, above.doubted, above.article, above.form, above.silent)
         names = " ".join("".join(got) for got in NAMES.findall(m[3])) if m[3] and "=" in m[3] else ""
         whole = name in ("article", "main") or "main" in names.lower().split()
         if whole and e.by_name and not _named(names, DROPPED_NAMES):
@@ -185,18 +220,38 @@ def blocks(page: str) -> list[Part]:
             if name != "article" and not e.dropped and (_named(names, DROPPED_NAMES) or not e.article and name not in HEADING and "header" in re.split(r"[^a-z]+", names.lower())) or name == "article" and _named(names, _COMMENTS):
                 e.dropped = e.by_name = True
             e.doubted = e.doubted or name != "article" and _named(names, DOUBTED_NAMES)
+        if m[3] and name not in ("html", "body") and _unseen(m[3]):
+            e.dropped, e.by_name = True, False
+        if name == "form" and not e.form:
+            forms += 1
+            e.form = forms
+        e.silent = e.silent or e.dropped and not above.dropped and name not in BLOCK
         if whole and not e.article and not e.dropped:
             articles += 1
             e.article = articles
+            if e.form:
+                wrappers.add(e.form)
         if name in RAW:
             end = re.compile(rf"</{name}\b", re.I).search(page, i)
             i = end.start() if end else n
         if not page.startswith("/>", m.end() - 2) or name in BLOCK:
             open_.enter(e)
         if name in HEADING:
-            heading = True
+            heading, level = True, int(name[1])
     flush()
-    return out
+    return without_forms(out, wrappers)
+
+
+def without_forms(parts: list[Part], wrappers: set[int]) -> list[Part]:
+    """The parts with those of forms dropped, but for forms around the page: they hold an article, or most of what isn't dropped."""
+    shown: dict[int, int] = {}
+    for p in parts:
+        if not p.dropped:
+            shown[p.form] = shown.get(p.form, 0) + len(p.text)
+    most = max(sum(shown.values()) / 2, LONG)
+    for p in parts:
+        p.dropped = p.dropped or p.form > 0 and p.form not in wrappers and (p.article > 0 or shown.get(p.form, 0) <= most)
+    return parts
 
 
 _COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
@@ -243,6 +298,7 @@ def labels(parts: list[Part]) -> list[bool]:
         found = any(first)
     if not found and not any(p.article and not p.dropped for p in parts):  # perhaps a language without stop words here
         first = [True if not p.dropped and len(p.text) >= LONG / 2 and p.linked <= FEW_LINKS * len(p.text) else label for p, label in zip(parts, first, strict=True)]
+    bare = not found and not any(p.article and not p.dropped for p in parts)  # a page of a few short blocks
     out = [False] * len(parts)
     a = 0
     while a < len(parts):
@@ -250,7 +306,7 @@ def labels(parts: list[Part]) -> list[bool]:
         while b < len(parts) and parts[b].article == parts[a].article:
             b += 1
         long = sum(len(p.text) for p, label in zip(parts[a:b], first[a:b], strict=True) if label is None and p.linked <= LINKS * len(p.text)) >= LONG
-        edge = parts[a].article > 0 and (not found or long or any(first[a:b]))
+        edge = bare or parts[a].article > 0 and (not found or long or any(first[a:b]))
         inherit(parts, first, near, edge, a, b, out)
         a = b
     return out
