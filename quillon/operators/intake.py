@@ -88,19 +88,43 @@ def best_versions(rows: DataFrame, exam: str = "exam_id") -> DataFrame:
     """
     none = lambda c: c.isNull() | F.lower(c).isin("none", "")
     bare = lambda c: unicode_trim(F.replace(c, F.lit("\0"), F.lit("")))
-    clean = rows.select(F.col(exam), unicode_trim(F.col("numero_questao")).alias("num"), bare(F.col("enunciado")).alias("raw"), F.size(F.coalesce("opcoes", F.create_map().cast("map<string,string>"))).alias("n"), "opcoes", "resposta", "disciplina", F.coalesce("images", F.array().cast("array<string>")).alias("images"), "seq")
-    clean = clean.where(~none(F.col("num")) & ~none(F.col("raw"))).withColumn("statement", unicode_trim(F.regexp_replace("raw", ANSWER_TAG, "")))
-    options = F.transform_values(F.map_filter("opcoes", lambda k, v: v.isNotNull() & (v != "")), lambda k, v: F.replace(v, F.lit("\0"), F.lit("")))
-    text = lambda c, default, most: F.left(bare(F.coalesce(F.col(c), F.lit(default))), F.lit(most))
-    record = F.struct("seq", "n", F.length("raw").alias("length"), F.length("statement").alias("kept"), "statement", F.when(F.size(options) > 0, F.to_json(options)).alias("options"), text("resposta", "A", 10).alias("correct_answer"), text("disciplina", "Geral", 100).alias("subject"), "images")
+    untagged = lambda c: unicode_trim(F.regexp_replace(c, ANSWER_TAG, ""))
+    no_images = F.array().cast("array<string>")
+    clean = rows.select(
+        F.col(exam),
+        unicode_trim(F.col("numero_questao")).alias("num"),
+        bare(F.col("enunciado")).alias("raw"),
+        F.map_entries(F.coalesce("opcoes", F.create_map().cast("map<string,string>"))).alias("opcoes"),
+        "resposta",
+        "disciplina",
+        F.coalesce("images", no_images).alias("images"),
+        "seq",
+    )
+    clean = clean.where(~none(F.col("num")) & ~none(F.col("raw")))
+    # versions are folded as they came; tags, texts and JSON are made for the winners alone
+    record = F.struct("seq", F.size("opcoes").alias("n"), F.length("raw").alias("length"), "raw", "opcoes", "resposta", "disciplina", "images")
     versions = clean.groupBy(exam, "num").agg(F.sort_array(F.collect_list(record)).alias("v"))
-    wins = lambda a, x: (x["n"] > a["n"]) | (x["n"] == a["n"]) & (x["length"] > a["kept"])
+    wins = lambda a, x: (x["n"] > a["n"]) | (x["n"] == a["n"]) & (x["length"] > F.length(untagged(a["raw"])))
 
     def merged(a: Column, x: Column) -> Column:
-        return F.when(wins(a, x), x.withField("images", F.array_union(x["images"], a["images"]))).otherwise(a.withField("images", F.array_union(a["images"], x["images"])))
+        union = lambda first, then: F.when(F.size(then) == 0, first).when(F.size(first) == 0, F.array_distinct(then)).otherwise(F.array_union(first, then))
+        return F.when(wins(a, x), x.withField("images", union(x["images"], a["images"]))).otherwise(a.withField("images", union(a["images"], x["images"])))
 
-    best = versions.withColumn("b", F.aggregate(F.slice("v", F.lit(2), F.greatest(F.size("v") - 1, F.lit(1))), F.get("v", F.lit(0)), merged))
-    return best.select(exam, F.col("num").alias("numero_questao"), F.col("b.statement").alias("statement"), F.col("b.options").alias("options"), F.col("b.correct_answer").alias("correct_answer"), F.col("b.subject").alias("subject"), F.col("b.images").alias("images"), F.col("b.seq").alias("seq"), F.size("v").alias("versions"))
+    one = F.get("v", F.lit(0))
+    best = versions.withColumn("b", F.when(F.size("v") == 1, one).otherwise(F.aggregate(F.slice("v", F.lit(2), F.greatest(F.size("v") - 1, F.lit(1))), one, merged)))
+    options = F.transform(F.filter("b.opcoes", lambda e: e["value"].isNotNull() & (e["value"] != "")), lambda e: F.struct(e["key"], F.replace(e["value"], F.lit("\0"), F.lit("")).alias("value")))
+    text = lambda c, default, most: F.left(bare(F.coalesce(F.col(c), F.lit(default))), F.lit(most))
+    return best.select(
+        exam,
+        F.col("num").alias("numero_questao"),
+        untagged(F.col("b.raw")).alias("statement"),
+        F.when(F.size(options) > 0, F.to_json(F.map_from_entries(options))).alias("options"),
+        text("b.resposta", "A", 10).alias("correct_answer"),
+        text("b.disciplina", "Geral", 100).alias("subject"),
+        F.col("b.images").alias("images"),
+        F.col("b.seq").alias("seq"),
+        F.size("v").alias("versions"),
+    )
 
 
 def heal(missing: DataFrame, found, keys: list[str], rounds: int = 2) -> DataFrame:
@@ -123,41 +147,40 @@ def image_places(images: DataFrame, questions: DataFrame, height: float = 1000.0
     last one of the pages before, else the first one of the page. Below the last question it
     is the last one of the column, or of the pages before. A page before all questions is a cover.
     """
-    page = ["exam", "page"]
     top, bottom = 0.1 * height, 0.9 * height
-    grid = [F.bround(F.col(c) / 10).alias(f"g_{c}") for c in ("x0", "y0", "x1", "y1")]
-    cells = images.select("exam", *grid).groupBy("exam", "g_x0", "g_y0", "g_x1", "g_y1").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
-    boxes = images.select(*page, "x0", "y0", "x1", "y1", *grid).join(cells, ["exam", "g_x0", "g_y0", "g_x1", "g_y1"], "left_anti")
-    boxes = boxes.where(((F.col("y0") + F.col("y1")) / 2).between(top, bottom)).select(*page, "x0", "y0", "x1", "y1").distinct()
-
-    placed = questions.withColumn("at", F.row_number().over(W.partitionBy(*page).orderBy("y", "x", "index")))
-    above = F.lag("y").over(W.partitionBy(*page).orderBy("at"))
-    inner = placed.select(*page, F.col("at").alias("gap"), F.greatest(F.lit(top), above + 20).alias("low"), F.col("y").alias("high")).where("high > low + 20")
-    last = placed.groupBy(*page).agg(F.max("at").alias("n"), F.max("y").alias("y"))
-    pages = boxes.select(*page).distinct().join(last, page, "left")
-    tail = pages.select(*page, (F.coalesce("n", F.lit(0)) + 1).alias("gap"), F.coalesce(F.greatest(F.lit(top), F.col("y") + 20), F.lit(top)).alias("low"), F.lit(bottom).alias("high"), F.lit(True).alias("tail"))
-    gaps = inner.withColumn("tail", F.lit(False)).unionByName(tail)
-    met = boxes.join(gaps, page).where((F.col("y0") < F.col("high") - 10) & (F.col("y1") > F.col("low") + 10))
-    first = met.groupBy(*page, "x0", "y0", "x1", "y1").agg(F.min_by(F.struct("gap", "tail"), "gap").alias("g"))
-    joint = first.groupBy(*page, F.col("g.gap").alias("gap"), F.col("g.tail").alias("tail")).agg(*(F.min(c).alias(c) for c in ("x0", "y0")), *(F.max(c).alias(c) for c in ("x1", "y1")))
+    page, corners = ["exam", "page"], ["x0", "y0", "x1", "y1"]
+    box, question = F.struct(*corners), F.struct("y", "x", "index")
+    recurs = F.count(F.lit(1)).over(W.partitionBy("exam", *(F.bround(F.col(c) / 10) for c in corners)))
+    placed = images.withColumn("n", recurs).where((F.col("n") <= 2) & ((F.col("y0") + F.col("y1")) / 2).between(top, bottom))
+    kinds = lambda df, *columns: "struct<" + ",".join(f"{c}:{df.schema[c].dataType.simpleString()}" for c in columns) + ">"
+    rows = placed.select(*page, box.alias("b"), F.lit(None).cast(kinds(questions, "y", "x", "index")).alias("q"))
+    rows = rows.unionByName(questions.select(*page, F.lit(None).cast(kinds(images, *corners)).alias("b"), question.alias("q")))
+    # a row for each page, with its boxes and its questions from top to bottom
+    pages = rows.groupBy(*page).agg(F.collect_set("b").alias("b"), F.sort_array(F.collect_list("q")).alias("q"))
+    pages = pages.withColumn("before", F.max(F.array_max(F.transform("q", lambda e: e["index"]))).over(W.partitionBy("exam").orderBy("page").rowsBetween(W.unboundedPreceding, -1)))
+    pages = pages.where(F.size("b") > 0)
+
+    def gap(number: Column, over: Column, under: Column, tail: bool) -> Column:
+        low = F.coalesce(F.greatest(F.lit(top), over + 20), F.lit(top))
+        return F.struct(number.alias("gap"), low.alias("low"), under.cast("double").alias("high"), F.lit(tail).alias("tail"))
+
+    y_of = lambda i: F.get("q", i)["y"]
+    inner = F.filter(F.transform("q", lambda e, i: gap(i + 1, y_of(i - 1), e["y"], False)), lambda g: g["high"] > g["low"] + 20)
+    pages = pages.withColumn("gaps", F.concat(inner, F.array(gap(F.size("q") + 1, y_of(F.size("q") - 1), F.lit(bottom), True))))
+    first = lambda b: F.get(F.filter("gaps", lambda g: (b["y0"] < g["high"] - 10) & (b["y1"] > g["low"] + 10)), F.lit(0))
+    met = pages.select(*page, "q", "before", F.explode(F.transform("b", lambda b: F.struct(b.alias("b"), first(b).alias("g")))).alias("m")).where("m.g IS NOT NULL")
+    # boxes of one page stand in one row again, so nothing moves: the rows are dealt by page
+    ends = [F.min(f"m.b.{c}").alias(c) for c in ("x0", "y0")] + [F.max(f"m.b.{c}").alias(c) for c in ("x1", "y1")]
+    joint = met.groupBy(*page, F.col("m.g.gap").alias("gap")).agg(*ends, F.any_value("m.g.tail").alias("tail"), F.any_value("q").alias("q"), F.any_value("before").alias("before"))
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     joint = joint.where((w * h >= 400) & F.when(h > 0, F.try_divide(w, h)).otherwise(999).between(0.1, 10))
 
-    q = placed.select(F.col("exam").alias("q_exam"), F.col("page").alias("q_page"), "index", "x", "y", "at")
-    near = joint.join(q, (F.col("exam") == F.col("q_exam")) & (F.col("page") == F.col("q_page")), "left")
-    same, upper = F.abs(F.col("x") - F.col("x0")) < 200, F.col("y") < (F.col("y0") + F.col("y1")) / 2
-    by = lambda value, cond: F.max_by(F.when(cond, F.col("index")), F.when(cond, value))
-    low_first = F.struct("y", (-F.col("at")).alias("a"))
-    picks = near.groupBy(*page, "gap", "tail", "x0", "y0", "x1", "y1").agg(
-        F.bool_or(same).alias("column"),
-        by(low_first, same & upper).alias("above_same"), by(low_first, upper).alias("above_any"), by(low_first, F.col("x") < F.col("x0") - 100).alias("left"),
-        F.min_by(F.when(same, F.col("index")), F.when(same, F.col("at"))).alias("first_same"), F.min_by("index", "at").alias("first_any"),
-        by(F.col("at"), same).alias("last_same"), F.max_by("index", "at").alias("last_any"),
-    )
-    # the last question, by index, of the pages before: one row for each page of an exam
-    per_page = questions.groupBy(*page).agg(F.max("index").alias("m"))
-    both = per_page.unionByName(picks.select(*page).distinct().join(per_page, page, "left_anti").withColumn("m", F.lit(None).cast(per_page.schema["m"].dataType)))
-    before = both.select(*page, F.max("m").over(W.partitionBy("exam").orderBy("page").rowsBetween(W.unboundedPreceding, -1)).alias("before"))
-    c = lambda a, b: F.when(F.coalesce("column", F.lit(False)), F.col(a)).otherwise(F.col(b))
-    index = F.when(F.col("tail"), F.coalesce(c("last_same", "last_any"), "before")).otherwise(F.coalesce(c("above_same", "above_any"), "left", "before", c("first_same", "first_any")))
-    return picks.join(before, page).select(*page, "gap", "x0", "y0", "x1", "y1", index.alias("index")).where("index IS NOT NULL")
+    middle = (F.col("y0") + F.col("y1")) / 2
+    nearest = lambda qs: F.array_max(F.transform(qs, lambda e, i: F.struct(e["y"].alias("y"), (-i).alias("i"), e["index"].alias("index"))))["index"]
+    of = lambda qs, i: F.get(qs, i)["index"]
+    column = F.filter("q", lambda e: F.abs(e["x"] - F.col("x0")) < 200)
+    joint = joint.withColumn("c", F.when(F.size(column) > 0, column).otherwise(F.col("q")))
+    above = nearest(F.filter("c", lambda e: e["y"] < middle))
+    left = nearest(F.filter("q", lambda e: e["x"] < F.col("x0") - 100))
+    index = F.when(F.col("tail"), F.coalesce(of(F.col("c"), F.size("c") - 1), "before")).otherwise(F.coalesce(above, left, "before", of(F.col("c"), F.lit(0))))
+    return joint.select(*page, "gap", *corners, index.alias("index")).where("index IS NOT NULL")
