@@ -426,9 +426,8 @@ def _low_bits(n: np.ndarray) -> np.ndarray:
 def _removable(h: np.ndarray, least: np.ndarray, later: np.ndarray, body: np.ndarray, starts: np.ndarray, n: np.ndarray, length: int, most: int = 1 << 15) -> np.ndarray:
     """For each distinct span the bits of its suffixes with LPF >= length: at its least id, then at a later id (none if it has no other).
 
-    Suffixes are sorted where an anchor has several spans. A span alone in its block shares each of
-    its suffixes with its own copy and with nothing else, so there the LPF at a later id is the
-    suffix's length.
+    All spans that could match are sorted: those that share their anchor with others, and those that a
+    later id has too. A span that is neither has no earlier or later copy.
     """
     words = _mask_words(length)
     masks = np.zeros((len(h), 2 * words), K.U64)
@@ -436,11 +435,7 @@ def _removable(h: np.ndarray, least: np.ndarray, later: np.ndarray, body: np.nda
     hs = h[order]
     group = np.flatnonzero(np.concatenate(([True], hs[1:] != hs[:-1]))) if len(hs) else np.empty(0, np.int64)
     size = np.diff(np.concatenate((group, [len(hs)])))
-    alone = order[np.repeat(size == 1, size)]
-    alone = alone[later[alone]]
-    for w in range(words):
-        masks[alone, words + w] = _low_bits(np.clip(n[alone] - length + 1 - 64 * w, 0, 64))
-    order = order[np.repeat(size > 1, size)]
+    order = order[np.repeat(size > 1, size) | later[order]]
     hs = h[order]
     count = n[order] - length + 1
     total = np.cumsum(count)
