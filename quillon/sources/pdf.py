@@ -1,7 +1,8 @@
 """PDF files as a source: whether a file is one, and the texts of its pages.
 
 Reads what simple writers produce: pages in order of their objects, streams plain or deflated, texts
-shown by Tj, ', " and TJ with one-byte characters. Fonts with encodings of their own are not decoded.
+shown by Tj, ', " and TJ with one-byte characters. Fonts with encodings of their own are not decoded. Files that
+it can't read, as they are encrypted, keep objects in streams or have no pages, are told apart.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj\b", re.S)
 _STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
@@ -43,7 +45,9 @@ def _shown(stream: bytes) -> str:
 
 
 def page_texts(content: bytes) -> list[str]:
-    """Texts of the pages; empty for a file that isn't one, or that is damaged."""
+    """Texts of the pages; empty for a file that isn't one, that is damaged, or that this can't read."""
+    if re.search(rb"/Type\s*/ObjStm\b|/Encrypt\b", content or b""):
+        return []
     objects = {int(n): body for n, body in _OBJECT.findall(content or b"")}
 
     def stream(number: int) -> bytes:
@@ -61,14 +65,23 @@ def page_texts(content: bytes) -> list[str]:
 
 
 def pdf_pages(spark: SparkSession, folder: str, pattern: str = "*.pdf", least_bytes: int = 0) -> DataFrame:
-    """(name, page from 0, text) of the PDF files of a folder. A task holds one file at a time."""
+    """(name, page from 0, text) of the PDF files of a folder; one row with a null page for a file that can't be read.
+
+    A folder with a level for each exam (``exam=7/a.pdf``) is pruned by filters on that column before files
+    are opened, so it comes as a column too. A task holds one file at a time.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).where(F.col("length") > least_bytes)
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").where(is_pdf(F.col("content")))
+    levels = [c for c in files.columns if c not in ("path", "modificationTime", "length", "content")]
+    files = files.select(*levels, F.element_at(F.split("path", "/"), -1).alias("name"), "content").where(is_pdf(F.col("content")))
+    given = len(levels) + 1
+    names = [*levels, "name", "page", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0), batch.column(1), strict=True):
+            for i, content in enumerate(batch.column(given)):
                 texts = page_texts(content.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(texts), pa.string()), pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["name", "page", "text"])
+                pages = pa.array(range(len(texts)) if texts else [None], pa.int64())
+                own = [batch.column(k).take(pa.array([i] * len(pages))) for k in range(given)]
+                yield pa.RecordBatch.from_arrays([*own, pages, pa.array(texts or [None], pa.string())], names=names)
 
-    return files.mapInArrow(run, "name string, page long, text string")
+    return files.mapInArrow(run, T.StructType([*files.schema.fields[:given], T.StructField("page", T.LongType()), T.StructField("text", T.StringType())]))
