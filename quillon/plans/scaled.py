@@ -12,7 +12,9 @@ from quillon.functions.mending import parsed, unfenced
 from quillon.functions.semantics import long
 from quillon.operators.intervals import first_overlap, overlaps
 from quillon.operators.library import SOURCE_WORDS
+from quillon.operators.matching import best_block
 from quillon.operators.patterns import AUTOMATON_BYTES, contained
+from quillon.operators.relational import MATCH_STOP_WORDS
 from quillon.sources import load
 from quillon.sources.loads import current, replace
 from quillon.sources.sinks import own_path
@@ -125,7 +127,15 @@ def q89_reloaded(spark: SparkSession, d: str, at: str | None = None) -> DataFram
     return current(spark, at, "exam_id").select("exam_id", "number", "part")
 
 
-QUERIES = {f.__name__: f for f in (q84_keywords, q85_span_gaps, q86_torn_json, q87_pruned_sources, q88_ordered_questions, q89_reloaded)}
+def q96_best_block(spark: SparkSession, d: str) -> DataFrame:
+    """For each answer of a conversation the sentence of its other turns that shares most words with it."""
+    c = load(spark, d, "conversations").select(long("conv_id").alias("exam"), long("turn").alias("turn"), "role", "text")
+    answers = c.where("role = 'assistant'").select("exam", F.col("turn").alias("item"), "text")
+    blocks = c.where("role <> 'assistant'").select("exam", "turn", F.posexplode(F.split("text", r"\. ")).alias("block", "text"))
+    return best_block(answers, blocks, ["exam"], ["item"], ["turn", "block"]).select("exam", "item", "turn", long("block").alias("block"), "overlap")
+
+
+QUERIES = {f.__name__: f for f in (q84_keywords, q85_span_gaps, q86_torn_json, q87_pruned_sources, q88_ordered_questions, q89_reloaded, q96_best_block)}
 ORACLE_SQL = {
     "q84_keywords": """
 WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM benchmark), t AS (SELECT lower(text) AS text FROM documents)
@@ -147,4 +157,13 @@ SELECT search, source, page_id FROM h, s WHERE source <> 'pci'""",
 SELECT CAST(l_orderkey AS BIGINT) AS exam_id, o_orderpriority AS title, CAST(l_linenumber AS BIGINT) AS number, CAST(l_partkey AS BIGINT) AS part, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS place
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "q89_reloaded": "SELECT CAST(l_orderkey AS BIGINT) AS exam_id, CAST(l_linenumber AS BIGINT) AS number, CAST(CASE WHEN l_orderkey % 14 = 0 THEN -l_partkey ELSE l_partkey END AS BIGINT) AS part FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) AND (l_orderkey % 7 <> 0 OR l_orderkey % 14 = 0)",
+    "q96_best_block": f"""
+WITH s AS (SELECT [{", ".join(f"'{w}'" for w in MATCH_STOP_WORDS)}] AS stop),
+a AS (SELECT conv_id AS exam, turn AS item, list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 2 AND NOT list_contains(stop, w))) AS aw FROM conversations, s WHERE role = 'assistant'),
+x AS (SELECT conv_id AS exam, turn, string_split(text, '. ') AS l FROM conversations WHERE role <> 'assistant'),
+y AS (SELECT exam, turn, unnest(range(len(l))) AS block, unnest(l) AS t FROM x),
+b AS (SELECT exam, turn, block, list_distinct(list_filter(regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 2 AND NOT list_contains(stop, w))) AS bw FROM y, s),
+p AS (SELECT exam, item, turn, block, len(list_intersect(aw, bw)) AS n, len(bw) AS m FROM a JOIN b USING (exam))
+SELECT CAST(exam AS BIGINT) AS exam, CAST(item AS BIGINT) AS item, CAST(arg_min(turn, (-n, turn, block)) AS BIGINT) AS turn, CAST(arg_min(block, (-n, turn, block)) AS BIGINT) AS block, CAST(max(n) AS BIGINT) AS overlap
+FROM p WHERE n >= 4 OR n >= 2 AND n > 0.6 * m GROUP BY 1, 2""",
 }

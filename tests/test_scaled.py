@@ -165,3 +165,25 @@ def test_reloads(spark, tmp_path):
     assert shown() == [(2, "d")] and published(spark, at) == [1, 2, 3]
     replace(rows((1, "back")), keys(1), at, "exam")
     assert shown() == [(1, "back"), (2, "d")]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_best_block_against_all_pairs(spark, seed):
+    from quillon.operators.matching import best_block
+
+    rng = random.Random(seed)
+    words = ["aaa", "bbb", "ccc", "ddd", "eee", "fff", "ggg", "que", "x", "São", "the", *(f"w{i:02}" for i in range(20))]
+    text = lambda n: " ".join(rng.choice(words[: rng.choice((7, 11, 31))]) for _ in range(n))
+    items = [(rng.choice((1, 2, None)), i, text(rng.randint(0, 12))) for i in range(60)]
+    blocks = [(rng.choice((1, 2, None)), i // 5, i % 5, rng.choice((None, text(rng.randint(0, 9)), text(3)))) for i in range(80)]
+    got = best_block(spark.createDataFrame(items, "k int, i int, text string"), spark.createDataFrame(blocks, "k int, p int, b int, text string"), ["k"], ["i"], ["p", "b"])
+    clean = lambda t: {w for w in (t or "").lower().split() if len(w) > 2 and w not in ("que", "são")}
+    want = []
+    for k, i, t in items:
+        best = None
+        for k2, p, b, u in sorted(blocks, key=lambda x: x[1:3]):
+            n, m = len(clean(t) & clean(u)), len(clean(u))
+            if k is not None and k == k2 and (n >= 4 or n >= 2 and n / m > 0.6) and (best is None or n > best[-1]):
+                best = (k, i, p, b, n)
+        want += [best] if best else []
+    assert sorted(map(tuple, got.collect())) == sorted(want) and want
