@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from quillon.llm import kernel as K
 from quillon.llm.components import components
-from quillon.llm.shared import written
+from quillon.llm.shared import small, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -40,10 +40,8 @@ LEAST_SHARED, HOME_SHARE = 2, 0.25
 CUT_SHINGLES, GROUP_SHINGLES = 1 << 20, 1 << 20
 #: Classes in one cut of a bucket or home, and in one task's group while only band hashes meet.
 CUT_CLASSES, GROUP_CLASSES = 2_000, 2_000
-#: Sets with more copies than this, and homes that are cut, are joined by broadcast: their number is bounded by the rows through these limits.
+#: Sets with more copies than this, and homes that are cut, are joined by broadcast where they are few bytes.
 HOT_COPIES = 100_000
-#: Up to so many ids are broadcast (at most about 100 MB in a hashed table); for more, texts are shuffled.
-BROADCAST_IDS = 4_000_000
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 128) -> tuple[int, int]:
@@ -298,15 +296,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     # only nodes of edges are in ``homes``, so each home there has two members at least; few are large
     sizes = settled.groupBy(F.col("home").alias("h")).agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("m"))
     large = sizes.select("h", F.ceil(F.greatest(F.col("n") / F.lit(CUT_SHINGLES), F.col("m") / F.lit(CUT_CLASSES))).cast("int").alias("cuts")).where("cuts > 1")
-    inside = homes.join(F.broadcast(large), F.col("component") == F.col("h"), "left")
+    inside = homes.join(small(written(large, "large"), "h"), F.col("component") == F.col("h"), "left")
     inside = _cut(inside.select(F.col("node").alias("rep"), F.lit(-1).alias("band"), F.col("component").alias("hash"), F.coalesce("cuts", F.lit(1)).alias("cuts")))
     places = written(inside.unionByName(across), "places")
     wanted = places.select(F.col("rep").alias("need")).distinct()
     sought = written(classes.join(wanted, F.col("rep") == F.col("need"), "left_semi").select("rep", "head", "k1", "k2"), "sought")
     heads_sought = sought.where("head IS NOT NULL").select("head").distinct()
-    few = F.broadcast(heads_sought) if sought.count() <= BROADCAST_IDS else heads_sought
     source = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    by_id = source.where("id IS NOT NULL").join(few, F.col("id") == F.col("head"), "left_semi")
+    by_id = source.where("id IS NOT NULL").join(small(heads_sought, "head"), F.col("id") == F.col("head"), "left_semi")
     # texts that only rows without an id have; one of equal ones
     nameless = source.where("id IS NULL").dropDuplicates(["text"]) if sought.where("head IS NULL").limit(1).count() else source.limit(0)
     sets = shingle_sets(by_id.unionByName(nameless), "text", width)
@@ -342,7 +339,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     named = placed.join(least, F.col("whole") == F.col("w"), "left").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.when(F.col("joined"), F.col("least")).otherwise(F.col("head")).alias("class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), "copies")
     own = every.select("id", "k1", "k2")
     same = (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))
-    hot = F.broadcast(named.where(F.col("copies") > HOT_COPIES))
+    hot = small(written(named.where(F.col("copies") > HOT_COPIES), "hot"), "class")
     rest = own.join(hot, same, "left_anti").join(named.where(F.col("copies") <= HOT_COPIES), same, "left")
     joined = rest.unionByName(own.join(hot, same))
     wordless = F.col("k1").isNull()

@@ -2,9 +2,10 @@
 
 Base rules count words, symbols, repeated lines and repeated three-word windows. The verdict on what
 passes them: the Jensen-Shannon distance (base 2) of a text's character-class histogram, and of its
-histogram of common words, from those of the language that each fits best. Both need a minimum length,
-and the second allows more to short texts, whose histograms are noisy. A text in a language without a
-reference has none of the common words and is rejected like word salad: give its reference first.
+histogram of common words, from those of one language: that whose words it fits best, or where it is too
+short for that, whose characters. Both need a minimum length, and the second allows more to short texts,
+whose histograms are noisy. A text whose language is told and has no reference gets no verdict from them;
+one that isn't told has none of the common words and is rejected like word salad.
 
 Every rule looks at one row alone, so the operator never shuffles.
 """
@@ -63,12 +64,14 @@ def _repeated(words: Column) -> Column:
     return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)))
 
 
-def judge(docs: DataFrame, text: str = "text") -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", lang: str | None = None) -> DataFrame:
     """The rows with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, character_distance, word_distance, kept.
 
     Words are runs of anything but ASCII white space; null text has none, and fails like empty text.
-    The distances are null below their minimum lengths (no verdict from them); a distance equal to its
-    limit is kept. Of equal lines all but the first count. Repeated rows are judged alike and all stay,
+    The distances are null below their minimum lengths (no verdict from them), and where the column
+    ``lang`` names a language without a reference; a distance equal to its limit is kept. Of languages that
+    fit equally well the first counts. Other names of ``lang``, null and empty ones tell nothing, as
+    texts are judged by what they hold. Of equal lines all but the first count. Repeated rows are judged alike and all stay,
     null ids too; texts are read whole. Columns of these names are replaced, others pass through. An
     empty table stays empty.
     """
@@ -93,21 +96,29 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
         n, words = F.greatest(c["n"], F.lit(1)).cast("double"), F.greatest(c["n_words"], F.lit(1)).cast("double")
         rest = c["n"] - c["letter"] - c["digit"] - c["white"] - c["stop"]
         characters = F.array(*(x / n for x in (c["letter"] - c["upper"], c["upper"], c["digit"], c["white"], c["stop"], rest)))
+        # one histogram for all languages
+        shares_of = F.array(*((F.size(c["common"]) - F.size(F.array_remove(c["common"], v))) / words for v in vocabulary))
 
-        def fit(shares: dict[str, float]) -> Column:
-            own = F.transform(F.lit(list(shares)), lambda v: F.size(F.filter(c["common"], lambda w: w == v)) / words)
-            return let(own, lambda h: distance(F.concat(h, F.array(F.greatest(F.lit(1.0) - total(h, "double"), F.lit(0.0)))), [*shares.values(), 1 - sum(shares.values())]))
+        def fit(h: Column, shares: dict[str, float]) -> Column:
+            own = F.array(*(F.get(h, F.lit(vocabulary.index(v))) for v in shares))
+            return let(own, lambda o: distance(F.concat(o, F.array(F.greatest(F.lit(1.0) - total(o, "double"), F.lit(0.0)))), [*shares.values(), 1 - sum(shares.values())]))
 
         failed = (c["n_words"] < LEAST_WORDS) | (100 * c["n_repeat_words"] > MOST_REPEATED * c["n_words"])
-        by_characters = F.when(c["n"] >= LEAST_CHARS, let(characters, lambda h: F.array_min(F.array(*(distance(h, list(x)) for x in CHARACTERS.values())))))
-        by_words = F.when(c["n_words"] >= LEAST_HISTOGRAM_WORDS, F.array_min(F.array(*(fit(x) for x in COMMON.values()))))
+        by_characters = F.when(c["n"] >= LEAST_CHARS, let(characters, lambda h: F.array(*(distance(h, list(CHARACTERS[x])) for x in COMMON))))
+        by_words = F.when(c["n_words"] >= LEAST_HISTOGRAM_WORDS, let(shares_of, lambda h: F.array(*(fit(h, x) for x in COMMON.values()))))
+
+        def chosen(d: Column) -> Column:
+            by = F.coalesce(d["b"], d["a"])
+            best = F.array_position(by, F.array_min(by)).cast("int") - 1
+            return F.struct(F.get(d["a"], best).alias("a"), F.get(d["b"], best).alias("b"))
 
         def decided(d: Column) -> Column:
             fine = F.coalesce(d["a"] <= MOST_CHARACTER_DISTANCE, F.lit(True)) & F.coalesce(d["b"] <= WORD_DISTANCE + WORD_DISTANCE_SLACK / F.sqrt(words), F.lit(True))
             kept = c["n_words"].alias("n_words"), (c["n"] - c["white"]).cast("long").alias("word_chars"), *(c[x].alias(x) for x in ("n_symbols", "n_dup_lines", "n_repeat_words"))
             return F.struct(*kept, failed.alias("base_failed"), d["a"].alias("character_distance"), d["b"].alias("word_distance"), (~failed & fine).alias("kept"))
 
-        return let(F.struct(by_characters.alias("a"), by_words.alias("b")), decided)
+        verdicts = F.lit(True) if lang is None else F.coalesce(F.lower(F.substring(F.col(lang), 1, 2)).isin(*COMMON) | (F.col(lang) == ""), F.lit(True))
+        return let(F.struct(F.when(verdicts, by_characters).alias("a"), F.when(verdicts, by_words).alias("b")), lambda d: let(chosen(d), decided))
 
     # one expression: a filter on a verdict moves below the projection, and would copy columns' expressions into lambdas
     judged = let(F.coalesce(F.col(text), F.lit("")), lambda body: let(F.regexp_extract_all(body, F.lit(WORD), F.lit(0)), lambda words: let(counts(body, words), verdict)))
@@ -133,12 +144,12 @@ def judged_sql(source: str = "documents") -> str:
     """DuckDB SQL of ``judge`` over a table: doc_id, the counts, base_failed and kept."""
     vocabulary = sorted({w for words in COMMON.values() for w in words})
     shares = ", ".join(f"count(*) FILTER (WHERE w = '{v}') / greatest(count(*), 1)::DOUBLE AS c{i}" for i, v in enumerate(vocabulary))
-    fits = []
-    for words in COMMON.values():
+    fits, chars = [], []
+    for name, words in COMMON.items():
         own = [f"c{vocabulary.index(w)}" for w in words]
         fits.append(_sql_distance([*own, f"greatest(1.0 - ({' + '.join(own)}), 0.0)"], [*words.values(), 1 - sum(words.values())]))
-    own = [f"(p_{c} / greatest(n, 1))" for c in ("lower", "upper", "digit", "white", "stop", "other")]
-    chars = f"least({', '.join(_sql_distance(own, list(x)) for x in CHARACTERS.values())})"
+        classes = [f"(p_{c} / greatest(x.n, 1))" for c in ("lower", "upper", "digit", "white", "stop", "other")]
+        chars.append(_sql_distance(classes, list(CHARACTERS[name])))
     count = lambda pattern: f"len(regexp_extract_all(body, '{pattern}'))::DOUBLE"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM {source}),
@@ -155,9 +166,10 @@ c AS (SELECT doc_id, len(ws) AS n_words, length(body)::DOUBLE AS n, {count('\\p{
   {count('[\\x20\\x09-\\x0D]')} AS p_white, {count('[.,;:!?\'\'"()\\-]')} AS p_stop, {count('[#*$%&|<>]')} AS symbols FROM l),
 x AS (SELECT *, letter - p_upper AS p_lower, n - letter - p_digit - p_white - p_stop AS p_other FROM c),
 j AS (SELECT x.doc_id, n_words, x.n - p_white AS word_chars, symbols, coalesce(dup.n, 0) AS n_dup, coalesce(rep.n, 0) AS n_rep, x.n AS chars,
-  {chars.replace('greatest(n, 1)', 'greatest(x.n, 1)')} AS cd, least({', '.join(fits)}) AS wd
+  [{', '.join(chars)}] AS cds, [{', '.join(fits)}] AS wds
   FROM x LEFT JOIN h ON h.doc_id = x.doc_id LEFT JOIN dup ON dup.doc_id = x.doc_id LEFT JOIN rep ON rep.doc_id = x.doc_id),
-f AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_rep > {MOST_REPEATED} * n_words AS base_failed FROM j)
+o AS (SELECT *, CASE WHEN n_words < {LEAST_HISTOGRAM_WORDS} THEN list_position(cds, list_min(cds)) ELSE list_position(wds, list_min(wds)) END AS best FROM j),
+f AS (SELECT *, cds[best] AS cd, wds[best] AS wd, n_words < {LEAST_WORDS} OR 100 * n_rep > {MOST_REPEATED} * n_words AS base_failed FROM o)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(symbols AS BIGINT) AS n_symbols, CAST(n_dup AS BIGINT) AS n_dup_lines,
   CAST(n_rep AS BIGINT) AS n_repeat_words, base_failed,
   NOT base_failed AND (chars < {LEAST_CHARS} OR cd <= {MOST_CHARACTER_DISTANCE}) AND (n_words < {LEAST_HISTOGRAM_WORDS} OR wd <= {WORD_DISTANCE} + {WORD_DISTANCE_SLACK} / sqrt(greatest(n_words, 1))) AS kept

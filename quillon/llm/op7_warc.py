@@ -145,12 +145,12 @@ def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "
     last = F.concat(F.unhex(F.lpad(F.hex(F.xxhash64("url")), 16, "0")), F.unhex(F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0")))
     base = base.withColumn("key", _sort_key(F.col("page"), F.col("digest"), last))
     narrow, cuts = _shards(base.select("key", "page", "digest", F.octet_length("html").alias("size"), (F.octet_length("html") + F.lit(_HEADERS)).cast("long").alias("bytes")), shard_bytes, most_shards)
-    rows = narrow.where(F.col("size") >= least_revisit).select("page", "digest", "shard")
+    rows = narrow.where(F.col("size") >= least_revisit).select("page", "digest")
     kept = rows.groupBy("digest").agg(F.max("page").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1 AND keeper IS NOT NULL")
     kept = written(kept, "kept").withColumnRenamed("digest", "d")
     hot = F.broadcast(kept.where(F.col("n") > hot_copies))  # at most rows / hot_copies of them
     cold = rows.join(hot, F.col("digest") == F.col("d"), "left_anti").join(kept.where(F.col("n") <= hot_copies), F.col("digest") == F.col("d"))
-    referring = cold.unionByName(rows.join(hot, F.col("digest") == F.col("d"))).where(~F.col("page").eqNullSafe(F.col("keeper"))).select("shard", "page", "digest", "keeper").distinct()
+    referring = cold.unionByName(rows.join(hot, F.col("digest") == F.col("d"))).where(~F.col("page").eqNullSafe(F.col("keeper"))).select("page", "digest", "keeper").distinct()
     bounds = spark.sparkContext.broadcast(np.array(cuts, f"S{_KEY_BYTES}"))
 
     @F.pandas_udf("long")
@@ -159,7 +159,10 @@ def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "
 
     # what a page refers to travels to its shards as a row of its own, just before the page: payloads move once
     pages_rows = base.select(shard_of("key").alias("shard"), "key", "page", "digest", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("keeper"))
-    notes = referring.select("shard", _sort_key(F.col("page"), F.col("digest"), F.lit(b"")).alias("key"), "page", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "keeper")
+    # to all shards where rows of the page and payload may stand, so it doesn't matter if equal rows are dealt otherwise when they are read again
+    first, past = (_sort_key(F.col("page"), F.col("digest"), F.lit(x)) for x in (b"", b"\xff" * 16))
+    places = referring.select("*", first.alias("key"), shard_of(first).alias("low"), shard_of(past).alias("high"))
+    notes = places.select(F.explode(F.sequence("low", "high")).alias("shard"), "key", "page", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "keeper")
     ordered = pages_rows.unionByName(notes).repartitionById(len(cuts) + 1, F.col("shard").cast("int")).sortWithinPartitions("key", "kind").drop("key")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -55,6 +55,19 @@ def removed(*tables: DataFrame) -> None:
             fs.delete(p.getParent(), True)
 
 
+#: Tables of at most so many bytes, measured, are broadcast.
+BROADCAST_BYTES = 64 << 20
+#: Bytes of a row in a hashed table besides its values, about.
+ROW_BYTES = 48
+
+
+def small(table: DataFrame, *columns: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """The table, marked for a broadcast if the columns' values and the rows are few bytes; it is counted for that, so give a written one."""
+    values = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in columns), F.lit(ROW_BYTES))
+    size = table.agg(F.sum(values.cast("long")).alias("n")).first()["n"] or 0
+    return F.broadcast(table) if size <= limit else table
+
+
 def text_bytes(df: DataFrame, column: str) -> int:
     """UTF-8 bytes of a column over all rows (one pruned scan)."""
     return int(df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0)

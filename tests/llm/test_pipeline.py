@@ -60,12 +60,15 @@ def is_kept(t):
     up, letters = sum(c.isupper() for c in t), sum(c.isalpha() for c in t)
     digits, white, stops = sum(c in "0123456789" for c in t), sum(c in " \t\n\x0b\x0c\r" for c in t), sum(c in ".,;:!?'\"()-" for c in t)
     chars = [x / len(t) for x in (letters - up, up, digits, white, stops, len(t) - letters - digits - white - stops)]
-    if len(t) >= 200 and min(js(chars, q) for q in op2_quality.CHARACTERS.values()) > 0.25:
-        return False
-    c, best = Counter(w), 1.0
-    for shares in op2_quality.COMMON.values():
+    c, fits = Counter(w), []
+    for name, shares in op2_quality.COMMON.items():
         own = [c[v] / len(w) for v in shares]
-        best = min(best, js([*own, max(0.0, 1 - sum(own))], [*shares.values(), 1 - sum(shares.values())]))
+        of_words = js([*own, max(0.0, 1 - sum(own))], [*shares.values(), 1 - sum(shares.values())])
+        of_chars = js(chars, op2_quality.CHARACTERS[name])
+        fits.append((of_words if len(w) >= 60 else of_chars, of_words, of_chars))
+    _, best, of_chars = min(fits, key=lambda x: x[0])
+    if len(t) >= 200 and of_chars > 0.25:
+        return False
     return len(w) < 60 or best <= 0.19 + 0.9 / math.sqrt(len(w))
 
 
