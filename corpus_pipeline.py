@@ -15,7 +15,7 @@ from quillon.llm.op4_packing import pack_documents
 from quillon.llm.op5_suffix_dedup import remove_repeats
 from quillon.llm.op9_decontaminate import find_hits
 from quillon.llm.op10_ngram_join import near_duplicates
-from quillon.llm.shared import removed, written
+from quillon.llm.shared import removed, small, written
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -34,10 +34,6 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _named(judge(_plain(docs)).where("kept"), docs.columns)
 
 
-#: Up to so many ids of documents to drop are broadcast (at most about 100 MB in a hashed table).
-BROADCAST_IDS = 4_000_000
-
-
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the least id, of each group of near duplicates.
 
@@ -47,7 +43,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     found = written(near_duplicates(docs), "classes")
     gone = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("class_id")).alias("gone")).where("gone").select("doc_id")
-    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    out = docs.join(small(gone, "doc_id"), "doc_id", "left_anti").select(*docs.columns)
     repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
     return out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(out.where("doc_id IS NULL")) if repeated else out
 
