@@ -159,11 +159,17 @@ o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i,
 c AS (SELECT conv_id, n, mean, unnest(range(0, CAST(greatest(ceil((n - 3) / 2.0), 0) AS BIGINT) + 1)) AS k FROM (SELECT DISTINCT conv_id, n, mean FROM o))
 SELECT CAST(c.conv_id AS BIGINT) AS conv_id, CAST(k AS BIGINT) AS chunk, round_even(c.mean, 3) AS chars_a_page, c.mean < 80 AS thin, string_agg(CAST(turn AS VARCHAR), ',' ORDER BY i) AS turns
 FROM c JOIN o ON o.conv_id = c.conv_id AND i >= 2 * k AND i < 2 * k + 3 GROUP BY c.conv_id, k, c.mean HAVING bool_or(trim(t) <> '')""",
-    "q62_repaired": r"SELECT CAST(event_id AS BIGINT) AS event_id, CASE WHEN event_id % 5 <> 0 THEN 'a\d' || event_type END AS t FROM events",
+    "q62_repaired": r"""
+WITH r AS (SELECT event_id, '```json' || chr(10) || '{"t": "a\d' || event_type || CASE WHEN event_id % 5 = 0 THEN '' ELSE '"}' END || chr(10) || '```' AS raw FROM events),
+b AS (SELECT event_id, regexp_replace(regexp_replace(raw, '^```(json)?\s*', ''), '\s*```$', '') AS body FROM r),
+f AS (SELECT event_id, regexp_replace(body, '\\([^"\\/bfnrtu])', '\\\\\1', 'g') AS fixed FROM b)
+SELECT CAST(event_id AS BIGINT) AS event_id, CASE WHEN json_valid(fixed) THEN json_extract_string(fixed, '$.t') END AS t FROM f""",
     "q63_error_class": """
-SELECT CAST(event_id AS BIGINT) AS event_id, CASE event_id % 5 WHEN 0 THEN '429' WHEN 1 THEN '429' WHEN 2 THEN CASE WHEN contains(CAST(event_id AS VARCHAR), '429') THEN '429' ELSE '401' END ELSE CASE WHEN contains(CAST(event_id AS VARCHAR), '429') THEN '429' WHEN contains(CAST(event_id AS VARCHAR), '401') THEN '401' ELSE 'other' END END AS key_error,
- CASE WHEN event_id % 5 < 2 OR contains(CAST(event_id AS VARCHAR), '429') THEN 'quota_exceeded' WHEN event_id % 5 = 3 OR contains(CAST(event_id AS VARCHAR), '404') THEN 'model_not_found' ELSE 'unknown' END AS exam_error,
- (['HTTP 429 Too Many', 'Resource Exhausted', '401 unauthorised', 'model Not Found', 'torn'])[CAST(event_id % 5 AS INTEGER) + 1] || ' at ' || event_id AS shown FROM events WHERE event_type IN ('error', 'view')""",
+WITH e AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'HTTP 429 Too Many' WHEN 1 THEN 'Resource Exhausted' WHEN 2 THEN '401 unauthorised' WHEN 3 THEN 'model Not Found' ELSE 'torn' END || ' at ' || event_id AS m
+  FROM events WHERE event_type IN ('error', 'view')),
+q AS (SELECT *, contains(m, '429') OR contains(m, 'Quota') OR contains(lower(m), 'exhausted') AS quota FROM e)
+SELECT CAST(event_id AS BIGINT) AS event_id, CASE WHEN quota THEN '429' WHEN contains(m, '401') OR contains(m, 'PermissionDenied') THEN '401' ELSE 'other' END AS key_error,
+  CASE WHEN quota THEN 'quota_exceeded' WHEN contains(m, '404') OR contains(lower(m), 'not found') THEN 'model_not_found' ELSE 'unknown' END AS exam_error, left(m, 60) AS shown FROM q""",
     "q64_exam_view": f"""
 WITH {EXAMS}, q AS (SELECT l_orderkey, l_linenumber AS n, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2), g AS (SELECT l_orderkey, string_agg('{{"number":' || n || ',"part":' || p || '}}', ',' ORDER BY n) AS l FROM q GROUP BY 1)
 SELECT id, '{{"id":' || id || ',"title":"' || title || '","questions":[' || coalesce(l, '') || ']}}' AS exam FROM x LEFT JOIN g ON l_orderkey = id WHERE status = 'Aprovada'""",
