@@ -124,7 +124,7 @@ def sample_features(docs: DataFrame, graded: DataFrame, key: str = "doc_id", tex
     """Features and grades of the sampled rows, in order of their ids' hashes.
 
     An id with several grades has the least of them; rows without an id or a grade are left out, and so
-    are ids that no document has. Documents that share an id are a row each; null and empty texts
+    are ids that no document has. Of documents that share an id one counts, that with the least features; null and empty texts
     have the features of an empty text. Texts are read whole. Other columns don't matter. Without rows
     all arrays are empty.
     """
