@@ -18,12 +18,13 @@ from quillon.sources import load, table_path
 from quillon.sources.sinks import own_path
 
 
-def event_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The table as a stream; it may be one file or a folder of files, in any store that Spark reads."""
+def event_stream(spark: SparkSession, d: str, files_a_batch: int | None = None) -> DataFrame:
+    """The table as a stream; it may be one file or a folder of files, in any store that Spark reads. Without a limit all files that are there are one batch."""
     path = table_path(d, "events")
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
     stream = spark.readStream.schema(load(spark, d, "events").schema)
+    stream = stream if files_a_batch is None else stream.option("maxFilesPerTrigger", files_a_batch)
     if folder:
         rows = stream.option("pathGlobFilter", "*.parquet").parquet(path)
     else:  # a file stream wants a folder
@@ -52,29 +53,29 @@ def updated(stream: DataFrame, kind: str, keys: list[str], at: str | None = None
     return found.groupBy(*keys).agg(F.max_by(F.struct(*columns), "batch").alias("s")).select(*keys, *(F.col(f"s.{c}").alias(c) for c in columns))
 
 
-def q37_daily_counts(spark: SparkSession, d: str, at: str | None = None) -> DataFrame:
+def q37_daily_counts(spark: SparkSession, d: str, at: str | None = None, files_a_batch: int | None = None) -> DataFrame:
     """Daily counts with a 10-minute watermark; the day still open at the end isn't emitted."""
-    w = event_stream(spark, d).withWatermark("ts", "10 minutes").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    w = event_stream(spark, d, files_a_batch).withWatermark("ts", "10 minutes").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     return appended(w.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n"), "daily", at)
 
 
-def q38_stream_latest_state(spark: SparkSession, d: str, at: str | None = None) -> DataFrame:
+def q38_stream_latest_state(spark: SparkSession, d: str, at: str | None = None, files_a_batch: int | None = None) -> DataFrame:
     """The latest state of each user, kept by a streaming aggregation."""
-    g = event_stream(spark, d).groupBy("user_id").agg(F.max_by("event_type", "ts").alias("status"), F.count(F.lit(1)).alias("n"))
+    g = event_stream(spark, d, files_a_batch).groupBy("user_id").agg(F.max_by("event_type", "ts").alias("status"), F.count(F.lit(1)).alias("n"))
     return updated(g.select(F.col("user_id").cast("bigint").alias("user_id"), "status", F.col("n").cast("bigint").alias("n")), "latest", ["user_id"], at)
 
 
-def q73_stream_progress(spark: SparkSession, d: str, at: str | None = None) -> DataFrame:
+def q73_stream_progress(spark: SparkSession, d: str, at: str | None = None, files_a_batch: int | None = None) -> DataFrame:
     """The latest progress of each exam as a stream keeps it: a missing error or chunk count leaves the one before."""
-    e = progress(event_stream(spark, d)).withColumn("at", F.struct("ts", "event_id"))
+    e = progress(event_stream(spark, d, files_a_batch)).withColumn("at", F.struct("ts", "event_id"))
     some = lambda c: F.max_by(F.when(F.col(c) > 0, F.col(c)), F.when(F.col(c) > 0, F.col("at")))
     g = e.groupBy("exam_id").agg(F.max_by("status", "at").alias("status"), F.max_by("progress", "at").alias("progress"), F.max_by("error_type", F.when(F.col("error_type").isNotNull(), F.col("at"))).alias("error_type"), F.coalesce(some("total_chunks"), F.lit(0)).cast("bigint").alias("total_chunks"), F.coalesce(some("done_chunks"), F.lit(0)).cast("bigint").alias("done_chunks"))
     return updated(g, "progress", ["exam_id"], at)
 
 
-def q74_stream_keys(spark: SparkSession, d: str, as_of: str = "2024-01-30T23:00:00", at: str | None = None) -> DataFrame:
+def q74_stream_keys(spark: SparkSession, d: str, as_of: str = "2024-01-30T23:00:00", at: str | None = None, files_a_batch: int | None = None) -> DataFrame:
     """States of keys kept by a stateful operator: the last report decides, pauses end at a time."""
-    e = reports(event_stream(spark, d).where(F.col("ts") <= F.lit(as_of).cast("timestamp")))
+    e = reports(event_stream(spark, d, files_a_batch).where(F.col("ts") <= F.lit(as_of).cast("timestamp")))
     value = key_value(F.col("id"))
     e = e.select("id", provider_of(value).alias("provider"), F.unix_micros("ts").alias("at"), "event_id", "kind")
     end = int(pd.Timestamp(as_of, tz="UTC").value // 1000)

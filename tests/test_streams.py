@@ -114,3 +114,16 @@ def test_numbered_ties_and_nulls(spark):
     keys = [((r["k"] is not None, r["k"] or 0), (r["t"] is not None, r["t"] or "")) for r in out]
     assert keys == sorted(keys)
     assert numbered(d.where("false"), ["k"], "n").collect() == []
+
+
+@pytest.mark.parametrize("name", ["q37_daily_counts", "q38_stream_latest_state", "q73_stream_progress", "q74_stream_keys"])
+def test_state_is_carried_from_batch_to_batch(spark, tmp_path, name):
+    from quillon.streaming import events
+
+    query, whole = events.QUERIES[name], spark.read.parquet(f"{SF}/events.parquet")
+    mid = whole.agg(F.percentile("event_id", 0.4).alias("m")).first()["m"]
+    land(whole.where(F.col("event_id") <= mid), ["ts"], 2, f"{tmp_path}/d/events.parquet")
+    query(spark, f"{tmp_path}/d", at=f"{tmp_path}/run", files_a_batch=1).count()
+    land(whole.where(F.col("event_id") > mid), ["ts"], 2, f"{tmp_path}/d/events.parquet")
+    assert rows(query(spark, f"{tmp_path}/d", at=f"{tmp_path}/run", files_a_batch=1)) == rows(query(spark, SF))
+    assert len(list((tmp_path / "run" / "state" / "commits").glob("[0-9]*"))) >= 4
