@@ -53,3 +53,44 @@ def test_long_ids_and_texts(spark, monkeypatch, limit):
     rows = [("a" * 3000, " ".join(base)), ("b" * 3000, " ".join(near)), ("c", long), ("d", long + " end"), ("e", "alone " * 3), (None, None), ("f", "")]
     out = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in op10_ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string").withColumn("class_id", F.lit(1))).collect()}
     assert out == {"a" * 3000: ("a" * 3000, 1), "b" * 3000: ("a" * 3000, 1), "c": ("c", 1), "d": ("c", 1), "e": ("e", 0), None: (None, 0), "f": ("f", 0)}
+
+
+def test_a_distance_at_its_limit_is_kept(spark, monkeypatch):
+    import math
+
+    rng = random.Random(5)
+    words = [*op2_quality.COMMON["en"], *("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(150))]
+    d = spark.createDataFrame([(1, " ".join(rng.choice(words) for _ in range(160)))], "doc_id long, text string")
+    r = op2_quality.judge(d).first()
+    assert not r["base_failed"] and r["word_distance"] > 0 and r["character_distance"] > 0
+    monkeypatch.setattr(op2_quality, "WORD_DISTANCE_SLACK", 0.0)
+    for words_at, chars_at, kept in ((0, 0, True), (-1, 0, False), (0, -1, False), (1, 1, True)):
+        near = lambda x, way: x if not way else math.nextafter(x, 2 * way)
+        monkeypatch.setattr(op2_quality, "WORD_DISTANCE", near(r["word_distance"], words_at))
+        monkeypatch.setattr(op2_quality, "MOST_CHARACTER_DISTANCE", near(r["character_distance"], chars_at))
+        assert op2_quality.judge(d).first()["kept"] is kept
+
+
+def test_chats_with_clashing_names_ties_and_null_ids(spark):
+    from quillon.llm import op1_chat
+
+    rows = [(1, None, "user", "b"), (1, None, "assistant", "a"), (1, None, "assistant", "a"), (1, 0, None, None), (None, 1, "assistant", "<|im_end|>\\"), (None, 0, "user\n", "x")]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    messages = d.select("*", op1_chat.text_part(F.col("text")).alias("parts"), F.lit("x").alias("turns"), F.lit(2).alias("loss_texts"), F.lit(3).alias("formatted"))
+    chats = op1_chat.format_chats(messages)
+    read = op1_chat.parse_chats(chats.withColumn("turns", F.lit("old")).withColumn("loss_texts", F.lit("old")))
+    got = {r["conv_id"]: ([(t["role"], t["text"]) for t in r["turns"]], list(r["loss_texts"]), r["n_turns"]) for r in read.collect()}
+    assert got == {
+        1: ([("assistant", "a"), ("assistant", "a"), ("user", "b"), ("", "")], ["a", "a"], 4),
+        None: ([("user\n", "x"), ("assistant", "<|im_end|>\\")], ["<|im_end|>\\"], 2),
+    }
+    assert op1_chat.parse_chats(op1_chat.format_chats(messages.where("false"))).collect() == []
+
+
+def test_null_ids_are_refused_by_files_and_kept_by_packing(spark, tmp_path):
+    from quillon.llm import op4_packing, op6_token_files
+
+    d = spark.createDataFrame([(None, "no id"), (1, "one")], "doc_id long, text string")
+    assert sorted(str(r["doc_id"]) for r in op4_packing.pack_documents(d).collect()) == ["1", "None"]
+    with pytest.raises(Exception, match="no key"):
+        op6_token_files.write_tokens(d, f"file://{tmp_path}/t")
