@@ -12,6 +12,8 @@ from quillon.sources import load
 from quillon.sources.pdf import is_pdf
 from quillon.sources.sinks import evolved, own_path
 
+# Fixed values of the product: where a site keeps the files of its pages, and what its links say.
+DOWNLOADS, ACTION, ANSWERS = "https://www.pciconcursos.com.br/download/", "baixar", "gabarito"
 #: Mean characters of a page below which a text is too thin to read.
 THIN = 80
 
@@ -103,9 +105,9 @@ def download_link(html: Column, url: Column) -> Column:
     """Where a page's file is: its first link to download that is no answer sheet, with its token; the page's own address without one."""
     links = F.regexp_extract_all(html, F.lit(r"(?is)<a\b[^>]*>"), F.lit(0))
     at = lambda tag, name: F.regexp_extract(tag, rf'(?is)\b{name}\s*=\s*"([^"]*)"', 1)
-    usable = lambda a: (at(a, "data-arquivo") != "") & (at(a, "data-code") != "") & (at(a, "data-acao") == "baixar") & ~F.contains(F.lower(at(a, "data-arquivo")), F.lit("gabarito"))
+    usable = lambda a: (at(a, "data-arquivo") != "") & (at(a, "data-code") != "") & (at(a, "data-acao") == ACTION) & ~F.contains(F.lower(at(a, "data-arquivo")), F.lit(ANSWERS))
     first = F.get(F.filter(links, usable), F.lit(0))
-    return F.when(first.isNotNull(), F.concat(F.lit("https://www.pciconcursos.com.br/download/"), at(first, "data-arquivo"), F.lit("?token="), at(first, "data-code"))).otherwise(url)
+    return F.when(first.isNotNull(), F.concat(F.lit(DOWNLOADS), at(first, "data-arquivo"), F.lit("?token="), at(first, "data-code"))).otherwise(url)
 
 
 def q95_downloads(spark: SparkSession, d: str) -> DataFrame:
