@@ -271,6 +271,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
             moved = np.flatnonzero(root != np.arange(len(i)))
             out.append(np.stack((rep[i[moved]], rep[i[root[moved]]]), axis=1))
         both = np.concatenate(out) if out else np.empty((0, 2), np.int64)
+        del own, out
+        K.trim()
         return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
 
     homes = written(components(dealt.groupBy("group").applyInArrow(gather, "a long, b long")), "homes")
@@ -285,6 +287,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
             if low != high:
                 pairs &= cut[i][:, None] != cut[i][None, :]
             out.append(i[pairs.any(axis=1)])
+        del own, home, cut
+        K.trim()
         return table.select(["rep", "band", "hash", "cut", "low", "high"]).take(pa.array(np.concatenate(out) if out else np.empty(0, np.int64)))
 
     # a bucket whose members are all of one home has no pairs for the next step, so its bands needn't travel again
@@ -327,6 +331,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
             out_rep.append(rep[i[hit]])
             out_links.append(links[hit])
             out_root.append(rep[i[_roots(linked)[hit]]])
+        del own, raw, home, cut
+        K.trim()
         cat = lambda x: pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64())
         return pa.table({"rep": cat(out_rep), "root": cat(out_root), "links": cat(out_links)})
 

@@ -97,7 +97,7 @@ def judge(docs: DataFrame, text: str = "text", lang: str | None = None) -> DataF
         rest = c["n"] - c["letter"] - c["digit"] - c["white"] - c["stop"]
         characters = F.array(*(x / n for x in (c["letter"] - c["upper"], c["upper"], c["digit"], c["white"], c["stop"], rest)))
         # one histogram for all languages
-        shares_of = F.array(*((F.size(c["common"]) - F.size(F.array_remove(c["common"], v))) / words for v in vocabulary))
+        shares_of = F.transform(F.lit(vocabulary), lambda v: F.size(F.filter(c["common"], lambda w: w == v)) / words)
 
         def fit(h: Column, shares: dict[str, float]) -> Column:
             own = F.array(*(F.get(h, F.lit(vocabulary.index(v))) for v in shares))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from quillon.llm import kernel as K
 from quillon.llm import tokens
 from quillon.llm.shared import written
 
@@ -125,6 +126,7 @@ def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", token
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate((at, bounds[-1:])), pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            K.trim()
 
     return docs.select(key, text).mapInArrow(cut, schema)
 
