@@ -97,7 +97,7 @@ def stored(spark: SparkSession, folder: str, exam: str, pattern: str = "*", leas
 def q94_stored_files(spark: SparkSession, d: str) -> DataFrame:
     """Which exams' files can be used again: those over 1000 bytes."""
     at = own_path(spark, "files")
-    load(spark, d, "supplier").select(F.repeat(F.lit("x"), (F.col("s_suppkey") % 25 * 100).cast("int")).alias("value"), F.col("s_suppkey").alias("exam")).write.partitionBy("exam").text(at)
+    load(spark, d, "supplier").select(F.repeat(F.lit("x"), (F.col("s_suppkey") % 25 * 100).cast("int")).alias("value"), F.col("s_suppkey").alias("exam")).repartition(16, "exam").write.partitionBy("exam").text(at)
     return stored(spark, at, "exam", "*.txt")
 
 
