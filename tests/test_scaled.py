@@ -187,3 +187,17 @@ def test_best_block_against_all_pairs(spark, seed):
                 best = (k, i, p, b, n)
         want += [best] if best else []
     assert sorted(map(tuple, got.collect())) == sorted(want) and want
+
+
+def test_large_keys_are_cut_into_cells_and_words_stay_together(spark):
+    from quillon.operators.matching import best_block
+
+    items = spark.range(40).select((F.col("id") % 2).alias("k"), F.col("id").alias("i"), F.concat_ws(" ", F.lit("same words here"), F.concat(F.lit("w"), F.col("id") % 10 + 10)).alias("text"))
+    blocks = spark.range(60).select((F.col("id") % 2).alias("k"), F.col("id").alias("p"), F.concat_ws(" ", F.lit("here words same"), F.concat(F.lit("w"), F.col("id") % 30 + 10)).alias("text"))
+    want = sorted((i % 2, i, i % 10, 4) for i in range(40))
+    out = best_block(items, blocks, ["k"], ["i"], ["p"])
+    # a row of each word with the whole set, and sets in a broadcast, filled disk and driver
+    assert "explode(words" not in plan(out) and "SortMergeJoin" in plan(out)
+    for cell in ((500, 5000), (7, 11), (1, 1)):
+        out = best_block(items, blocks, ["k"], ["i"], ["p"], cell=cell)
+        assert sorted(map(tuple, out.collect())) == want
