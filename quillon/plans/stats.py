@@ -89,9 +89,10 @@ def q07_subject_scores(spark, d):
 def q08_exam_scores(spark, d):
     """Every question of the exam counts; missing answers are wrong; the latest answer of a position holds."""
     a = answers(spark, d).groupBy("user_id", "exam", "idx").agg(F.max_by("given", F.struct("ts", "event_id")).alias("given"))
-    takers = a.select("user_id", "exam").distinct()
-    full = takers.join(questions(spark, d), "exam").join(a, ["user_id", "exam", "idx"], "left")
-    g = full.groupBy("user_id", "exam").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.coalesce(F.upper("given"), F.lit("N/A")) == F.upper("correct")).alias("score"), F.count_if(F.col("given").isNull()).alias("unanswered"))
+    q = questions(spark, d).select("exam", "idx", "correct", F.lit(True).alias("asked"))
+    # answers are counted alone and questions once an exam: takers times questions would grow with the square of the tables
+    given = a.join(q, ["exam", "idx"], "left").groupBy("user_id", "exam").agg(F.count_if(F.upper("given") == F.upper("correct")).alias("score"), F.count_if(F.col("asked") & F.col("given").isNotNull()).alias("answered"))
+    g = given.join(q.groupBy("exam").agg(F.count(F.lit(1)).alias("total")), "exam").withColumn("unanswered", F.col("total") - F.col("answered"))
     return g.select(long("user_id").alias("user_id"), "exam", long("total").alias("total"), long("score").alias("score"), long("unanswered").alias("unanswered"), half_up(F.col("score") / F.col("total") * 100).alias("percent"))
 
 

@@ -201,3 +201,35 @@ def test_large_keys_are_cut_into_cells_and_words_stay_together(spark):
     for cell in ((500, 5000), (7, 11), (1, 1)):
         out = best_block(items, blocks, ["k"], ["i"], ["p"], cell=cell)
         assert sorted(map(tuple, out.collect())) == want
+
+
+def joined_rows(spark):
+    """The most rows that a join of the last query put out."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    done = store.executionsList()
+    last = done.apply(done.size() - 1).executionId()
+    values, nodes, most = store.executionMetrics(last), store.planGraph(last).allNodes(), 0
+    for node in (nodes.apply(i) for i in range(nodes.size())):
+        for m in (node.metrics().apply(i) for i in range(node.metrics().size())):
+            if "Join" in node.name() and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most
+
+
+def test_exam_scores_join_no_taker_with_each_question(spark, tmp_path):
+    from quillon.plans.stats import q08_exam_scores
+
+    d = str(tmp_path)
+    spark.range(400).selectExpr("id AS p_partkey", "'Brand#1' AS p_brand", "'x' AS p_type").write.parquet(f"{d}/part.parquet")
+    e = spark.range(1200).selectExpr("id AS event_id", "id % 300 * 25 AS user_id", "timestamp_seconds(id) AS ts", "CASE id % 4 WHEN 0 THEN 'CLICK' WHEN 1 THEN 'view' WHEN 2 THEN NULL ELSE 'error' END AS event_type", "concat('{\"k\": ', id % 450 - 20, '}') AS props")
+    e.write.parquet(f"{d}/events.parquet")
+    got = {r["user_id"]: (r["total"], r["score"], r["unanswered"], r["percent"]) for r in q08_exam_scores(spark, d).collect()}
+    assert 0 < joined_rows(spark) <= 1200
+    names, last = ["click", "view", "purchase", "signup", "error"], {}
+    for i in range(1200):
+        last[i % 300 * 25, i % 450 - 20] = ["click", "view", None, "error"][i % 4]
+    for u in range(0, 7500, 25):
+        mine = {k: g for (v, k), g in last.items() if v == u and 0 <= k < 400 and g}
+        score = sum(g == names[k % 5] for k, g in mine.items())
+        assert got[u] == (400, score, 400 - len(mine), int(score / 400 * 100 + 0.5)), u
