@@ -16,7 +16,7 @@ from quillon.operators.matching import best_block
 from quillon.operators.patterns import AUTOMATON_BYTES, contained
 from quillon.operators.relational import MATCH_STOP_WORDS
 from quillon.sources import load
-from quillon.sources.loads import current, replace
+from quillon.sources.loads import ROWS_A_TASK, current, replace, tasks_for
 from quillon.sources.sinks import own_path
 
 
@@ -99,10 +99,11 @@ def bucketed(df: DataFrame, key: str, order: list[str], buckets: int, kind: str)
     return spark.table(name)
 
 
-def exam_tables(spark: SparkSession, d: str, buckets: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Orders as exams and lines as their questions, inserted in order of exam and number."""
+def exam_tables(spark: SparkSession, d: str, buckets: int | None = None, most: int = ROWS_A_TASK) -> tuple[DataFrame, DataFrame]:
+    """Orders as exams and lines as their questions, inserted in order of exam and number; in as many buckets (8 at least) as the lines fill, as a task holds a bucket."""
     questions = load(spark, d, "lineitem").select(long("l_orderkey").alias("exam_id"), long("l_linenumber").alias("number"), long("l_partkey").alias("part"), long("l_suppkey").alias("supplier"))
     exams = load(spark, d, "orders").select(long("o_orderkey").alias("exam_id"), F.col("o_orderpriority").alias("title"))
+    buckets = buckets or max(8, tasks_for(questions.count(), most))
     return bucketed(exams, "exam_id", ["exam_id"], buckets, "exams"), bucketed(questions, "exam_id", ["exam_id", "number", "part", "supplier"], buckets, "questions")
 
 

@@ -13,6 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of a table that one task joins or sorts: about 100 MB of its memory.
+ROWS_A_TASK = 400_000
+
+
+def tasks_for(rows: int, most: int = ROWS_A_TASK) -> int:
+    return -(-rows // most)
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p

@@ -246,3 +246,11 @@ def test_clock_of_many_hours_as_in_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW orders AS SELECT * FROM '{at}/*.parquet'")
     want = con.execute(ingest.ORACLE_SQL["q17_date_pack"]).fetchall()
     assert sorted(tuple(r) for r in ingest.q17_date_pack(spark, str(tmp_path)).collect()) == sorted(tuple(r) for r in want)
+
+
+def test_buckets_grow_with_the_lines(spark):
+    assert spark.read.parquet(f"{SF}/lineitem.parquet").count() > 5000
+    few, many = (S.exam_questions(*S.exam_tables(spark, SF, **k)) for k in ({}, {"most": 200}))
+    n = -(-few.count() // 200)
+    assert "SelectedBucketsCount: 8 out of 8" in plan(few) and f"SelectedBucketsCount: {n} out of {n}" in plan(many)
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
