@@ -21,6 +21,11 @@ def tasks_for(rows: int, most: int = ROWS_A_TASK) -> int:
     return -(-rows // most)
 
 
+def _dealt(df: DataFrame, key: str, tasks: int) -> DataFrame:
+    """The rows dealt by key to so many tasks; a few are left to Spark's own choice."""
+    return df.repartition(tasks, key) if tasks > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
@@ -33,18 +38,21 @@ def published(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n.removeprefix("load=")) for n in names if n.startswith("load="))
 
 
-def replace(rows: DataFrame, asked: DataFrame, path: str, key: str) -> int:
+def replace(rows: DataFrame, asked: DataFrame, path: str, key: str, most: int = ROWS_A_TASK) -> int:
     """Replace what the table has of the keys in ``asked`` by the rows; the load's number.
 
     Keys without rows are emptied, rows of other keys are left out. When it fails nothing has changed. Of two
-    loads at once one fails and can be tried again.
+    loads at once one fails and can be tried again. The rows are counted first: more of them go to more tasks,
+    whatever number of partitions is set.
     """
     spark = rows.sparkSession
     wanted = asked.select(key).distinct()
     at = f"{path}/.{uuid.uuid4().hex}"
     wanted.write.parquet(f"{at}/asked")
     wanted = spark.read.schema(wanted.schema).parquet(f"{at}/asked")
-    rows.join(wanted, key, "left_semi").select(*rows.columns).write.parquet(f"{at}/rows")
+    tasks = tasks_for(rows.count(), most)
+    # keys are distinct, so this join repeats no row; a semi-join would be moved below the dealing
+    _dealt(rows, key, tasks).join(_dealt(wanted, key, tasks), key).select(*rows.columns).write.parquet(f"{at}/rows")
     number = max(published(spark, path), default=0) + 1
     fs, source = _fs(spark, at)
     target = _fs(spark, f"{path}/load={number}")[1]
@@ -53,13 +61,15 @@ def replace(rows: DataFrame, asked: DataFrame, path: str, key: str) -> int:
     return number
 
 
-def current(spark: SparkSession, path: str, key: str) -> DataFrame:
+def current(spark: SparkSession, path: str, key: str, most: int = ROWS_A_TASK) -> DataFrame:
     """The table's rows: of each key those of the last load that was asked for it."""
     loads = published(spark, path)
     if not loads:
         raise ValueError("nothing was loaded")
     part = lambda kind: [spark.read.parquet(f"{path}/load={n}/{kind}").withColumn("__load", F.lit(n)) for n in loads]
     union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
-    last = union(part("asked")).groupBy(key).agg(F.max("__load").alias("__load"))
-    rows = union(part("rows"))
-    return rows.join(last, [key, "__load"], "left_semi").drop("__load")
+    asked, rows = union(part("asked")), union(part("rows"))
+    tasks = tasks_for(rows.count(), most)  # from the files' footers
+    last = _dealt(asked, key, tasks).groupBy(key).agg(F.max("__load").alias("__last"))  # one row a key, so the join repeats none
+    # no load is after the last one; = would be taken for a key and deal all rows again
+    return _dealt(rows, key, tasks).join(last, key).where("__load >= __last").select(*(c for c in rows.columns if c != "__load"))

@@ -254,3 +254,17 @@ def test_buckets_grow_with_the_lines(spark):
     n = -(-few.count() // 200)
     assert "SelectedBucketsCount: 8 out of 8" in plan(few) and f"SelectedBucketsCount: {n} out of {n}" in plan(many)
     assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
+
+
+def test_loads_go_to_more_tasks_as_they_grow(spark, tmp_path):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    at = str(tmp_path / "t")
+    rows = spark.range(1000).selectExpr("id % 300 AS exam", "id AS q")
+    replace(rows, spark.range(0, 290).selectExpr("id AS exam"), at, "exam", 50)
+    replace(rows.where("exam % 2 = 0").withColumn("q", -F.col("q")), spark.range(0, 300, 2).selectExpr("id AS exam"), at, "exam", 50)
+    assert len(list((tmp_path / "t" / "load=1" / "rows").glob("*.parquet"))) > 8  # not the eight partitions that are set
+    out = current(spark, at, "exam", 50)
+    assert out.rdd.getNumPartitions() == 30
+    assert sorted(map(tuple, out.collect())) == sorted((i % 300, -i if i % 2 == 0 else i) for i in range(1000) if i % 2 == 0 or i % 300 < 290)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
