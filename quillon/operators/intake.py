@@ -46,25 +46,39 @@ def _known(value: Column) -> Column:
     return F.when(F.lower(text).isin(*_NONE), "").otherwise(text)
 
 
+def _named(value: Column, then) -> Column:
+    """``then`` of the value, which is computed once a row however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def standard_title(title: Column, url: Column, board: Column, place: Column, year: Column) -> Column:
     """A title as ``[year] BOARD - PLACE - ROLE``: notices cut away, repeated parts once."""
-    seen_year = F.regexp_extract(title, r"\b(19\d{2}|20\d{2})\b", 1)
-    seen_year = F.when(seen_year != "", seen_year).otherwise(F.regexp_extract(F.coalesce(url, F.lit("")), r"\b(19\d{2}|20\d{2})\b", 1))
+    none = F.array().cast("array<string>")
+    spaced = lambda t: unicode_trim(F.regexp_replace(F.regexp_replace(F.lower(t), r"(?U)[^\w\s]", " "), r"\s+", " "))
+    year_in = lambda t: F.regexp_extract(t, r"\b(19\d{2}|20\d{2})\b", 1)
+    given = lambda seen: F.when(seen != "", F.concat(F.lit("["), seen, F.lit("] "))).otherwise("")
+
+    def head(board: Column, place: Column) -> Column:
+        where = F.when((place == "") | F.contains(F.lower(board), F.lower(place)), "").otherwise(place)
+        return F.when(board != "", F.concat(board, F.when(where != "", F.concat(F.lit(" - "), where)).otherwise(""), F.lit(" - "))).when(where != "", F.concat(where, F.lit(" - "))).otherwise("")
+
+    def rest(board: Column, once: Column) -> Column:
+        """A first part that names the board is left out, if others follow."""
+        named = _named(spaced(F.get(once, F.lit(0))), lambda a: _named(spaced(board), lambda b: _holds(a, b)))
+        return F.when((board != "") & (F.size(once) > 1) & named, F.slice(once, F.lit(2), F.greatest(F.size(once) - 1, F.lit(1)))).otherwise(once)
+
+    def kept(a: Column, p: Column) -> Column:
+        held = _named(_plain(p), lambda x: _named(_plain(F.coalesce(F.get(a, F.size(a) - 1), F.lit(""))), lambda y: _holds(x, y)))
+        return F.when((F.size(a) > 0) & held, a).otherwise(F.array_append(a, p))
+
     text = reduce(lambda t, cut: F.regexp_replace(t, *cut), TITLE_CUTS, F.regexp_replace(title, "[—–]", "-"))
     text = F.regexp_replace(F.btrim(text, F.lit(" -")), r"\s*-\s*-\s*", " - ")
-    once = F.aggregate(_parts(text), F.array().cast("array<string>"), lambda a, p: F.when(F.exists(a, lambda q: F.lower(q) == F.lower(p)), a).otherwise(F.array_append(a, p)))
+    once = F.aggregate(_parts(text), none, lambda a, p: F.when(F.exists(a, lambda q: F.lower(q) == F.lower(p)), a).otherwise(F.array_append(a, p)))
     given_board = _known(unicode_trim(F.regexp_replace(F.coalesce(board, F.lit("")), r"(?iu)^(?:pri|priv|privado|processo\s*seletivo.*)$", "")))
-    given_place = _known(place)
-    where = F.when((given_place == "") | F.contains(F.lower(given_board), F.lower(given_place)), "").otherwise(given_place)
-    spaced = lambda t: unicode_trim(F.regexp_replace(F.regexp_replace(F.lower(t), r"(?U)[^\w\s]", " "), r"\s+", " "))
-    # a first part that names the board is left out, if others follow
-    rest = F.when((given_board != "") & (F.size(once) > 1) & _holds(spaced(F.get(once, F.lit(0))), spaced(given_board)), F.slice(once, F.lit(2), F.greatest(F.size(once) - 1, F.lit(1)))).otherwise(once)
-    role = F.array_join(rest, " - ")
-    role = F.when(role == "", "Geral / Conhecimentos Básicos").otherwise(role)
-    head = F.when(given_board != "", F.concat(given_board, F.when(where != "", F.concat(F.lit(" - "), where)).otherwise(""), F.lit(" - "))).when(where != "", F.concat(where, F.lit(" - "))).otherwise("")
-    kept = F.aggregate(_parts(F.upper(F.concat(head, role))), F.array().cast("array<string>"), lambda a, p: F.when((F.size(a) > 0) & _holds(_plain(p), _plain(F.coalesce(F.get(a, F.size(a) - 1), F.lit("")))), a).otherwise(F.array_append(a, p)))
-    given_year = F.when(seen_year != "", seen_year).otherwise(_known(year))
-    return F.concat(F.when(given_year != "", F.concat(F.lit("["), given_year, F.lit("] "))).otherwise(""), F.array_join(kept, " - "))
+    role = lambda b: _named(_named(once, lambda o: F.array_join(rest(b, o), " - ")), lambda r: F.when(r == "", "Geral / Conhecimentos Básicos").otherwise(r))
+    whole = _named(given_board, lambda b: F.upper(F.concat(_named(_known(place), lambda p: head(b, p)), role(b))))
+    years = _named(year_in(title), lambda y: F.when(y != "", y).otherwise(_named(year_in(F.coalesce(url, F.lit(""))), lambda u: F.when(u != "", u).otherwise(_known(year)))))
+    return F.concat(_named(years, given), F.array_join(F.aggregate(_parts(whole), none, kept), " - "))
 
 
 def number_of(text: Column) -> Column:

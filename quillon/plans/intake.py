@@ -8,11 +8,12 @@ from quillon.functions.semantics import long
 from quillon.operators.intake import best_versions, heal, image_places, number_order, standard_title
 from quillon.plans.library import EXAMS, exams
 from quillon.sources import load
+from quillon.sources.loads import spread
 
 
-def q57_titles(spark, d):
+def q57_titles(spark, d, most: int = 20_000):
     """Titles of parts, with notices, repeated parts and boards around them, in standard form."""
-    p, k = load(spark, d, "part"), F.col("p_partkey") % 6
+    p, k = spread(load(spark, d, "part").select("p_partkey", "p_type", "p_name", "p_brand"), most), F.col("p_partkey") % 6
     title = (
         F.when(k == 0, F.concat(F.lit("Provas para download - IDCAP — "), "p_type", F.lit(" - "), F.lower("p_type"), F.lit(" - "), "p_name"))
         .when(k == 1, F.concat(F.lit("Prova - Edital nº 12/2019 de 3 de março de 2019 - "), "p_name", F.lit(" - 001/2020 - "), "p_brand"))

@@ -21,6 +21,12 @@ def tasks_for(rows: int, most: int = ROWS_A_TASK) -> int:
     return -(-rows // most)
 
 
+def spread(df: DataFrame, most: int) -> DataFrame:
+    """The rows evenly in tasks of so many; for costly columns of small tables, whose one file would be one task."""
+    tasks = tasks_for(df.count(), most)
+    return df.repartition(tasks) if tasks > 1 else df
+
+
 def _dealt(df: DataFrame, key: str, tasks: int) -> DataFrame:
     """The rows dealt by key to so many tasks; a few are left to Spark's own choice."""
     return df.repartition(tasks, key) if tasks > df.sparkSession.sparkContext.defaultParallelism else df

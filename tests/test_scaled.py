@@ -268,3 +268,12 @@ def test_loads_go_to_more_tasks_as_they_grow(spark, tmp_path):
     assert out.rdd.getNumPartitions() == 30
     assert sorted(map(tuple, out.collect())) == sorted((i % 300, -i if i % 2 == 0 else i) for i in range(1000) if i % 2 == 0 or i % 300 < 290)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_titles_are_cut_once_in_many_tasks(spark):
+    from quillon.plans.intake import q57_titles
+
+    n = spark.read.parquet(f"{SF}/part.parquet").count()
+    few, many = q57_titles(spark, SF, n), q57_titles(spark, SF, -(-n // 5))
+    assert plan(few).count("IDECAN") == 1 and many.rdd.getNumPartitions() == 5  # the cuts stood in the plan wherever their text was used
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
