@@ -52,10 +52,11 @@ def q86_torn_json(spark: SparkSession, d: str) -> DataFrame:
     one = F.concat(F.lit('{"n": '), F.col("l_linenumber").cast("string"), F.lit(', "t": "a\\d ["'), F.lit(', "q": '), F.col("l_partkey").cast("string"), F.lit(', "ok": true}'))
     g = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", one.alias("j")))).alias("r"))
     text = F.concat(F.lit("["), F.array_join(F.transform("r", lambda x: x["j"]), ", "), F.lit("]"))
-    whole = F.concat(F.lit("Sure:\n```json\n"), text, F.lit("\n```\nDone."))
-    length = F.length(text)
-    cut = F.when(F.col("l_orderkey") % 3 == 0, whole).otherwise(F.concat(F.lit("```json\n"), F.substring(text, F.lit(1), (F.col("l_orderkey") * 7919 % length + 1).cast("int"))))
-    p = parsed(g.select("l_orderkey", unfenced(cut).alias("raw")), "raw", "array<struct<n: bigint, t: string, q: bigint, ok: boolean>>", "found")
+    whole = F.concat(F.lit("Sure:\n```json\n"), F.col("text"), F.lit("\n```\nDone."))
+    cut = F.when(F.col("l_orderkey") % 3 == 0, whole).otherwise(F.concat(F.lit("```json\n"), F.substring("text", F.lit(1), (F.col("l_orderkey") * 7919 % F.length("text") + 1).cast("int"))))
+    # texts in columns of their own are made once
+    raw = g.select("l_orderkey", text.alias("text")).select("l_orderkey", cut.alias("cut")).select("l_orderkey", unfenced(F.col("cut")).alias("raw"))
+    p = parsed(raw, "raw", "array<struct<n: bigint, t: string, q: bigint, ok: boolean>>", "found")
     full = F.filter("found", lambda x: x["ok"])
     return p.select(long("l_orderkey").alias("order_id"), long(F.coalesce(F.size(full), F.lit(0))).alias("whole"), long(F.aggregate(full, F.lit(0).cast("bigint"), lambda a, x: a + x["q"])).alias("sum_q"))
 

@@ -277,3 +277,10 @@ def test_titles_are_cut_once_in_many_tasks(spark):
     few, many = q57_titles(spark, SF, n), q57_titles(spark, SF, -(-n // 5))
     assert plan(few).count("IDECAN") == 1 and many.rdd.getNumPartitions() == 5  # the cuts stood in the plan wherever their text was used
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+
+
+def test_torn_json_is_read_once(spark):
+    out = S.q86_torn_json(spark, SF)
+    assert "Union" not in plan(out) and plan(out).count("FileScan") == 1
+    for text, want in {'[{"a": [[[[1, {"b": 2': [{"a": [[[[1, {}]]]]}], '[{"a": "\\ud83dx"}, {"a": NaN}, [1': [{"a": "x"}, {}, []], "{" * 2000: {}}.items():
+        assert json.loads(mend(text)) == want
