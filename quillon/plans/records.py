@@ -10,7 +10,7 @@ from quillon.operators.intake import number_of
 from quillon.operators.library import numbered
 from quillon.sources import load
 from quillon.sources.pdf import is_pdf
-from quillon.sources.sinks import evolved, own_path
+from quillon.sources.sinks import evolved, land_files, own_path
 
 # Fixed values of the product: where a site keeps the files of its pages, and what its links say.
 DOWNLOADS, ACTION, ANSWERS = "https://www.pciconcursos.com.br/download/", "baixar", "gabarito"
@@ -89,16 +89,26 @@ def q93_evolved(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stored(spark: SparkSession, folder: str, exam: str, pattern: str = "*", least_bytes: int = 1000) -> DataFrame:
-    """(exam, bytes) of the exams that have a file of more than ``least_bytes`` in their folder; contents aren't read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return files.where(F.col("length") > least_bytes).groupBy(F.col(exam).cast("bigint").alias(exam)).agg(F.max("length").alias("bytes"))
+    """(exam, bytes) of the exams that have a file of more than ``least_bytes``: one in their folder (``exam=7/a.pdf``) or, where no folders are theirs, one with their number first in its name (``7_a.pdf``); contents aren't read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).where(F.col("length") > least_bytes)
+    if exam in files.columns:
+        files = files.withColumn(exam, F.col(exam).cast("bigint"))
+    else:
+        files = files.withColumn(exam, F.regexp_extract("path", r"/(0|-?[1-9][0-9]*)_[^/]*$", 1).try_cast("bigint")).where(F.col(exam).isNotNull())
+    return files.groupBy(exam).agg(F.max("length").alias("bytes"))
+
+
+def exam_files(spark: SparkSession, d: str, at: str | None = None, together: int = 1000) -> str:
+    """The folder that suppliers, as exams, have a file each in."""
+    at = at or own_path(spark, "files")
+    exams = load(spark, d, "supplier").select(F.col("s_suppkey").alias("exam"))
+    land_files(exams, at, "exam", F.repeat(F.lit("x"), (F.col("exam") % 25 * 100).cast("int")), together)
+    return at
 
 
 def q94_stored_files(spark: SparkSession, d: str) -> DataFrame:
     """Which exams' files can be used again: those over 1000 bytes."""
-    at = own_path(spark, "files")
-    load(spark, d, "supplier").select(F.repeat(F.lit("x"), (F.col("s_suppkey") % 25 * 100).cast("int")).alias("value"), F.col("s_suppkey").alias("exam")).repartition(16, "exam").write.partitionBy("exam").text(at)
-    return stored(spark, at, "exam", "*.txt")
+    return stored(spark, exam_files(spark, d), "exam", "*.txt")
 
 
 def download_link(html: Column, url: Column) -> Column:

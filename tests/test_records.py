@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quillon.plans import records as R
 from quillon.sources.pdf import pdf_pages
+from quillon.sources.sinks import land_files
 
 
 def test_gaps(spark):
@@ -52,6 +53,37 @@ def test_stored_files(spark, tmp_path):
     assert [tuple(r) for r in R.stored(spark, str(tmp_path), "exam", "*.pdf").collect()] == [(1, 5000)]
 
 
+def test_stored_files_without_folders_of_exams(spark, tmp_path):
+    sizes = {"1_a.pdf": 1001, "1_b_c.pdf": 5000, "2_a.pdf": 1000, "12_a.pdf": 7000, "-3_a.pdf": 2000, "0_a.pdf": 3000}
+    others = {"07_a.pdf": 9000, "x_8.pdf": 9000, "9.pdf": 9000, "_10_a.pdf": 9000, "11_a.txt": 9000, "99999999999999999999_a.pdf": 9000}
+    for i, (name, size) in enumerate((sizes | others).items()):
+        (tmp_path / "in" / f"part={i % 2}").mkdir(exist_ok=True, parents=True)
+        (tmp_path / "in" / f"part={i % 2}" / name).write_bytes(b"x" * size)
+    out = R.stored(spark, str(tmp_path / "in"), "exam", "*.pdf")
+    assert sorted(map(tuple, out.collect())) == [(-3, 2000), (0, 3000), (1, 5000), (12, 7000)] and dict(out.dtypes) == {"exam": "bigint", "bytes": "bigint"}
+
+
+def test_landed_files_share_folders(spark, tmp_path):
+    keys = [k for k, in spark.read.parquet("/root/testdata/sf0.01/supplier.parquet").select("s_suppkey").collect()]
+    for _ in range(2):  # as a second attempt would
+        R.exam_files(spark, "/root/testdata/sf0.01", str(tmp_path / "f"), together=40)
+        files = [p for p in (tmp_path / "f").rglob("*") if p.is_file()]
+        assert {p.name: p.read_bytes() for p in files} == {f"{k}_.txt": b"x" * (k % 25 * 100) + b"\n" for k in keys} and len(files) == 100
+        assert len(list((tmp_path / "f").iterdir())) <= 3
+    assert sorted(map(tuple, R.stored(spark, str(tmp_path / "f"), "exam", "*.txt").collect())) == sorted((k, k % 25 * 100 + 1) for k in keys if k % 25 >= 10)
+
+
+def test_landed_files_edges(spark, tmp_path):
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.landed.link./in", f"file://{tmp_path}")
+    rows = spark.createDataFrame([(1, "é" * 600), (2, None), (None, "x" * 2000), (4, "y" * 999), (5, "z" * 1000)], "exam long, t string")
+    for folder in (f"file://{tmp_path}/a b", f"{tmp_path}/c", "viewfs://landed/in/d"):
+        land_files(rows, folder, "exam", F.col("t"), 2)
+        assert sorted(map(tuple, R.stored(spark, folder, "exam", "*.txt").collect())) == [(1, 1201), (5, 1001)], folder
+        assert sorted(map(tuple, R.stored(spark, folder, "exam", "*.txt", 0).collect())) == [(1, 1201), (2, 1), (4, 1000), (5, 1001)], folder
+        land_files(rows.where("false"), f"{folder}-none", "exam", F.col("t"))
+        assert R.stored(spark, f"{folder}-none", "exam", "*.txt").collect() == []
+
+
 def test_unreadable_pdfs_are_told_apart(spark, tmp_path):
     page = b"%PDF-1.4\n3 0 obj <</Type /Page /Contents 5 0 R>> endobj\n5 0 obj <<>> stream\nBT (one) Tj ET\nendstream endobj"
     for exam, content in ((1, page), (2, b"%PDF-1.5\n1 0 obj <</Type /ObjStm>> stream\nx\nendstream endobj"), (3, page + b" trailer <</Encrypt 9 0 R>>"), (4, b"%PDF-1.4 nothing")):
